@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, simhash
-from .common import documents, id_crc
+from . import exact_dedup, language_id, mixing, packing, pu_quality, quality_rules, simhash
+from .common import documents, id_crc, labels
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,15 +24,52 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet")
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rules = quality_rules.fit(docs, labels(spark, sf_dir))
+    return quality_rules.judged(docs, rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = mixing.mixed(documents(spark, sf_dir))
+    first = F.when(F.col("copies") > 0, F.round(mixing.position(F.lit(0)), 6))
+    return chosen.select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        (F.col("copies") * F.col("size")).alias("taken"),
+        first.alias("first_position"),
+    ).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
+
+
+def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_crc("doc_id") % 5 == 0
+    docs = documents(spark, sf_dir).select("doc_id", "text", held_out.alias("held_out"))
+    model = pu_quality.fit(docs.where("not held_out"), labels(spark, sf_dir).where(~held_out))
+    scored = pu_quality.score(docs, model, ("doc_id", "held_out"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
+    "op3_packing": op3_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_mixing": op8_mixing,
+    "op10_pu_quality": op10_pu_quality,
 }
 
 ORACLE_SQL = {
@@ -45,4 +82,43 @@ ORACLE_SQL = {
         FROM documents
         WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op8_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, md5(doc_id::VARCHAR) AS k,
+                   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+            FROM documents
+        ), s AS (
+            SELECT source, sum(size)::BIGINT AS source_size,
+                   ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight
+            FROM d GROUP BY source
+        ), r AS (
+            SELECT *, 3 * source_size / weight AS per_weight, sum(source_size) OVER () AS everything,
+                   sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS weights,
+                   coalesce(sum(3 * source_size) OVER o, 0) AS room_before
+            FROM s
+            WINDOW o AS (ORDER BY 3 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), f AS (
+            SELECT *, ((everything - room_before)::DOUBLE / weights) AS level,
+                   ((everything - room_before)::DOUBLE / weights) >= per_weight AS is_full
+            FROM r
+        ), t AS (
+            SELECT source, source_size, (weight - 2) / 2 AS slope,
+                   CASE WHEN is_full THEN (3 * source_size)::DOUBLE
+                        ELSE weight * (SELECT arg_min(level, per_weight) FROM f WHERE NOT is_full) END AS target
+            FROM f
+        ), p AS (
+            SELECT d.*, source_size, target, slope,
+                   (sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS before
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        ), c AS (
+            SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)
+                + (floor(target / source_size) * source_size + before + size / 2 < target)::INT ELSE 0 END::BIGINT AS copies,
+                least(1.0::DOUBLE, (before + size / 2) / target) AS share
+            FROM p
+        )
+        SELECT doc_id, size, source_size, target, copies * size AS taken,
+               CASE WHEN copies > 0
+                    THEN round(2 * share / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * share)), 6) END AS first_position
+        FROM c
+    """,
 }
