@@ -5,8 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, packing, pu_quality, quality_rules, simhash
-from .common import documents, id_crc, labels
+from . import (
+    chat_snapshots,
+    exact_dedup,
+    language_id,
+    mixing,
+    packing,
+    passages,
+    pu_quality,
+    quality_rules,
+    simhash,
+    token_counts,
+)
+from .common import documents, id_crc, labels, written
+
+#: Vocabulary of ranks of a public tokenizer; the same path on every executor.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,11 +42,19 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_snapshots.rendered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet")
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_tokens(documents(spark, sf_dir), VOCABULARY)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rules = quality_rules.fit(docs, labels(spark, sf_dir))
@@ -54,6 +76,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = written(passages.repeated_passages(documents(spark, sf_dir)), "passage-links")
+    return passages.passage_classes(links)
+
+
 def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_crc("doc_id") % 5 == 0
     docs = documents(spark, sf_dir).select("doc_id", "text", held_out.alias("held_out"))
@@ -66,13 +93,27 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
+    "op4_chat": op4_chat,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_token_counts": op6_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op8_mixing": op8_mixing,
+    "op9_passages": op9_passages,
     "op10_pu_quality": op10_pu_quality,
 }
 
 ORACLE_SQL = {
+    "op4_chat": """
+        WITH c AS (
+            SELECT conv_id, count(*) AS n,
+                   list({'role': role, 'text': text} ORDER BY turn, role, text) AS turns
+            FROM conversations GROUP BY conv_id
+        )
+        SELECT conv_id, 0::BIGINT AS part, n AS n_turns,
+               array_to_string(list_transform(turns, lambda t: '<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || chr(10)), '') AS chat
+        FROM c
+        WHERE NOT EXISTS (SELECT 1 FROM c AS b WHERE b.turns[1] = c.turns[1] AND b.n > c.n AND b.turns[1:c.n] = c.turns)
+    """,
     "op5_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER w AS keep_id,
