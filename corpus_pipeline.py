@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import exact_dedup
-from tidegauge.llm.common import documents, written
+from tidegauge.llm import exact_dedup, mixing, packing, quality_rules, simhash
+from tidegauge.llm.common import documents, labels, written
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or the learned decision list go."""
+    return quality_rules.passing(docs, quality_rules.fit(docs, labels(spark, sf_dir)))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +18,28 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.without_copies(docs)
 
 
-STAGES = [("exact_dedup", exact_copies)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the row with the smallest doc_id stays."""
+    return simhash.without_near_duplicates(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources come near their targets: rows are left out or repeated, in training order."""
+    return mixing.curriculum(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's pieces, dealt to buckets and batches."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality_rules", rules),
+    ("exact_dedup", exact_copies),
+    ("simhash_near_dedup", near_copies),
+    ("mixing", mix),
+    ("packing", pack),
+]
 
 #: Learned rules, and fingerprints with connected components, are beyond SQL.
 ORACLE_SQL = None

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh_path, written
 from .components import connected_components
 
 SEGMENTS = 4
@@ -153,12 +153,41 @@ def near_duplicates(
     fingerprint 0 and are linked like others. Repeated rows stay repeated. An empty
     table gives an empty result. Columns of other names are neither read nor kept.
     """
-    prints = written(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width=width), "fp")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    taken = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    prints = written(fingerprints(taken, width=width), "fp")
+    classes = _smallest(prints, "doc_id", tau).select("fp", F.col("smallest").alias("component_id"))
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def _smallest(prints: DataFrame, column: str, tau: int) -> DataFrame:
+    """``fp``, ``root`` and ``smallest`` (value of ``column`` in the component) of each distinct fingerprint."""
+    distinct = prints.groupBy("fp").agg(F.min(column).alias("least"))
     roots = connected_components(near_links(distinct.select("fp"), tau))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
+        "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.groupBy("root").agg(F.min("least").alias("smallest"))
+    return rooted.select("fp", "root").join(named, "root").select("fp", "root", "smallest")
+
+
+def without_near_duplicates(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tau: int = 3, width: int = 3
+) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component the one with the
+    smallest doc_id (a null id only if all are null; of equal ids, the first by file and row).
+
+    ``docs`` is written to the shared folder first: a row is named by its place in a file.
+    """
+    spark, names = docs.sparkSession, docs.columns
+    path = fresh_path(spark, "near-dedup-input")
+    docs.write.parquet(path)
+    held = "_place" + "_" * max(map(len, names), default=0)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    staged = spark.read.schema(docs.schema).parquet(path).withColumn(held, place)
+    rows = staged.select(
+        F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), held).alias("who"),
+        F.col(text).alias("text"),
+    )
+    prints = written(fingerprints(rows, ("who",), width=width), "fp")
+    stay = _smallest(prints, "who", tau).select(F.col(f"smallest.{held}").alias(held)).distinct()
+    return staged.join(stay, held, "left_semi").select(*names)
