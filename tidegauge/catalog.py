@@ -1,12 +1,10 @@
-"""The registered queries, each with the SQL that must give the same rows."""
+"""All registered queries of the library, without the training-data operators."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from .plans import event_study
+from .plans.registry import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+flagship = event_study.flagship
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
