@@ -25,7 +25,8 @@ def as_of(
     memory does not grow with the number of matches. Of right rows with one key and
     time, the largest by ``values`` counts.
     """
-    side = F.lit(0 if strict != forward else 2)
+    # a left row stands between right rows of the same time that it may not see and those that it may
+    right_side = F.lit(2 if strict != forward else 0)
     names = left.columns
     rows_left = left.select(
         *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)],
@@ -38,7 +39,7 @@ def as_of(
     rows_right = right.where(keep).select(
         *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)],
         F.col(right_time).alias("_t"),
-        (side if forward else F.lit(2) - side).alias("_side"),
+        right_side.alias("_side"),
         F.lit(None).cast(rows_left.schema["_row"].dataType).alias("_row"),
         F.struct(right_time, *values).alias("_v"),
     )

@@ -1,7 +1,7 @@
 """Price bars, market factors, events and yearly accounts, built from the order tables.
 
-Tickers are a column of ``part``. Prices are rounded to 8 digits where they are
-made, so that every later step starts from the same numbers.
+Tickers are a column of ``part`` or ``lineitem``. Mean prices come from sums of whole
+cents and units, which are exact in any order: reruns give the same numbers.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ def _lines(spark: SparkSession, sf_dir: str, ticker: str) -> DataFrame:
         part = table(spark, sf_dir, "part").select("p_partkey", ticker, "p_size", "p_retailprice")
         lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
     return lines.select(
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
         F.col(ticker).alias("ticker"),
         F.col("l_shipdate").cast("date").alias("trade_date"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"),
@@ -33,18 +34,22 @@ def prices(spark: SparkSession, sf_dir: str, ticker: str = "p_type") -> DataFram
     lines = _lines(spark, sf_dir, ticker)
     first = F.min(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "unit"))["unit"]
     return lines.groupBy("ticker", "trade_date").agg(
-        F.round(first, 8).alias("open"),
-        F.round(F.max("unit"), 8).alias("high"),
-        F.round(F.min("unit"), 8).alias("low"),
-        F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 8).alias("close"),
+        first.alias("open"),
+        F.max("unit").alias("high"),
+        F.min("unit").alias("low"),
+        _mean_price().alias("close"),
         F.sum("l_quantity").cast("bigint").alias("volume"),
     )
 
 
+def _mean_price():
+    return F.sum("cents").cast("double") / (100 * F.sum("l_quantity"))
+
+
 def _daily_return(lines: DataFrame, name: str) -> DataFrame:
-    day = lines.groupBy("trade_date").agg(F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 8).alias("level"))
+    day = lines.groupBy("trade_date").agg(_mean_price().alias("level"))
     w = Window.orderBy("trade_date")  # a row per calendar day of the whole market, not per line
-    return day.select("trade_date", F.round(F.col("level") / F.lag("level").over(w) - 1, 8).alias(name))
+    return day.select("trade_date", (F.col("level") / F.lag("level").over(w) - 1).alias(name))
 
 
 def factors(spark: SparkSession, sf_dir: str, rf: float = 0.00005) -> DataFrame:
@@ -63,9 +68,9 @@ def factors(spark: SparkSession, sf_dir: str, rf: float = 0.00005) -> DataFrame:
         out = out.join(_daily_return(lines.where(condition), name), "trade_date")
     return out.dropna().select(
         "trade_date",
-        F.round(F.col("mkt") - rf, 8).alias("mkt_rf"),
-        F.round(F.col("small") - F.col("large"), 8).alias("smb"),
-        F.round(F.col("value") - F.col("growth"), 8).alias("hml"),
+        (F.col("mkt") - rf).alias("mkt_rf"),
+        (F.col("small") - F.col("large")).alias("smb"),
+        (F.col("value") - F.col("growth")).alias("hml"),
         F.lit(rf).alias("rf"),
     )
 
@@ -105,29 +110,30 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same tables for the oracle, as common table expressions.
 ORACLE = {
     "lines": """lines AS (
-        SELECT p_type AS ticker, l_shipdate::DATE AS trade_date, l_extendedprice / l_quantity AS unit, *
+        SELECT p_type AS ticker, l_shipdate::DATE AS trade_date, l_extendedprice / l_quantity AS unit,
+               round(l_extendedprice * 100)::BIGINT AS cents, *
         FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 0)""",
     "prices": """prices AS (
         SELECT ticker, trade_date,
-               round(arg_min(unit, (l_orderkey, l_linenumber, l_partkey, l_suppkey, unit)), 8) AS open,
-               round(max(unit), 8) AS high, round(min(unit), 8) AS low,
-               round(sum(l_extendedprice) / sum(l_quantity), 8) AS close, sum(l_quantity)::BIGINT AS volume
+               arg_min(unit, (l_orderkey, l_linenumber, l_partkey, l_suppkey, unit)) AS open,
+               max(unit) AS high, min(unit) AS low,
+               sum(cents)::DOUBLE / (100 * sum(l_quantity)) AS close, sum(l_quantity)::BIGINT AS volume
         FROM lines GROUP BY ticker, trade_date)""",
     "factors": """day AS (
         SELECT trade_date,
-               round(sum(l_extendedprice) / sum(l_quantity), 8) AS a,
-               round(sum(l_extendedprice) FILTER (p_size <= 25) / sum(l_quantity) FILTER (p_size <= 25), 8) AS s,
-               round(sum(l_extendedprice) FILTER (p_size > 25) / sum(l_quantity) FILTER (p_size > 25), 8) AS l,
-               round(sum(l_extendedprice) FILTER (p_retailprice > typical) / sum(l_quantity) FILTER (p_retailprice > typical), 8) AS v,
-               round(sum(l_extendedprice) FILTER (p_retailprice <= typical) / sum(l_quantity) FILTER (p_retailprice <= typical), 8) AS g
+               sum(cents)::DOUBLE / (100 * sum(l_quantity)) AS a,
+               sum(cents) FILTER (p_size <= 25)::DOUBLE / (100 * sum(l_quantity) FILTER (p_size <= 25)) AS s,
+               sum(cents) FILTER (p_size > 25)::DOUBLE / (100 * sum(l_quantity) FILTER (p_size > 25)) AS l,
+               sum(cents) FILTER (p_retailprice > typical)::DOUBLE / (100 * sum(l_quantity) FILTER (p_retailprice > typical)) AS v,
+               sum(cents) FILTER (p_retailprice <= typical)::DOUBLE / (100 * sum(l_quantity) FILTER (p_retailprice <= typical)) AS g
         FROM lines CROSS JOIN (SELECT avg(p_retailprice) AS typical FROM part) GROUP BY trade_date),
     factors AS (
-        SELECT m.trade_date, round(m.r - 0.00005, 8) AS mkt_rf, round(s.r - l.r, 8) AS smb, round(v.r - g.r, 8) AS hml, 0.00005::DOUBLE AS rf
-        FROM (SELECT trade_date, round(a / lag(a) OVER (ORDER BY trade_date) - 1, 8) AS r FROM day WHERE a IS NOT NULL) m
-        JOIN (SELECT trade_date, round(s / lag(s) OVER (ORDER BY trade_date) - 1, 8) AS r FROM day WHERE s IS NOT NULL) s USING (trade_date)
-        JOIN (SELECT trade_date, round(l / lag(l) OVER (ORDER BY trade_date) - 1, 8) AS r FROM day WHERE l IS NOT NULL) l USING (trade_date)
-        JOIN (SELECT trade_date, round(v / lag(v) OVER (ORDER BY trade_date) - 1, 8) AS r FROM day WHERE v IS NOT NULL) v USING (trade_date)
-        JOIN (SELECT trade_date, round(g / lag(g) OVER (ORDER BY trade_date) - 1, 8) AS r FROM day WHERE g IS NOT NULL) g USING (trade_date)
+        SELECT m.trade_date, m.r - 0.00005::DOUBLE AS mkt_rf, s.r - l.r AS smb, v.r - g.r AS hml, 0.00005::DOUBLE AS rf
+        FROM (SELECT trade_date, a / lag(a) OVER (ORDER BY trade_date) - 1 AS r FROM day WHERE a IS NOT NULL) m
+        JOIN (SELECT trade_date, s / lag(s) OVER (ORDER BY trade_date) - 1 AS r FROM day WHERE s IS NOT NULL) s USING (trade_date)
+        JOIN (SELECT trade_date, l / lag(l) OVER (ORDER BY trade_date) - 1 AS r FROM day WHERE l IS NOT NULL) l USING (trade_date)
+        JOIN (SELECT trade_date, v / lag(v) OVER (ORDER BY trade_date) - 1 AS r FROM day WHERE v IS NOT NULL) v USING (trade_date)
+        JOIN (SELECT trade_date, g / lag(g) OVER (ORDER BY trade_date) - 1 AS r FROM day WHERE g IS NOT NULL) g USING (trade_date)
         WHERE m.r IS NOT NULL AND s.r IS NOT NULL AND l.r IS NOT NULL AND v.r IS NOT NULL AND g.r IS NOT NULL)""",
     "events": """ev AS (
         SELECT o_orderkey AS event_id, min(ticker) AS ticker, o_orderpriority AS event_class,
