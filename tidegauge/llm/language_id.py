@@ -143,13 +143,12 @@ def prototypes(
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where(
         F.col("lang").isNotNull()
     )
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n"))
-    picked = (
-        rows.join(sizes, "lang")
-        .where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
-        .select("lang", "text")
-    )
+    # a row per language, like the prototypes themselves; texts are picked without a join
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return {}
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])[F.col("lang")]
+    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sums = Encoder(dim, n), {}
