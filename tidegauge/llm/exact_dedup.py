@@ -135,13 +135,12 @@ def exact_duplicates(
     # the bytes that the locator points at, against those of every other row of the digest
     stays = (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
     at = hits.where(stays).select("digest", F.col("body").alias("kept_body"))
-    differ = hits.where(~stays).join(at, "digest").where("body <> kept_body").select("digest").distinct()
-    clashes = differ.collect() if small else None
+    differ = hits.where(~stays).join(at, "digest").where("body <> kept_body").select("digest")
     ids = rows.select("doc_id", "file", "row", "digest", sha256(F.col("body")).alias("text_sha256"))
     plain = _decided(ids.join(hint(several), "digest", "left"))
-    if clashes == [] or (clashes is None and differ.isEmpty()):
+    if differ.isEmpty():  # no distinct before this: it would keep Spark from splitting a skewed digest
         return plain
-    bad = several.join(differ, "digest", "left_semi").select("digest")
+    bad = several.join(differ.distinct(), "digest", "left_semi").select("digest")
     clashing = rows.join(bad, "digest", "left_semi")
     by_text = clashing.groupBy("digest", "body").agg(
         F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count("*").alias("n")
