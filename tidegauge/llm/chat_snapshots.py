@@ -40,7 +40,7 @@ def _positioned(turns: DataFrame) -> DataFrame:
         F.bit_xor("x1").alias("_x1"), F.bit_xor("x2").alias("_x2")
     )
     sums = sums.select("_c", "_k", *[F.coalesce(F.bit_xor(f"_x{i}").over(before), F.lit(0)).alias(f"_b{i}") for i in (1, 2)])
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("conv_id", "_chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rolled = hashed.select("*", *[F.bit_xor(f"x{i}").over(upto).alias(f"_r{i}") for i in (1, 2)])
     return rolled.join(sums, same).select(
         "conv_id", "turn", "role", "text", "pos", "n",
