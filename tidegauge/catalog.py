@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import event_study, prices, relational  # noqa: F401
+from .plans import event_study, prices, relational, trades  # noqa: F401
 from .plans.registry import ORACLE_SQL, QUERIES
 
 flagship = event_study.flagship

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes that separate words: space and \t \n \v \f \r. ``bytes.split()`` uses exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,6 +40,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to this many (ids or places, about 100 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def parquet_path(docs: DataFrame, name: str) -> str:
+    """A path whose Parquet files hold exactly the rows of ``docs``: where it was read from if it is
+    a plain read of one path, else a fresh one in the shared folder that it is written to."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation":
+        relation = plan.relation()
+        if relation.getClass().getSimpleName() == "HadoopFsRelation" and relation.fileFormat().toString() == "Parquet":
+            roots = relation.location().rootPaths()
+            if roots.size() == 1:
+                return roots.head().toString()
+    path = fresh_path(docs.sparkSession, name)
+    docs.write.parquet(path)
+    return path
+
+
+def place() -> Column:
+    """File and row number of a row of a table read from Parquet: names the row even if ids repeat or are null."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def without_places(spark: SparkSession, path: str, schema: StructType, dropped: DataFrame) -> DataFrame:
+    """The rows at ``path`` but those that ``dropped(file, row)`` names, with all their columns."""
+    gone = written(dropped, "dropped").select(F.struct("file", "row").alias("place"))
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    names = schema.names
+    held = "_place" + "_" * max(map(len, names), default=0)
+    rows = spark.read.schema(schema).parquet(path).withColumn(held, place())
+    return rows.join(gone.withColumnRenamed("place", held), held, "left_anti").select(*[f"`{n}`" for n in names])
+
+
 def id_crc(doc_id: Column | str) -> Column:
     """crc32 of the id's decimal text; a null id counts as the empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

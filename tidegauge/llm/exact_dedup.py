@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fresh_path
+from .common import BROADCAST_ROWS, fresh_path, parquet_path, without_places
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -28,8 +28,6 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
 }
-#: Duplicated digests up to this many are broadcast (about 100 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
 
 
 def sha256(text: Column) -> Column:
@@ -163,15 +161,8 @@ def _decided(rows: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. ``docs`` is written to the shared
-    folder first, as the stream reads files and a locator points into one."""
-    spark = docs.sparkSession
-    path = fresh_path(spark, "dedup-input")
-    docs.write.parquet(path)
-    dropped = exact_duplicates(spark, path, docs.schema, text, doc_id).where("not kept").select("file", "row")
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    names = docs.columns
-    held = "_place" + "_" * max(map(len, names), default=0)
-    staged = spark.read.schema(docs.schema).parquet(path).withColumn(held, place)
-    dropped = dropped.select(F.struct("file", "row").alias(held))
-    return staged.join(dropped, held, "left_anti").select(*names)
+    """The rows of ``docs`` that stay, with all their columns. The stream reads files and a locator
+    points into one, so anything but a plain read of Parquet is written first."""
+    spark, path = docs.sparkSession, parquet_path(docs, "dedup-input")
+    found = exact_duplicates(spark, path, docs.schema, text, doc_id)
+    return without_places(spark, path, docs.schema, found.where("not kept").select("file", "row"))

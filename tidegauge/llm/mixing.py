@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, written
 from .prefix import order_key, running_sum
 
 #: No source is repeated more often than this.
@@ -61,10 +61,10 @@ def invert_ramp(share: Column, slope: Column) -> Column:
     """Time t at which the density 1 + slope * (2t - 1) has integrated to ``share``; slope in -1..1.
 
     The integral is (1 - slope) * t + slope * t^2; the root is written so that a
-    slope of 0 needs no case of its own.
+    slope of 0 needs no case of its own; at a share of 0 it is 0.
     """
     b = 1 - slope
-    return 2 * share / (b + F.sqrt(b * b + 4 * slope * share))
+    return F.coalesce(F.try_divide(2 * share, b + F.sqrt(b * b + 4 * slope * share)), F.lit(0.0))
 
 
 def mixed(
@@ -93,15 +93,12 @@ def mixed(
         (F.struct(*[F.col(c) for c in carry]) if carry else F.lit(0)).alias("row"),
         order_key(doc_id).alias("key"),
     )
+    # words are counted once: totals of sources and shards come from a narrow table
+    sizes = written(rows.select("source", "key", "size"), "mix-sizes") if carry else (rows := written(rows, "mix-sizes"))
     if sources is None:
-        sources = default_sources(rows)
-    plan = targets(sources, most_repeats)
-    placed = running_sum(rows, "source", "key", ["key", "doc_id", "size"], F.col("size"))
-    plan = plan.select(
-        F.col("source").alias("_source"), "source_size", "target", "slope"
-    )
-    # one row per source: of a size that does not follow the documents; joined where it is small
-    joined = placed.join(plan, F.col("source").eqNullSafe(F.col("_source")))
+        sources = default_sources(sizes)
+    plan = targets(sources, most_repeats).select("source", "source_size", "target", "slope")
+    joined = running_sum(rows, "source", "key", ["key", "doc_id", "size"], F.col("size"), sizes, plan)
     return joined.withColumn("copies", _copies()).select(
         "doc_id", "source", "size", "source_size", "target", "slope", "copies", "before", "row"
     )

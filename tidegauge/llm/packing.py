@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .mixing import word_count
 from .prefix import order_key, running_sum
 
@@ -84,7 +85,7 @@ def packed(
     """
     if budget < context:
         raise ValueError("the budget must hold one row of full context")
-    cut = pieces(docs, context, text, doc_id)
+    cut = written(pieces(docs, context, text, doc_id), "pieces")  # words are counted once
     histogram = cut.where("length > 0").groupBy("length").agg(F.count("*").alias("n")).collect()  # context rows at most
     bounds = boundaries(
         np.array([r["length"] for r in histogram], np.int64), np.array([r["n"] for r in histogram], np.int64), buckets

@@ -22,28 +22,42 @@ def order_key(*columns: Column | str) -> Column:
 
 
 def running_sum(
-    rows: DataFrame, group: str, key: str, order: list[str], value: Column | None = None, extra: dict[str, Column] | None = None
+    rows: DataFrame,
+    group: str,
+    key: str,
+    order: list[str],
+    value: Column | None = None,
+    narrow: DataFrame | None = None,
+    per_group: DataFrame | None = None,
 ) -> DataFrame:
     """``rows`` with ``before``: the sum of ``value`` (null: count of rows) over the rows of
     the same ``group`` (nulls are one group) that come earlier by ``order``, whose first
     column is the MD5 ``key``; and ``group_total``. Rows equal in all of ``order`` come
-    in any order among themselves.
+    in any order among themselves. ``narrow`` may hold the same rows' ``group``, ``key``
+    and value columns where they are cheaper to read than ``rows``. Columns of
+    ``per_group``, a table with one row for every ``group``, are joined by way of the offsets.
+
+    The window and the join share one partitioning: ``rows`` are shuffled once.
     """
     amount = F.lit(1).cast("bigint") if value is None else value.cast("bigint")
-    shard = F.substring(key, 1, DIGITS)
-    placed = rows.withColumn("_shard", shard).withColumn("_amount", amount)
-    totals = placed.groupBy(F.col(group).alias("_g"), F.col("_shard").alias("_s")).agg(F.sum("_amount").alias("_sum"))
-    by_group = Window.partitionBy("_g")
-    offsets = totals.select(
-        "_g",
-        "_s",
-        (F.sum("_sum").over(by_group.orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum")).alias("_offset"),
-        F.sum("_sum").over(by_group).alias("group_total"),
+    # a null group is told from an empty one by a flag, so that an equi-join finds it
+    marks = {"_none": F.col(group).isNull(), "_g": F.coalesce(F.col(group).cast("string"), F.lit(""))}
+    by = [*marks, "_shard"]
+    sharded = marks | {"_shard": F.substring(key, 1, DIGITS), "_amount": amount}
+    placed = rows.withColumns(sharded)
+    small = placed if narrow is None else narrow.withColumns(sharded)
+    by_group = Window.partitionBy(*marks)
+    running = by_group.orderBy("_shard").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = (
+        small.groupBy(*by)
+        .agg(F.sum("_amount").alias("_sum"))
+        .withColumn("_offset", F.sum("_sum").over(running) - F.col("_sum"))
+        .withColumn("group_total", F.sum("_sum").over(by_group))
+        .drop("_sum")
     )
-    inside = Window.partitionBy(group, "_shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if per_group is not None:
+        offsets = offsets.join(per_group.withColumns(marks).drop(group), [*marks])
+    inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = placed.withColumn("_upto", F.sum("_amount").over(inside))
-    return (
-        summed.join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_shard") == F.col("_s")))
-        .withColumn("before", F.col("_offset") + F.col("_upto") - F.col("_amount"))
-        .drop("_g", "_s", "_shard", "_amount", "_offset", "_upto")
-    )
+    joined = summed.join(offsets, by)
+    return joined.withColumn("before", F.col("_offset") + F.col("_upto") - F.col("_amount")).drop(*by, "_amount", "_offset", "_upto")

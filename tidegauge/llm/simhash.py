@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, written
+from .common import parquet_path, place, without_places, written
 from .components import connected_components
 
 SEGMENTS = 4
@@ -176,18 +176,14 @@ def without_near_duplicates(
     """The rows of ``docs`` that stay, with all their columns: of each component the one with the
     smallest doc_id (a null id only if all are null; of equal ids, the first by file and row).
 
-    ``docs`` is written to the shared folder first: a row is named by its place in a file.
+    A row is named by its place in a file, so anything but a plain read of Parquet is
+    written first.
     """
-    spark, names = docs.sparkSession, docs.columns
-    path = fresh_path(spark, "near-dedup-input")
-    docs.write.parquet(path)
-    held = "_place" + "_" * max(map(len, names), default=0)
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    staged = spark.read.schema(docs.schema).parquet(path).withColumn(held, place)
-    rows = staged.select(
-        F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), held).alias("who"),
+    spark, path = docs.sparkSession, parquet_path(docs, "near-dedup-input")
+    rows = spark.read.schema(docs.schema).parquet(path).select(
+        F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), place().alias("place")).alias("who"),
         F.col(text).alias("text"),
     )
     prints = written(fingerprints(rows, ("who",), width=width), "fp")
-    stay = _smallest(prints, "who", tau).select(F.col(f"smallest.{held}").alias(held)).distinct()
-    return staged.join(stay, held, "left_semi").select(*names)
+    goes = prints.join(_smallest(prints, "who", tau), "fp").where("who <> smallest")
+    return without_places(spark, path, docs.schema, goes.select("who.place.file", "who.place.row"))
