@@ -82,3 +82,46 @@ def event_day(local: Column) -> Column:
     minutes = F.hour(local) * 60 + F.minute(local) + F.second(local) / 60.0
     close = F.when(closes_early(day), 13 * 60).otherwise(16 * 60)
     return F.when((minutes == 0) | (minutes >= close), F.date_add(day, 1)).otherwise(day)
+
+
+def rolled_forward(df: DataFrame, day: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the first session at or after ``day``. Exchanges never close for ten days in a row."""
+    ahead = F.sequence(F.lit(0), F.lit(10))
+    sessions = F.filter(F.transform(ahead, lambda k: F.date_add(F.col(day), k)), is_session)
+    return df.withColumn(name, F.get(sessions, F.lit(0)))
+
+
+def hour_unknown(at: Column, created: Column, zone: str = "America/New_York") -> Column:
+    """Midnight in ``zone``, or in UTC for rows made before times had a zone: the hour was not known."""
+    midnight = lambda t: F.date_format(t, "HH:mm:ss.SSSSSS") == "00:00:00.000000"
+    old = created < F.lit("2026-09-26").cast("timestamp")
+    return midnight(F.from_utc_timestamp(at, zone)) | (old & midnight(at))
+
+
+def moment_text(local: Column) -> Column:
+    """The day and when in it something was published, in words."""
+    minutes = F.hour(local) * 60 + F.minute(local)
+    unknown = F.date_format(local, "HH:mm:ss.SSSSSS") == "00:00:00.000000"
+    part = F.when(unknown, " (hour unknown)").when(minutes < 570, " before the open").when(minutes >= 960, " after the close")
+    return F.concat(F.date_format(local, "yyyy-MM-dd"), part.otherwise(" during the session"))
+
+
+def last_complete_week(day: Column) -> tuple[Column, Column]:
+    """Monday and Friday of the last week that had ended; on a weekend that is the week just past."""
+    friday = F.date_sub(day, (F.weekday(day) + 3) % 7)
+    ended = F.when(F.weekday(day) == 4, F.date_sub(friday, F.lit(7))).otherwise(friday)
+    return F.date_sub(ended, 4), ended
+
+
+def month_floor(day: Column) -> Column:
+    return F.trunc(day, "month")
+
+
+def month_ceil(day: Column) -> Column:
+    """The first of the next month, unless ``day`` is a first."""
+    return F.when(F.dayofmonth(day) == 1, day).otherwise(F.date_add(F.last_day(day), 1))
+
+
+def week_id(day: Column) -> Column:
+    """Year and week by ISO 8601."""
+    return F.concat(F.extract(F.lit("YEAROFWEEK"), day), F.lit("-W"), F.lpad(F.weekofyear(day).cast("string"), 2, "0"))

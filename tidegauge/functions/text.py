@@ -26,7 +26,7 @@ def cut_at_sentence(text: Column, limit: int) -> Column:
     back = F.reverse(head)
     first = [F.when(F.locate(mark, back) > 0, F.locate(mark, back)) for mark in ".!?"]
     end = F.length(head) - F.least(*first) + 1
-    return F.when(F.length(text) <= limit, text).when(end >= limit / 2, F.left(head, end)).otherwise(head)
+    return F.when(F.length(text) <= limit, text).when(end > limit / 2, F.left(head, end)).otherwise(head)
 
 
 def masked_numbers(text: Column) -> Column:
@@ -81,3 +81,32 @@ def csv_field(value: Column) -> Column:
     text = value.cast("string")
     quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
     return F.coalesce(F.when(text.rlike('[,"\n\r]'), quoted).otherwise(text), F.lit(""))
+
+
+def signed_percent(value: Column) -> Column:
+    """With its sign and one digit."""
+    return F.concat(F.when(value >= 0, "+").otherwise("-"), F.format_string("%.1f", F.abs(value)), F.lit("%"))
+
+
+def money(value: Column) -> Column:
+    return F.concat(F.lit("$"), F.format_string("%.0f", F.abs(value)))
+
+
+def interval_text(low: Column, high: Column) -> Column:
+    return F.when(low.isNull() | high.isNull(), "n/a").otherwise(F.format_string("[%.2f, %.2f]", low, high))
+
+
+def translated(value: Column, phrases: dict[str, str], patterns: tuple[tuple[str, str], ...]) -> Column:
+    """The phrase for the whole value, else all patterns replaced in turn."""
+    whole = F.create_map(*[F.lit(x) for pair in phrases.items() for x in pair])[value]
+    rest = value
+    for pattern, to in patterns:
+        rest = F.regexp_replace(rest, pattern, to)
+    return F.coalesce(whole, rest)
+
+
+def json_number(doc: Column, path: str, low: float, high: float) -> Column:
+    """The number at ``path`` if it is one (no boolean, text or NaN) and within ``low``..``high``; else null."""
+    raw = F.get_json_object(doc, path)
+    number = F.when(raw.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"), raw.try_cast("double"))
+    return F.when(number.between(low, high), number)

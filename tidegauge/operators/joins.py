@@ -61,10 +61,11 @@ def nearest_before(
     left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, value: str, days: int
 ) -> DataFrame:
     """The last right row in the ``days`` calendar days up to ``left_time``; found even if its value is null."""
-    r = right.select(F.col(by).alias("_by"), F.col(right_time).alias("found_at"), F.col(value).alias("found"))
-    on = (F.col(by) == F.col("_by")) & F.col("found_at").between(F.date_sub(left_time, days), F.col(left_time))
-    best = F.max_by(F.struct("found_at", "found"), "found_at").alias("hit")
-    return left.join(r, on, "left").groupBy(*left.columns).agg(best).select(*left.columns, "hit.found_at", "hit.found")
+    last = as_of(left, right, [by], left_time, right_time, [value], null_values=True)
+    near = F.col(f"match.{right_time}") >= F.date_sub(left_time, days)
+    return last.select(
+        *left.columns, F.when(near, F.col(f"match.{right_time}")).alias("found_at"), F.when(near, F.col(f"match.{value}")).alias("found")
+    )
 
 
 def between_days(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str, low: int, high: int) -> DataFrame:

@@ -16,8 +16,8 @@ def _bars(spark, sf_dir):
     return market.prices(spark, sf_dir)
 
 
-def _events(spark, sf_dir, every=1):
-    return market.events(spark, sf_dir, every=every)
+def _events(spark, sf_dir):
+    return market.events(spark, sf_dir)
 
 
 @query("WIN-01", market.oracle("prices", f"SELECT ticker, trade_date, lag(close) {_W} AS prev_close, lead(close) {_W} AS next_close, trade_date - lag(trade_date) {_W} AS gap_days FROM prices"))
@@ -158,9 +158,9 @@ def jon_06(spark, sf_dir):
 
 @query("JON-07", market.oracle("prices events", """
     SELECT event_id, max(p.trade_date) AS found_at, arg_max(p.close, p.trade_date) AS found
-    FROM ev LEFT JOIN prices p ON ev.ticker = p.ticker AND p.trade_date BETWEEN ev.d0 - 5 AND ev.d0 WHERE event_id % 3 = 0 GROUP BY event_id"""))
+    FROM ev LEFT JOIN prices p ON ev.ticker = p.ticker AND p.trade_date BETWEEN ev.d0 - 5 AND ev.d0 GROUP BY event_id"""))
 def jon_07(spark, sf_dir):
-    events = _events(spark, sf_dir, every=3).select("event_id", "ticker", "d0")
+    events = _events(spark, sf_dir).select("event_id", "ticker", "d0")
     return joins.nearest_before(events, _bars(spark, sf_dir), "ticker", "d0", "trade_date", "close", 5).select("event_id", "found_at", "found")
 
 
@@ -200,11 +200,13 @@ def tsq_02(spark, sf_dir):
 @query("TSQ-03", market.oracle("prices events", f"""
     SELECT event_id, arg_min(reason, trade_date) AS reason
     FROM ev JOIN ({_FLAG}) f ON f.ticker = ev.ticker AND f.reason IS NOT NULL AND trade_date BETWEEN d0 - 250 AND d0 + 20
-    WHERE event_id % 5 = 0 GROUP BY event_id"""))
+    GROUP BY event_id"""))
 def tsq_03(spark, sf_dir):
+    """The first flagged bar in the range is the first one at or after its start: an as-of join, no pairs."""
     bad = quality.bad_bars(_bars(spark, sf_dir)).where("reason is not null").select("ticker", "trade_date", "reason")
-    near = joins.between_days(_events(spark, sf_dir, every=5).select("event_id", "ticker", "d0"), bad, "ticker", "d0", "trade_date", -250, 20)
-    return near.groupBy("event_id").agg(F.min_by("reason", "trade_date").alias("reason"))
+    events = _events(spark, sf_dir).select("event_id", "ticker", "d0", F.date_sub("d0", 250).alias("start"))
+    found = joins.as_of(events, bad, ["ticker"], "start", "trade_date", ["reason"], forward=True)
+    return found.where(F.col("match.trade_date") <= F.date_add("d0", 20)).select("event_id", "match.reason")
 
 
 @query("TSQ-05", market.oracle("prices", f"""

@@ -27,15 +27,21 @@ def prj_03(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", text.normal_cik(raw).alias("cik"))
 
 
-#: Filing item codes and the event class of each.
+# Filing item codes and the event class of each.
 ITEM_CLASSES = {
-    "1.01": "DEAL", "2.01": "DEAL", "2.02": "EARNINGS", "5.02": "MANAGEMENT",
-    "2.05": "RESTRUCTURING", "2.06": "IMPAIRMENT", "4.02": "RESTATEMENT", "8.01": "OTHER",
-}
+    "1.01": "8K_1.01_MATERIAL_AGMT",
+    "1.03": "8K_1.03_BANKRUPTCY",
+    "2.01": "8K_1.01_MATERIAL_AGMT",
+    "2.02": "8K_2.02_EARNINGS",
+    "4.01": "8K_4.01_AUDITOR_CHANGE",
+    "4.02": "8K_4.02_RESTATEMENT",
+    "5.02": "8K_5.02_MGMT_CHANGE",
+    "8.01": "8K_8.01_OTHER",
+}
 
 
 @query("PRJ-04", """
-    WITH m(code, class) AS (VALUES ('1.01', 'DEAL'), ('2.01', 'DEAL'), ('2.02', 'EARNINGS'), ('5.02', 'MANAGEMENT'), ('2.05', 'RESTRUCTURING'), ('2.06', 'IMPAIRMENT'), ('4.02', 'RESTATEMENT'), ('8.01', 'OTHER'))
+    WITH m(code, class) AS (VALUES ('1.01', '8K_1.01_MATERIAL_AGMT'), ('2.01', '8K_1.01_MATERIAL_AGMT'), ('2.02', '8K_2.02_EARNINGS'), ('5.02', '8K_5.02_MGMT_CHANGE'), ('8.01', '8K_8.01_OTHER'))
     SELECT DISTINCT l_orderkey, class FROM lineitem JOIN m ON m.code = CASE l_linenumber WHEN 1 THEN '1.01' WHEN 2 THEN '2.01' WHEN 3 THEN '2.02' WHEN 4 THEN '5.02' WHEN 5 THEN '8.01' ELSE '9.99' END""")
 def prj_04(spark, sf_dir):
     code = F.element_at(F.array(*map(F.lit, ("1.01", "2.01", "2.02", "5.02", "8.01", "9.99", "9.99"))), F.least("l_linenumber", F.lit(7)))

@@ -15,11 +15,11 @@ from .registry import query
 STOP, TAKE, DAYS, COST = 0.5, 1.5, 20, 0.3
 
 
-def trade_table(spark, sf_dir, every: int = 1) -> DataFrame:
+def trade_table(spark, sf_dir) -> DataFrame:
     """Trades of all events: long after the two urgent classes, short after the others."""
     bars = market.prices(spark, sf_dir)
     side = F.when(F.col("event_class").isin("1-URGENT", "2-HIGH"), 1).otherwise(-1)
-    entered = ops.entries(market.events(spark, sf_dir, every=every), bars, side)
+    entered = ops.entries(market.events(spark, sf_dir), bars, side)
     done = ops.with_result(ops.stop_or_take(entered, bars, STOP, TAKE, DAYS), COST)
     return done.withColumn("confidence", F.col("event_id") % 61 + 40)
 

@@ -75,11 +75,9 @@ def factors(spark: SparkSession, sf_dir: str, rf: float = 0.00005) -> DataFrame:
     )
 
 
-def events(spark: SparkSession, sf_dir: str, ticker: str = "p_type", every: int = 1) -> DataFrame:
-    """``event_id, ticker, event_class, filed_at, d0, cik``: orders; ``every`` thins them by key for range joins."""
+def events(spark: SparkSession, sf_dir: str, ticker: str = "p_type") -> DataFrame:
+    """``event_id, ticker, event_class, filed_at, d0, cik``: orders that have lines."""
     orders = table(spark, sf_dir, "orders")
-    if every > 1:
-        orders = orders.where(F.col("o_orderkey") % every == 0)
     first = _lines(spark, sf_dir, ticker).groupBy("l_orderkey").agg(F.min("ticker").alias("ticker"))
     return orders.join(first, F.col("o_orderkey") == F.col("l_orderkey")).select(
         F.col("o_orderkey").alias("event_id"),
@@ -94,13 +92,14 @@ def events(spark: SparkSession, sf_dir: str, ticker: str = "p_type", every: int
 def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yearly accounts by customer, filed 60 days after the year's end."""
     end = F.make_date(F.year("o_orderdate"), F.lit(12), F.lit(31))
-    done = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    done = F.coalesce(F.sum(F.when(F.col("o_orderstatus") == "F", cents)), F.lit(0))
     return (
         table(spark, sf_dir, "orders")
         .groupBy(F.col("o_custkey").alias("cik"), end.alias("period_end"))
         .agg(
-            F.round(F.sum("o_totalprice"), 2).alias("revenue"),
-            F.round(F.coalesce(F.sum(done), F.lit(0.0)) - F.sum("o_totalprice") * 0.3, 2).alias("net_income"),
+            (F.sum(cents).cast("double") / 100).alias("revenue"),
+            ((10 * done - 3 * F.sum(cents)).cast("double") / 1000).alias("net_income"),
             F.count("*").alias("shares"),
         )
         .withColumn("filed_at", F.date_add("period_end", 60))
@@ -142,8 +141,8 @@ ORACLE = {
         GROUP BY ALL)""",
     "fundamentals": """fundamentals AS (
         SELECT o_custkey AS cik, make_date(year(o_orderdate), 12, 31) AS period_end,
-               round(sum(o_totalprice), 2) AS revenue,
-               round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 0) - sum(o_totalprice) * 0.3::DOUBLE, 2) AS net_income,
+               sum(round(o_totalprice * 100)::BIGINT)::DOUBLE / 100 AS revenue,
+               (10 * coalesce(sum(round(o_totalprice * 100)::BIGINT) FILTER (o_orderstatus = 'F'), 0) - 3 * sum(round(o_totalprice * 100)::BIGINT))::DOUBLE / 1000 AS net_income,
                count(*) AS shares, make_date(year(o_orderdate), 12, 31) + 60 AS filed_at
         FROM orders GROUP BY ALL)""",
 }
