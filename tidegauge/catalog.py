@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import event_study, filings, prices, relational, scalars, trades  # noqa: F401
+from .plans import event_study, filings, prices, relational, reports, scalars, streams, technical, trades  # noqa: F401
 from .plans.registry import ORACLE_SQL, QUERIES
 
 flagship = event_study.flagship

@@ -41,8 +41,9 @@ def product(ratio: Column) -> Column:
 
 
 def scaled(value: Column, low: float, high: float) -> Column:
-    """0 at ``low``, 100 at ``high``, clamped; ``high`` may be under ``low``."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), (value - low) / (high - low) * 100))
+    """0 at ``low``, 100 at ``high``, clamped; ``high`` may be under ``low``; null stays null."""
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(100.0), (value - low) / (high - low) * 100))
+    return F.when(value.isNotNull(), clamped)
 
 
 def weighted_over_known(parts: list[tuple[Column, float]]) -> Column:
@@ -54,7 +55,7 @@ def weighted_over_known(parts: list[tuple[Column, float]]) -> Column:
 
 def novelty(drift_pct: Column, guidance: Column, rumour: Column) -> Column:
     """High for little drift before the event and neither guidance nor rumour."""
-    moved = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - F.abs(drift_pct) / 8 * 100))
+    moved = scaled(F.abs(drift_pct), 8, 0)
     told = F.when(guidance, 20.0).when(~guidance, 100.0)
     heard = F.when(rumour, 10.0).when(~rumour, 100.0)
     return weighted_over_known([(moved, 0.5), (told, 0.25), (heard, 0.25)])

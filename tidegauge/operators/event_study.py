@@ -27,18 +27,20 @@ def _determinant(m: list[list[Column]]) -> Column:
 
 
 def fitted_models(returns: DataFrame, factors: DataFrame, events: DataFrame, low: int = -250, high: int = -30, least: int = 60) -> DataFrame:
-    """Three-factor OLS of ret - rf for each event over the days ``low``..``high`` around d0.
+    """Three-factor OLS of ret - rf for each ``ticker`` and ``d0`` of events over the days ``low``..``high`` around d0.
 
-    Fourteen sums per event give the centred normal equations, solved by Cramer's
-    rule in columns: one range join and one aggregate with partial sums, no
-    group of bars is gathered. Fewer than ``least`` bars or collinear factors: no model.
+    Fourteen sums give the centred normal equations, solved by Cramer's rule in
+    columns: one range join and one aggregate with partial sums, no group of bars is
+    gathered. Events of one ticker and day share their model, so the join does not grow
+    with them. Fewer than ``least`` bars or collinear factors: no model.
     """
     joined = returns.join(factors, "trade_date").select(
         "ticker", "trade_date", (F.col("ret") - F.col("rf")).alias("y"), *X
     )
-    near = between_days(events, joined, "ticker", "d0", "trade_date", low, high)
+    asked = events.select("ticker", "d0").dropna().distinct()
+    near = between_days(asked, joined, "ticker", "d0", "trade_date", low, high)
     pairs = [(i, j) for i in range(3) for j in range(i, 3)]
-    sums = near.groupBy("event_id").agg(
+    sums = near.groupBy("ticker", "d0").agg(
         F.count("*").alias("n"),
         F.sum("y").alias("sy"),
         F.sum(F.col("y") * F.col("y")).alias("syy"),
@@ -58,7 +60,8 @@ def fitted_models(returns: DataFrame, factors: DataFrame, events: DataFrame, low
     alpha = (F.col("sy") - reduce(add, [F.col(f"b{k}") * F.col(f"s{k}") for k in range(3)])) / n
     ssr = F.col("syy") - F.col("sy") * F.col("sy") / n - reduce(add, [F.col(f"b{k}") * rhs[k] for k in range(3)])
     return solved.select(
-        "event_id",
+        "ticker",
+        "d0",
         F.col("n").alias("n_est"),
         alpha.alias("alpha"),
         *[F.col(f"b{k}").alias(f"beta_{x}") for k, x in enumerate(X)],
@@ -77,13 +80,12 @@ def cumulative_abnormal_returns(
     models = fitted_models(returns, factors, events)
     joined = returns.join(factors, "trade_date")
     reach = joined.groupBy("ticker").agg(F.max("trade_date").alias("last_bar"))
-    spans = events.select("event_id", "ticker", "event_class", "d0").withColumn("w", F.explode(F.array(*map(F.lit, windows))))
-    days = between_days(events.select("event_id", "ticker", "d0"), joined, "ticker", "d0", "trade_date", 1, max(windows))
-    held = days.select("event_id", F.col("d0").alias("_d0"), "trade_date", "ret", "rf", *X)
-    per = held.withColumn("w", F.explode(F.array(*map(F.lit, windows)))).where(
-        F.col("trade_date") <= F.date_add("_d0", F.col("w"))
+    asked = events.select("ticker", "d0").dropna().distinct()
+    days = between_days(asked, joined, "ticker", "d0", "trade_date", 1, max(windows))
+    per = days.select("ticker", "d0", "trade_date", "ret", "rf", *X).withColumn("w", F.explode(F.array(*map(F.lit, windows)))).where(
+        F.col("trade_date") <= F.date_add("d0", F.col("w"))
     )
-    sums = per.groupBy("event_id", "w").agg(
+    sums = per.groupBy("ticker", "d0", "w").agg(
         F.count("*").alias("n_days"),
         F.sum("ret").alias("sr"),
         F.sum("rf").alias("sf"),
@@ -97,16 +99,16 @@ def cumulative_abnormal_returns(
         F.col("n_days") >= F.greatest(F.lit(1), F.ceil(0.8 * weekdays))
     )
     expected = F.col("n_days") * F.col("alpha") + reduce(add, [F.col(f"beta_{x}") * F.col(f"sum_{x}") for x in X])
-    return (
-        spans.join(sums, ["event_id", "w"])
-        .join(models, "event_id")
+    returned = (
+        sums.join(models, ["ticker", "d0"])
         .join(reach, "ticker")
         .where(complete)
         .select(
-            "event_id", "ticker", "event_class", "d0", F.col("w").alias("window_days"), "n_days", "n_est",
+            "ticker", "d0", F.col("w").alias("window_days"), "n_days", "n_est",
             (F.col("sr") - F.col("sf") - expected).alias("car"), "resid_std", "event_std",
         )
     )
+    return events.select("event_id", "ticker", "event_class", "d0").join(returned, ["ticker", "d0"])
 
 
 def first_per_event_day(car: DataFrame) -> DataFrame:

@@ -20,37 +20,33 @@ def as_of(
     """``left`` with ``values`` of the last right row at or before ``left_time``, as struct ``match``.
 
     ``forward`` takes the first at or after, ``strict`` leaves out equal times, and
-    ``null_values`` accepts a right row whose first value is null. Both sides are
-    put in one sorted stream per key: one shuffle, no pair of rows is ever made, so
-    memory does not grow with the number of matches. Of right rows with one key and
-    time, the largest by ``values`` counts.
+    ``null_values`` accepts a right row whose first value is null. Of right rows with
+    one key and time, the largest by ``values`` counts. Null keys and times match nothing.
+
+    Distinct keys and times of ``left`` (one per key and day, however many rows a hot
+    key has) stand with the right rows in one sorted stream per key; no pair of rows is
+    made. ``left`` then takes its match by an equi-join, which Spark can split where
+    it is skewed.
     """
-    # a left row stands between right rows of the same time that it may not see and those that it may
+    # a probe stands between right rows of the same time that it may not see and those that it may
     right_side = F.lit(2 if strict != forward else 0)
-    names = left.columns
-    rows_left = left.select(
-        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)],
-        F.col(left_time).alias("_t"),
-        F.lit(1).alias("_side"),
-        F.struct(*names).alias("_row"),
-        F.lit(None).cast(_struct_type(right, [right_time, *values])).alias("_v"),
+    keys = [f"_k{i}" for i in range(len(by))]
+    named = [F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]
+    probes = left.select(*named, F.col(left_time).alias("_t")).dropna().distinct().select(
+        *keys, "_t", F.lit(1).alias("_side"), F.lit(None).cast(_struct_type(right, [right_time, *values])).alias("_v")
     )
     keep = F.lit(True) if null_values else F.col(values[0]).isNotNull()
-    rows_right = right.where(keep).select(
-        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)],
-        F.col(right_time).alias("_t"),
-        right_side.alias("_side"),
-        F.lit(None).cast(rows_left.schema["_row"].dataType).alias("_row"),
-        F.struct(right_time, *values).alias("_v"),
-    )
-    both = rows_left.unionByName(rows_right)
-    keys = [f"_k{i}" for i in range(len(by))]
+    seen = right.where(keep).select(*named, F.col(right_time).alias("_t"), right_side.alias("_side"), F.struct(right_time, *values).alias("_v"))
     if forward:
         w = Window.partitionBy(*keys).orderBy(F.desc("_t"), F.desc("_side"), F.asc_nulls_last("_v"))
     else:
         w = Window.partitionBy(*keys).orderBy("_t", "_side", "_v")
-    found = both.withColumn("match", F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return found.where(F.col("_row").isNotNull()).select("_row.*", "match")
+    last = F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    found = probes.unionByName(seen).withColumn("match", last).where("_side = 1").select(*keys, "_t", "match")
+    on = F.col(left_time) == F.col("_t")
+    for c, k in zip(by, keys, strict=True):
+        on = on & (F.col(c) == F.col(k))
+    return left.join(found, on, "left").drop(*keys, "_t")
 
 
 def _struct_type(df: DataFrame, names: list[str]) -> str:

@@ -79,8 +79,9 @@ def repeated_keys(df: DataFrame, columns: list[str], key: str) -> DataFrame:
 def counts_in_ranges(events: DataFrame, bars: DataFrame, ranges: dict[str, tuple[int, int]]) -> DataFrame:
     """``events`` with the number of bars of their ticker in each range of days around d0, both ends included.
 
-    A count is the difference of two running counts, so each event costs two probe rows
-    per range in one sorted stream and one aggregate, however many bars lie in a range.
+    A count is the difference of two running counts, so each ticker and day costs two
+    probe rows per range in one sorted stream and one aggregate, however many bars lie in
+    a range and however many events on a day.
     """
     probes = F.array(*[
         F.struct(F.date_add("d0", low).alias("t"), F.lit(0).alias("side"), F.lit(name).alias("name"), F.lit(-1).alias("sign"))
@@ -89,12 +90,12 @@ def counts_in_ranges(events: DataFrame, bars: DataFrame, ranges: dict[str, tuple
         F.struct(F.date_add("d0", high).alias("t"), F.lit(2).alias("side"), F.lit(name).alias("name"), F.lit(1).alias("sign"))
         for name, (_, high) in ranges.items()
     ])
-    asked = events.select("ticker", "event_id", F.explode(probes).alias("p")).select("ticker", "event_id", "p.*", F.lit(0).alias("one"))
+    asked = events.select("ticker", "d0").dropna().distinct().select("ticker", "d0", F.explode(probes).alias("p")).select("ticker", "d0", "p.*", F.lit(0).alias("one"))
     none = {c: F.lit(None).cast(t) for c, t in asked.dtypes}
     there = bars.select(
-        "ticker", none["event_id"].alias("event_id"), F.col("trade_date").alias("t"), F.lit(1).alias("side"), none["name"].alias("name"), none["sign"].alias("sign"), F.lit(1).alias("one")
+        "ticker", none["d0"].alias("d0"), F.col("trade_date").alias("t"), F.lit(1).alias("side"), none["name"].alias("name"), none["sign"].alias("sign"), F.lit(1).alias("one")
     )
     w = Window.partitionBy("ticker").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
-    run = asked.unionByName(there).withColumn("upto", F.sum("one").over(w)).where("event_id is not null")
+    run = asked.unionByName(there).withColumn("upto", F.sum("one").over(w)).where("d0 is not null")
     counts = [F.sum(F.when(F.col("name") == name, F.col("sign") * F.col("upto"))).alias(name) for name in ranges]
-    return events.join(run.groupBy("event_id").agg(*counts), "event_id")
+    return events.join(run.groupBy("ticker", "d0").agg(*counts), ["ticker", "d0"])

@@ -21,15 +21,21 @@ def filled(open_: Column, level: Column, favourable_side: Column) -> Column:
     return F.when(open_.isNull(), level).when(favourable_side, F.greatest(open_, level)).otherwise(F.least(open_, level))
 
 
-def stop_or_take(entered: DataFrame, bars: DataFrame, stop: float, take: float, days: int) -> DataFrame:
+def stop_or_take(
+    entered: DataFrame, bars: DataFrame, stop: float, take: float, days: int, until: Column | None = None
+) -> DataFrame:
     """``exit_date``, ``exit`` and ``reason`` of each trade: on each bar the stop comes first, then the take
-    level; else the close of the last bar within ``days``.
+    level; else the close of the last bar within ``days`` (and no later than the day ``until``, an expression on ``entry_date``).
 
     Trades do not touch one another, so the walk over bars becomes a range join and
-    two aggregates: the first bar that hits a level, and the last bar.
+    two aggregates: the first bar that hits a level, and the last bar. Trades entered on
+    one bar and side end alike, so they are walked once however many they are.
     """
     long = F.col("side") > 0
-    near = between_days(entered.select("event_id", "ticker", "entry_date", "entry", "side"), bars, "ticker", "entry_date", "trade_date", 0, days)
+    asked = entered.select("ticker", "entry_date", "entry", "side").distinct()
+    near = between_days(asked, bars, "ticker", "entry_date", "trade_date", 0, days)
+    if until is not None:
+        near = near.where(F.col("trade_date") <= until)
     low_level = F.col("entry") * F.when(long, 1 - stop).otherwise(1 - take)
     high_level = F.col("entry") * F.when(long, 1 + take).otherwise(1 + stop)
     low_hit, high_hit = F.col("low") <= low_level, F.col("high") >= high_level
@@ -38,11 +44,11 @@ def stop_or_take(entered: DataFrame, bars: DataFrame, stop: float, take: float,
     level = F.when(long == stopped, low_level).otherwise(high_level)
     fill = filled(F.col("open"), level, long != stopped)
     marked = near.where("high is not null and low is not null and close is not null").withColumn("_reason", reason).withColumn("_fill", fill)
-    out = marked.groupBy("event_id").agg(
+    out = marked.groupBy("ticker", "entry_date", "side").agg(
         F.min(F.when(F.col("_reason").isNotNull(), F.struct("trade_date", "_fill", "_reason"))).alias("_hit"),
         F.max(F.struct("trade_date", "close")).alias("_last"),
     )
-    return entered.join(out, "event_id").select(
+    return entered.join(out, ["ticker", "entry_date", "side"]).select(
         *entered.columns,
         F.coalesce("_hit.trade_date", "_last.trade_date").alias("exit_date"),
         F.coalesce("_hit._fill", "_last.close").alias("exit"),
@@ -73,18 +79,38 @@ def trade_metrics(trades: DataFrame, by: list[str]) -> DataFrame:
 
 
 def longest_streaks(trades: DataFrame, by: list[str]) -> DataFrame:
-    """Longest runs of wins and of losses by exit date (then id): islands between changes."""
-    w = Window.partitionBy(*by).orderBy("exit_date", "event_id")
-    won = F.col("pnl_pct") > 0
-    same = Window.partitionBy(*by, "_won").orderBy("exit_date", "event_id")
-    runs = (
-        trades.withColumn("_won", won)
-        .withColumn("_island", F.row_number().over(w) - F.row_number().over(same))
-        .groupBy(*by, "_won", "_island")
-        .agg(F.count("*").alias("_n"))
+    """Longest runs of wins and of losses by exit date (then id).
+
+    Runs are found within each day; a day is then summed up by its first, last and
+    longest runs, and days - one row each, however many trades - are joined in order.
+    """
+    cell = [*by, "exit_date"]
+    w = Window.partitionBy(*cell).orderBy("event_id")
+    same = Window.partitionBy(*cell, "_won").orderBy("event_id")
+    islands = (
+        trades.withColumn("_won", F.col("pnl_pct") > 0)
+        .withColumn("_at", F.row_number().over(w))
+        .withColumn("_island", F.col("_at") - F.row_number().over(same))
+        .groupBy(*cell, "_won", "_island")
+        .agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
     )
-    longest = lambda c: F.coalesce(F.max(F.when(c, F.col("_n"))), F.lit(0))
-    return runs.groupBy(*by).agg(longest(F.col("_won")).alias("longest_wins"), longest(~F.col("_won")).alias("longest_losses"))
+    most = lambda won: F.coalesce(F.max(F.when(F.col("_won") == won, F.col("_n"))), F.lit(0))
+    run = F.struct("_won", "_n")
+    days = islands.groupBy(*cell).agg(
+        F.min_by(run, "_from").alias("first"), F.max_by(run, "_from").alias("last"), F.count("*").alias("runs"),
+        most(True).alias("wins"), most(False).alias("losses"),
+    )
+    start = F.struct(F.lit(True).alias("won"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("wins"), F.lit(0).cast("bigint").alias("losses"))
+
+    def follow(now: Column, day: Column) -> Column:
+        first = day["first"]["_n"] + F.when(day["first"]["_won"] == now["won"], now["n"]).otherwise(0)
+        end = F.when(day["runs"] == 1, first).otherwise(day["last"]["_n"])
+        best = lambda won, k: F.greatest(now[k], day[k], F.when(day["first"]["_won"] == won, first).otherwise(0))
+        return F.struct(day["last"]["_won"].alias("won"), end.alias("n"), best(True, "wins").alias("wins"), best(False, "losses").alias("losses"))
+
+    ordered = F.array_sort(F.collect_list(F.struct("exit_date", "first", "last", "runs", "wins", "losses")))
+    done = days.groupBy(*by).agg(F.aggregate(ordered, start, follow).alias("s"))
+    return done.select(*by, F.col("s.wins").alias("longest_wins"), F.col("s.losses").alias("longest_losses"))
 
 
 def equity_metrics(curve: DataFrame, by: list[str], date: str, balance: str, least_days: int = 30) -> DataFrame:

@@ -80,8 +80,9 @@ def jon_09(spark, sf_dir):
 
 @query("STA-01", market.oracle(_BASE, f"WITH {_RETURNS},\n    {_MODEL} SELECT event_id, n_est, round(b0, 5) AS beta_mkt_rf, round(b1, 5) AS beta_smb, round(b2, 5) AS beta_hml, round(resid_std, 6) AS resid_std FROM model"))
 def sta_01(spark, sf_dir):
-    models = es.fitted_models(es.simple_returns(market.prices(spark, sf_dir)), market.factors(spark, sf_dir), market.events(spark, sf_dir))
-    return models.select("event_id", "n_est", *[F.round(f"beta_{x}", 5).alias(f"beta_{x}") for x in es.X], F.round("resid_std", 6).alias("resid_std"))
+    events = market.events(spark, sf_dir)
+    models = es.fitted_models(es.simple_returns(market.prices(spark, sf_dir)), market.factors(spark, sf_dir), events)
+    return events.select("event_id", "ticker", "d0").join(models, ["ticker", "d0"]).select("event_id", "n_est", *[F.round(f"beta_{x}", 5).alias(f"beta_{x}") for x in es.X], F.round("resid_std", 6).alias("resid_std"))
 
 
 @query("STA-02", market.oracle(_BASE, f"{_ALL} SELECT event_id, window_days, n_days, n_est, round(car, 5) AS car, round(resid_std, 6) AS resid_std, round(event_std, 6) AS event_std FROM car"))

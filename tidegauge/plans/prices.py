@@ -136,8 +136,8 @@ def jon_03(spark, sf_dir):
 def jon_04(spark, sf_dir):
     bad = _bars(spark, sf_dir).where("high > 2 * low and volume < 60").select("ticker", "trade_date")
     events = _events(spark, sf_dir)
-    hit = joins.between_days(events.select("event_id", "ticker", "d0"), bad, "ticker", "d0", "trade_date", -5, 45)
-    return events.join(hit.select("event_id"), "event_id", "left_anti").select("event_id")
+    hit = joins.between_days(events.select("ticker", "d0").distinct(), bad, "ticker", "d0", "trade_date", -5, 45)
+    return events.join(hit.select("ticker", "d0").distinct(), ["ticker", "d0"], "left_anti").select("event_id")
 
 
 @query("JON-05", market.oracle("prices events", """
@@ -168,10 +168,12 @@ def jon_07(spark, sf_dir):
     SELECT event_id, count(*) AS n_bars, min(trade_date) AS first_bar, max(trade_date) AS last_bar, max(high) AS top
     FROM ev JOIN prices p ON ev.ticker = p.ticker AND trade_date BETWEEN d0 - 30 AND d0 + 20 GROUP BY event_id"""))
 def jon_08(spark, sf_dir):
-    near = joins.between_days(_events(spark, sf_dir).select("event_id", "ticker", "d0"), _bars(spark, sf_dir), "ticker", "d0", "trade_date", -30, 20)
-    return near.groupBy("event_id").agg(
+    events = _events(spark, sf_dir).select("event_id", "ticker", "d0")
+    near = joins.between_days(events.select("ticker", "d0").distinct(), _bars(spark, sf_dir), "ticker", "d0", "trade_date", -30, 20)
+    sums = near.groupBy("ticker", "d0").agg(
         F.count("*").alias("n_bars"), F.min("trade_date").alias("first_bar"), F.max("trade_date").alias("last_bar"), F.max("high").alias("top")
     )
+    return events.join(sums, ["ticker", "d0"]).drop("ticker", "d0")
 
 
 @query("TSQ-01", market.oracle("prices", """

@@ -93,7 +93,7 @@ def scl_08(spark, sf_dir):
 
 
 @query("SCL-09", """
-    SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN '+' ELSE '-' END || printf('%.1f', abs(c_acctbal / 100)) || '%' AS change, '$' || floor(abs(c_acctbal) + 0.5)::BIGINT AS amount,
+    SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN '+' ELSE '-' END || printf('%.1f', floor(abs(c_acctbal) / 10 + 0.5) / 10) || '%' AS change, '$' || floor(abs(c_acctbal) + 0.5)::BIGINT AS amount,
            CASE WHEN c_acctbal IS NULL THEN 'n/a' ELSE printf('[%.2f, %.2f]', c_acctbal - 1, c_acctbal + 1) END AS interval_text FROM customer""")
 def scl_09(spark, sf_dir):
     v = F.col("c_acctbal")
@@ -268,11 +268,11 @@ def agg_22(spark, sf_dir):
 
 @query("TSQ-04", market.oracle("prices", """
     SELECT p.ticker, count(*) AS bars FROM prices p JOIN (SELECT ticker, max(trade_date) AS captured FROM prices GROUP BY 1) c USING (ticker)
-    LEFT JOIN (SELECT p_type AS ticker, DATE '2001-11-20' + length(p_type)::INT AS reviewed FROM part GROUP BY ALL) r USING (ticker) WHERE reviewed IS NULL OR captured > reviewed GROUP BY 1"""))
+    LEFT JOIN (SELECT p_type AS ticker, DATE '2001-09-20' + length(p_type)::INT * 7 AS reviewed FROM part GROUP BY ALL) r USING (ticker) WHERE reviewed IS NULL OR captured > reviewed GROUP BY 1"""))
 def tsq_04(spark, sf_dir):
     """Only series that were captured after their last review are reviewed again."""
     bars = market.prices(spark, sf_dir)
-    reviewed = _table(spark, sf_dir, "part").select(F.col("p_type").alias("ticker"), F.date_add(F.lit("2001-11-20").cast("date"), F.length("p_type")).alias("reviewed")).distinct()
+    reviewed = _table(spark, sf_dir, "part").select(F.col("p_type").alias("ticker"), F.date_add(F.lit("2001-09-20").cast("date"), F.length("p_type") * 7).alias("reviewed")).distinct()
     return lookback.captured_after(bars, "trade_date", reviewed).groupBy("ticker").agg(F.count("*").alias("bars"))
 
 

@@ -52,9 +52,9 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-@query("SIM-01", _sql("SELECT event_id, side, entry_date, entry, exit_date, round(exit, 6) AS exit, reason FROM trades"))
+@query("SIM-01", _sql("SELECT event_id, side, entry_date, entry, exit_date, round(exit + 0.00000002::DOUBLE, 6) AS exit, reason FROM trades"))
 def sim_01(spark, sf_dir):
-    return trade_table(spark, sf_dir).select("event_id", "side", "entry_date", "entry", "exit_date", F.round("exit", 6).alias("exit"), "reason")
+    return trade_table(spark, sf_dir).select("event_id", "side", "entry_date", "entry", "exit_date", F.round(F.col("exit") + 2e-8, 6).alias("exit"), "reason")
 
 
 _METRICS = """count(*) AS n, count(*) FILTER (pnl_pct > 0) AS wins, count(*) FILTER (pnl_pct <= 0) AS losses,
@@ -146,9 +146,9 @@ def sta_20(spark, sf_dir):
 
 @query("AGG-09", market.oracle(_BASE, f"""{_ALL},
     c AS (SELECT event_id, event_class, d0, car * 100 AS x FROM car WHERE window_days = 20),
-    day AS (SELECT event_class, d0, count(*) AS k, sum(x) AS sx, sum(x * x) AS sxx, count(*) FILTER (abs(x) >= 5) AS o5, count(*) FILTER (abs(x) >= 10) AS o10, count(*) FILTER (abs(x) >= 20) AS o20 FROM c GROUP BY ALL),
+    daily AS (SELECT event_class, d0, count(*) AS k, sum(x) AS sx, sum(x * x) AS sxx, count(*) FILTER (abs(x) >= 5) AS o5, count(*) FILTER (abs(x) >= 10) AS o10, count(*) FILTER (abs(x) >= 20) AS o20 FROM c GROUP BY ALL),
     s AS (SELECT a.event_class, a.d0, coalesce(sum(b.k), 0) AS n, sum(b.sx) AS sx, sum(b.sxx) AS sxx, sum(b.o5) AS o5, sum(b.o10) AS o10, sum(b.o20) AS o20
-          FROM (SELECT DISTINCT event_class, d0 FROM c) a LEFT JOIN day b ON a.event_class = b.event_class AND b.d0 < a.d0 - 20 GROUP BY ALL),
+          FROM (SELECT DISTINCT event_class, d0 FROM c) a LEFT JOIN daily b ON a.event_class = b.event_class AND b.d0 < a.d0 - 20 GROUP BY ALL),
     m AS (SELECT *, sx / n AS mean, sqrt(greatest(0, (sxx - sx * sx / n) / nullif(n - 1, 0))) AS sd, coalesce(n / (n + 15) * sx / n, 0) AS mag FROM s)
     SELECT event_id, n::BIGINT AS n_analogues, round(mag, 4) AS magnitude, CASE WHEN abs(mag) < 0.1 THEN 0.0 ELSE sign(mag) END::DOUBLE AS direction,
            round(coalesce(o5 * 100 / n, 0), 4) AS p_5, round(coalesce(o10 * 100 / n, 0), 4) AS p_10, round(coalesce(o20 * 100 / n, 0), 4) AS p_20,
@@ -161,11 +161,11 @@ def agg_09(spark, sf_dir):
 
 
 @query("DEC-01", """
-    SELECT o_orderkey, s.style, round((o_orderkey % 21 - 10) / 10 * abs(o_totalprice / 10000) / 100 * (o_orderkey % 101) / 100 * 60 / 100 * f, 10) AS ev,
-           round(least(abs((o_orderkey % 21 - 10) / 10 * abs(o_totalprice / 10000) / 100 * (o_orderkey % 101) / 100 * 60 / 100 * f) * 100 * 5 * (o_orderkey % 101) / 100, cap), 8) AS size_pct
+    SELECT o_orderkey, s.style, round((o_orderkey % 21 - 10) / 10 * abs(o_totalprice / 10000) / 100 * (o_orderkey % 101) / 100 * 60 / 100 * f + 0.000000000003::DOUBLE, 9) AS ev,
+           round(least(abs((o_orderkey % 21 - 10) / 10 * abs(o_totalprice / 10000) / 100 * (o_orderkey % 101) / 100 * 60 / 100 * f) * 100 * 5 * (o_orderkey % 101) / 100, cap) + 0.00000002::DOUBLE, 4) AS size_pct
     FROM orders, (VALUES ('conservative', 0.5::DOUBLE, 3.0::DOUBLE), ('balanced', 1.0::DOUBLE, 5.0::DOUBLE), ('aggressive', 1.8::DOUBLE, 8.0::DOUBLE)) AS s(style, f, cap)""")
 def dec_01(spark, sf_dir):
-    return _rounded(_decision_inputs(spark, sf_dir).select("o_orderkey", "style", F.round("ev", 10).alias("ev"), F.round("size_pct", 8).alias("size_pct")), 10)
+    return _rounded(_decision_inputs(spark, sf_dir).select("o_orderkey", "style", F.round(F.col("ev") + 3e-12, 9).alias("ev"), F.round(F.col("size_pct") + 2e-8, 4).alias("size_pct")), 10)
 
 
 def _decision_inputs(spark, sf_dir) -> DataFrame:
