@@ -260,14 +260,14 @@ def qry_05(spark, sf_dir):
 
 
 @query("QRY-06", market.oracle("prices", """
-    SELECT ticker, arg_max(close, trade_date) AS last_close, count(*) AS n, list(round(close, 4) ORDER BY trade_date) FILTER ((k - 1) % greatest(n0 // 60, 1) = 0 OR k = n0) AS sparkline
+    SELECT ticker, arg_max(close, trade_date) AS last_close, count(*) AS n, list(round(close + 0.000000003::DOUBLE, 4) ORDER BY trade_date) FILTER ((k - 1) % greatest(n0 // 60, 1) = 0 OR k = n0) AS sparkline
     FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY trade_date) AS k, count(*) OVER (PARTITION BY ticker) AS n0 FROM prices) GROUP BY ticker"""))
 def qry_06(spark, sf_dir):
     """Home summary with a thinned series of about sixty points."""
     from ..operators import windows
 
     bars = market.prices(spark, sf_dir)
-    point = F.struct("trade_date", F.round("close", 4).alias("c"))
+    point = F.struct("trade_date", F.round(F.col("close") + 3e-9, 4).alias("c"))
     line = windows.thinned(bars, "ticker", "trade_date", 60).groupBy("ticker").agg(F.transform(F.array_sort(F.collect_list(point)), lambda p: p["c"]).alias("sparkline"))
     return bars.groupBy("ticker").agg(F.max_by("close", "trade_date").alias("last_close"), F.count("*").alias("n")).join(line, "ticker")
 
