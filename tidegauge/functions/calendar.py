@@ -40,17 +40,18 @@ def observed(day: Column) -> Column:
     return F.when(F.weekday(day) == 5, F.date_sub(day, 1)).when(F.weekday(day) == 6, F.date_add(day, 1)).otherwise(day)
 
 
-def is_holiday(day: Column) -> Column:
-    """Weekday closures of the exchange. New Year's Day on a Saturday is not moved to the Friday before."""
-    year = F.year(day)
+def holidays_of(year: Column) -> Column:
+    """Array of the weekday closures of a year. New Year's Day on a Saturday is not moved to the Friday before."""
     new_year = _date(year, 1, 1)
-    out = (day == observed(new_year)) & (F.weekday(new_year) != 5)
-    for month, weekday, nth in ((1, 0, 3), (2, 0, 3), (5, 0, -1), (9, 0, 1), (11, 3, 4)):
-        out = out | (day == nth_weekday(year, month, weekday, nth))
-    out = out | (day == F.date_sub(easter_sunday(year), 2))
-    out = out | ((year >= 2022) & (day == observed(_date(year, 6, 19))))
-    out = out | (day == observed(_date(year, 7, 4))) | (day == observed(_date(year, 12, 25)))
-    return out | day.isin(*[F.lit(d).cast("date") for d in EXTRA_CLOSURES])
+    days = [F.when(F.weekday(new_year) != 5, observed(new_year)), F.date_sub(easter_sunday(year), 2)]
+    days += [nth_weekday(year, month, weekday, nth) for month, weekday, nth in ((1, 0, 3), (2, 0, 3), (5, 0, -1), (9, 0, 1), (11, 3, 4))]
+    days += [F.when(year >= 2022, observed(_date(year, 6, 19))), observed(_date(year, 7, 4)), observed(_date(year, 12, 25))]
+    return F.array_compact(F.array(*days))
+
+
+def is_holiday(day: Column) -> Column:
+    """For a few days; large tables join the calendar, where each holiday is worked out once."""
+    return F.array_contains(holidays_of(F.year(day)), day) | day.isin(*[F.lit(d).cast("date") for d in EXTRA_CLOSURES])
 
 
 def is_session(day: Column) -> Column:
@@ -67,28 +68,36 @@ def closes_early(day: Column) -> Column:
 def calendar(spark: SparkSession, start: str, end: str) -> DataFrame:
     """``day, is_session, closes_early, next_session`` of every day from ``start`` to ``end``.
 
-    The next session is the day itself on a session; null after the last one.
+    The next session is the day itself on a session; null after the last one. Rules
+    are worked out per year, and days take them by joins.
     """
+    years = spark.range(int(start[:4]), int(end[:4]) + 1).select(F.col("id").cast("int").alias("y"))
+    extra = spark.createDataFrame([(d,) for d in EXTRA_CLOSURES], "day string").select(F.to_date("day").alias("day"))
+    closed = years.select(F.explode(holidays_of(F.col("y"))).alias("day")).union(extra).distinct().withColumn("_closed", F.lit(True))
+    short = years.select(F.date_add(nth_weekday(F.col("y"), 11, 3, 4), 1).alias("day"), F.lit(True).alias("_short"))
     days = spark.sql(f"SELECT explode(sequence(DATE'{start}', DATE'{end}')) AS day")
-    marked = days.select("day", is_session(F.col("day")).alias("is_session"), closes_early(F.col("day")).alias("closes_early"))
+    joined = days.join(F.broadcast(closed), "day", "left").join(F.broadcast(short), "day", "left")
+    session = (F.weekday("day") < 5) & F.col("_closed").isNull()
+    eve = F.date_format("day", "MM-dd").isin("07-03", "12-24") & (F.weekday("day") <= 3)
+    marked = joined.select("day", session.alias("is_session"), (session & (F.col("_short").isNotNull() | eve)).alias("closes_early"))
     ahead = Window.orderBy("day").rowsBetween(0, Window.unboundedFollowing)  # a row per day
     return marked.withColumn("next_session", F.min(F.when(F.col("is_session"), F.col("day"))).over(ahead))
 
 
-def event_day(local: Column) -> Column:
-    """Day from which an event counts, before rolling to a session: the local day, or the next one if the
-    time is unknown (midnight) or at or after that day's close."""
-    day = F.to_date(local)
-    minutes = F.hour(local) * 60 + F.minute(local) + F.second(local) / 60.0
-    close = F.when(closes_early(day), 13 * 60).otherwise(16 * 60)
-    return F.when((minutes == 0) | (minutes >= close), F.date_add(day, 1)).otherwise(day)
-
+def assigned(df: DataFrame, local: str, name: str, days: DataFrame) -> DataFrame:
+    """``df`` with ``name``: the session on which an event at the time ``local`` counts, by the calendar ``days``.
 
-def rolled_forward(df: DataFrame, day: str, name: str) -> DataFrame:
-    """``df`` with ``name``: the first session at or after ``day``. Exchanges never close for ten days in a row."""
-    ahead = F.sequence(F.lit(0), F.lit(10))
-    sessions = F.filter(F.transform(ahead, lambda k: F.date_add(F.col(day), k)), is_session)
-    return df.withColumn(name, F.get(sessions, F.lit(0)))
+    That is the local day, or the next one if the hour is unknown (midnight) or at or
+    after that day's close, rolled to a session. Null outside the calendar, which has a row per
+    day and is broadcast.
+    """
+    early = days.select(F.col("day").alias("_day"), F.col("closes_early").alias("_early"))
+    rolled = days.select(F.col("day").alias("_from"), F.col("next_session").alias(name))
+    time = F.date_format(local, "HH:mm:ss")
+    late = (F.date_format(local, "HH:mm:ss.SSSSSS") == "00:00:00.000000") | (time >= F.when(F.col("_early"), "13:00:00").otherwise("16:00:00"))
+    dated = df.withColumn("_day", F.to_date(local)).join(F.broadcast(early), "_day", "left")
+    dated = dated.withColumn("_from", F.when(late, F.date_add("_day", 1)).otherwise(F.col("_day")))
+    return dated.join(F.broadcast(rolled), "_from", "left").drop("_day", "_early", "_from")
 
 
 def hour_unknown(at: Column, created: Column, zone: str = "America/New_York") -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
@@ -180,8 +179,8 @@ def cal_02(spark, sf_dir):
 def cal_03(spark, sf_dir):
     """The session on which an event counts: the next one if its hour is unknown or after the close."""
     local = F.from_utc_timestamp(F.col("ts").cast("timestamp"), "America/New_York")
-    events = _table(spark, sf_dir, "events").select("event_id", cal.event_day(local).alias("day"))
-    return cal.rolled_forward(events, "day", "d0").select("event_id", "d0")
+    events = _table(spark, sf_dir, "events").select("event_id", local.alias("local"))
+    return cal.assigned(events, "local", "d0", cal.calendar(spark, "1995-01-01", "2030-12-31")).select("event_id", "d0")
 
 
 @query("CAL-04", """
@@ -342,7 +341,6 @@ def qry_25(spark, sf_dir):
 
 @query("SIM-05", "SELECT user_id, event_type, min(ts) AS claimed_at FROM events GROUP BY ALL")
 def sim_05(spark, sf_dir):
-    """Claim once: the first of equal notifications is sent, by a window over each key's claims."""
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    rows = _table(spark, sf_dir, "events").withColumn("k", F.row_number().over(w))
-    return rows.where("k = 1").select("user_id", "event_type", F.col("ts").alias("claimed_at"))
+    """Claim once: of equal notifications the first is sent; each task keeps its first before the shuffle."""
+    first = F.min(F.struct("ts", "event_id"))["ts"]
+    return _table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(first.alias("claimed_at"))

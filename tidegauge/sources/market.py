@@ -46,27 +46,26 @@ def _mean_price():
     return F.sum("cents").cast("double") / (100 * F.sum("l_quantity"))
 
 
-def _daily_return(lines: DataFrame, name: str) -> DataFrame:
-    day = lines.groupBy("trade_date").agg(_mean_price().alias("level"))
-    w = Window.orderBy("trade_date")  # a row per calendar day of the whole market, not per line
-    return day.select("trade_date", (F.col("level") / F.lag("level").over(w) - 1).alias(name))
-
-
 def factors(spark: SparkSession, sf_dir: str, rf: float = 0.00005) -> DataFrame:
-    """``trade_date, mkt_rf, smb, hml, rf``: market, small minus large ``p_size``, high minus low ``p_retailprice``."""
+    """``trade_date, mkt_rf, smb, hml, rf``: market, small minus large ``p_size``, high minus low ``p_retailprice``.
+
+    One pass over the lines makes the daily level of every part of the market; a
+    part's return is against its last level before. Days on which a part has no line go.
+    """
     typical = table(spark, sf_dir, "part").agg(F.avg("p_retailprice").alias("typical"))  # one row
     lines = _lines(spark, sf_dir, "p_type").crossJoin(F.broadcast(typical))
-    market = _daily_return(lines, "mkt")
     parts = {
+        "mkt": F.lit(True),
         "small": F.col("p_size") <= 25,
         "large": F.col("p_size") > 25,
         "value": F.col("p_retailprice") > F.col("typical"),
         "growth": F.col("p_retailprice") <= F.col("typical"),
     }
-    out = market
-    for name, condition in parts.items():
-        out = out.join(_daily_return(lines.where(condition), name), "trade_date")
-    return out.dropna().select(
+    level = lambda c: F.sum(F.when(c, F.col("cents"))).cast("double") / (100 * F.sum(F.when(c, F.col("l_quantity"))))
+    day = lines.groupBy("trade_date").agg(*[level(c).alias(n) for n, c in parts.items()])
+    before = Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, -1)  # a row per calendar day of the whole market
+    returned = day.select("trade_date", *[(F.col(n) / F.last(n, ignorenulls=True).over(before) - 1).alias(n) for n in parts]).dropna()
+    return returned.select(
         "trade_date",
         (F.col("mkt") - rf).alias("mkt_rf"),
         (F.col("small") - F.col("large")).alias("smb"),
