@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 # Floors of the abstention rules, and thresholds of the expected value by style.
 NOVELTY_FLOOR, CONFIDENCE_FLOOR, TRADED_FLOOR = 20, 40, 1_000_000
 SPLIT_CONVICTION, SPLIT_CONFIDENCE = 0.15, 60.0
@@ -112,8 +114,9 @@ def review(
 
 def saturation_levels(moves: DataFrame, by: str, day: str, move: str, least: int = 5, multiple: float = 2.0) -> DataFrame:
     """``by``, ``saturation``: a multiple of the median size of the moves of a class; null under ``least`` of them."""
-    level = F.when(F.count(move) >= least, multiple * F.percentile(F.abs(F.col(move)), F.lit(0.5)))
-    return moves.groupBy(by).agg(level.alias("saturation"))
+    sized = moves.select(by, F.abs(F.col(move)).alias("_size"))
+    counted = sized.groupBy(by).agg(F.count("_size").alias("_n")).join(exact_quantiles(sized, "_size", [by], {"_middle": 0.5}), by, "left")
+    return counted.select(by, F.when(F.col("_n") >= least, multiple * F.col("_middle")).alias("saturation"))
 
 
 def later_moves(entered: DataFrame, bars: DataFrame, hedge: DataFrame, bars_ahead: int = 5) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import between_days
+from .quantiles import exact_quantiles, quantiles_of, value_counts
 
 X = ("mkt_rf", "smb", "hml")
 
@@ -120,22 +121,23 @@ def first_per_event_day(car: DataFrame) -> DataFrame:
 
 def class_statistics(car: DataFrame, by: tuple[str, ...] = ("event_class",)) -> DataFrame:
     """Mean, quartiles, spread, t and minimal detectable effect of ``car_pct`` per class; null under three events."""
-    x = F.col("car_pct")
     enough = lambda c: F.when(F.col("n") >= 3, c)
-    sums = car.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.avg(x).alias("m"),
-        F.stddev_samp(x).alias("s"),
-        F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
+    counts = value_counts(car, "car_pct", list(by))  # the one shuffle that everything here starts from
+    moments = counts.groupBy(*by).agg(
+        F.sum("_k").alias("n"), F.sum(F.col("_v") * F.col("_k")).alias("t"), F.sum(F.col("_v") * F.col("_v") * F.col("_k")).alias("q")
     )
+    mean = F.col("t") / F.col("n")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("q") - F.col("t") * mean, F.nullif(F.col("n") - 1, F.lit(0)))))
+    quartiles = quantiles_of(counts, list(by), {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    sums = moments.withColumns({"m": mean, "s": F.when(F.col("n") > 1, spread)}).join(F.broadcast(quartiles), list(by), "left")
     t = F.try_divide(F.col("m"), F.nullif(F.col("s") / F.sqrt("n"), F.lit(0.0)))
     return sums.select(
         *by,
         "n",
         enough(F.col("m")).alias("mean"),
-        enough(F.col("q")[0]).alias("p25"),
-        enough(F.col("q")[1]).alias("median"),
-        enough(F.col("q")[2]).alias("p75"),
+        enough(F.col("q25")).alias("p25"),
+        enough(F.col("q50")).alias("median"),
+        enough(F.col("q75")).alias("p75"),
         enough(F.col("s")).alias("std"),
         enough(t).alias("t_stat"),
         enough(2.8 * F.col("s") / F.sqrt("n")).alias("mde"),
@@ -144,11 +146,10 @@ def class_statistics(car: DataFrame, by: tuple[str, ...] = ("event_class",)) ->
 
 def winsorised(df: DataFrame, value: str, by: list[str], low: float = 0.01, high: float = 0.99, least: int = 100) -> DataFrame:
     """``value`` clamped to its percentiles within groups of ``least`` rows or more."""
-    bounds = df.groupBy(*by).agg(
-        F.count(value).alias("_n"), F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q")
-    )
-    clamp = F.greatest(F.col("_q")[0], F.least(F.col("_q")[1], F.col(value)))
-    return df.join(bounds, by).withColumn(value, F.when(F.col("_n") >= least, clamp).otherwise(F.col(value))).drop("_n", "_q")
+    counted = df.groupBy(*by).agg(F.count(value).alias("_n"))
+    bounds = counted.join(exact_quantiles(df, value, by, {"_low": low, "_high": high}), by, "left")
+    clamp = F.greatest(F.col("_low"), F.least(F.col("_high"), F.col(value)))
+    return df.join(bounds, by).withColumn(value, F.when(F.col("_n") >= least, clamp).otherwise(F.col(value))).drop("_n", "_low", "_high")
 
 
 def clustered_t(df: DataFrame, value: str, by: list[str], cluster: str) -> DataFrame:

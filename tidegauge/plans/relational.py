@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import finance, text
 from ..operators import changes, joins
+from ..operators.quantiles import exact_quantiles
 from ..sources.market import events as market_events
 from ..sources.market import fundamentals, oracle, table
 from .registry import query
@@ -209,9 +210,8 @@ def agg_05(spark, sf_dir):
 
 @query("AGG-06", "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.01) AS p01, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.99) AS p99 FROM (SELECT l_returnflag, round(l_extendedprice) AS l_extendedprice FROM lineitem) GROUP BY 1")
 def agg_06(spark, sf_dir):
-    q = F.percentile(F.round("l_extendedprice"), F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
-    found = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(q.alias("q"))
-    return found.select("l_returnflag", *[F.col("q")[i].alias(n) for i, n in enumerate(("p01", "p50", "p99"))])
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", F.round("l_extendedprice").alias("v"))
+    return exact_quantiles(lines, "v", ["l_returnflag"], {"p01": 0.01, "p50": 0.5, "p99": 0.99})
 
 
 @query("AGG-08", "SELECT c_mktsegment, n_name, count(*) AS n, count(*) FILTER (c_acctbal > 5000) AS rich FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL ORDER BY rich DESC, n DESC, c_mktsegment, n_name LIMIT 20")
