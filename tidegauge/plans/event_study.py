@@ -17,12 +17,6 @@ def car_table(spark: SparkSession, sf_dir: str, ticker: str = "p_type", windows:
     return es.cumulative_abnormal_returns(returns, market.factors(spark, sf_dir), events, windows)
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event study of the 20-day abnormal return per class, tickers by return flag."""
-    car = es.first_per_event_day(car_table(spark, sf_dir, "l_returnflag", (20,)))
-    return _statistics(car)
-
-
 def _statistics(car: DataFrame) -> DataFrame:
     stats = es.class_statistics(car.withColumn("car_pct", F.col("car") * 100))
     return stats.select("event_class", "n", *[F.round(c, 5).alias(c) for c in ("mean", "p25", "median", "p75", "std", "t_stat", "mde")])
