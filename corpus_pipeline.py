@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import exact_dedup, mixing, packing, quality_rules, simhash
+from tidegauge.llm import exact_dedup, mixing, near_copies as near, packing, quality_rules
 from tidegauge.llm.common import documents, labels, written
 
 
@@ -19,8 +19,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the row with the smallest doc_id stays."""
-    return simhash.without_near_duplicates(docs)
+    """Of each group of texts with a 5-word Jaccard similarity of 0.8 or more, the row with the smallest doc_id stays."""
+    return near.without_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Learned rules, and fingerprints with connected components, are beyond SQL.
+#: Learned rules, and similarity with connected components, are beyond SQL.
 ORACLE_SQL = None
 
 

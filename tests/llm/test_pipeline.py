@@ -31,6 +31,21 @@ def test_stages_on_a_small_corpus(spark, stored):
     assert {r.doc_id for r in packed} == set(seen["mixing"])
 
 
+def test_near_copies_go_by_the_similarity_of_texts(spark):
+    texts = {}
+    for g in range(30):
+        a = words(120, 900 + g).split()
+        b, c = a.copy(), a.copy()
+        b[30], b[60] = "edited", "there"
+        for k in range(5, 115, 10):
+            c[k] = "other"
+        texts |= {3 * g + i: " ".join(w) for i, w in enumerate((a, b, c))}
+    texts |= {90: None, 91: " \t", 92: "few words", 93: "Few  Words", 94: "few other"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(5)
+    stay = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
+    assert stay == {i for i in range(90) if i % 3 != 1} | {90, 92, 94}
+
+
 def test_empty_tables(spark, stored):
     docs, labels = _tables(spark)
     folder = stored(documents=docs.limit(0), labels=labels.limit(0))

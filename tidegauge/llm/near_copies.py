@@ -1,0 +1,122 @@
+"""Near copies of whole texts for the pipeline: 5-word Jaccard similarity, verified on the texts.
+
+Texts with one set of shingles are one node. Candidates agree in a band of min-hashes:
+``BANDS`` bands of ``ROWS`` functions, which two texts alike to 0.8 miss together with a
+probability of (1 - 0.8^4)^16, about 0.0002. In a band's group each node is linked to the first
+``PIVOTS``, so a group of more can miss a pair that no pivot joins. Links are verified
+before components are taken.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import BROADCAST_ROWS, parquet_path, place, without_places, written
+from .components import connected_components
+from .passages import _MIX, _mixed, shingles_of_all
+
+WIDTH, SIMILAR = 5, 0.8
+BANDS, ROWS = 16, 4
+PIVOTS = 16
+_SALTS = _mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _MIX[0])
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the 5-word shingles; a shorter text is one shingle, one without words none."""
+    for width in range(WIDTH, 0, -1):
+        found = np.unique(shingles_of_all([text], width)[0])
+        if len(found):
+            return found
+    return found
+
+
+def bands_of(held: np.ndarray) -> np.ndarray:
+    if not len(held):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(held), 4096):
+        part = held[at : at + 4096]
+        least = np.minimum(least, _mixed(part[None, :] ^ _SALTS[:, None]).min(axis=1))
+    out = np.arange(BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        out = _mixed(out * _MIX[0] ^ least.reshape(BANDS, ROWS)[:, k])
+    return out.view(np.int64)
+
+
+def alike(one: np.ndarray, two: np.ndarray) -> bool:
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return both >= SIMILAR * (len(one) + len(two) - both)
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(x) for x in batch.column(1).to_pylist()]
+        node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(node), pa.array([bands_of(s) for s in sets], pa.list_(pa.int64()))],
+            names=["who", "node", "bands"],
+        )
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last, heads = None, []
+    for batch in batches:
+        a, b = [], []
+        for band, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if band != last:
+                last, heads = band, []
+            a += [node] * len(heads)
+            b += heads
+            if len(heads) < PIVOTS:
+                heads.append(node)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = [
+            alike(shingle_set(x), shingle_set(y))
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+        ]
+        kept = batch.filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+
+
+def without_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component of texts alike to SIMILAR the one
+    with the smallest doc_id (a null id only if all are null; of equal ids, the first by file and row).
+
+    Null texts and texts without words are one component.
+    """
+    spark, path = docs.sparkSession, parquet_path(docs, "near-dedup-input")
+    rows = spark.read.schema(docs.schema).parquet(path).select(
+        F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), place().alias("place")).alias("who"),
+        F.col(text).alias("text"),
+    )
+    who = rows.schema["who"].dataType.simpleString()
+    prints = written(rows.mapInArrow(_signed, f"who {who}, node bigint, bands array<bigint>"), "near-prints")
+    nodes = prints.groupBy("node").agg(F.min("who").alias("least"))
+    banded = prints.select("node", F.explode("bands").alias("band")).distinct()
+    dealt = banded.select("band", "node").repartition("band").sortWithinPartitions("band", "node")
+    pairs = written(dealt.mapInArrow(_candidates, "a bigint, b bigint").distinct(), "near-pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+    named = written(named.select("node", F.col("least.place").alias("place")), "near-named")
+    small = named.count() <= BROADCAST_ROWS
+    texts = rows.select(F.col("who.place").alias("place"), "text").join(F.broadcast(named) if small else named, "place")
+    texts = written(texts.select("node", "text"), "near-texts")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("one")), "a").join(
+        texts.select(F.col("node").alias("b"), F.col("text").alias("two")), "b"
+    )
+    roots = connected_components(both.select("a", "b", "one", "two").mapInArrow(_verified, "a bigint, b bigint"))
+    rooted = nodes.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(
+        "node", "least", F.coalesce("root", "node").alias("root")
+    )
+    stays = rooted.groupBy("root").agg(F.min("least").alias("smallest"))
+    goes = prints.select("who", "node").join(rooted.select("node", "root"), "node").join(stays, "root")
+    return without_places(spark, path, docs.schema, goes.where("who <> smallest").select("who.place.file", "who.place.row"))
