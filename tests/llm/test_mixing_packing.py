@@ -109,3 +109,55 @@ def test_batches_keep_budget_and_everything(spark, odd_docs, no_docs):
         batches = sorted(k[1] for k in by if k[0] == bucket)
         assert batches == list(range(len(batches))) and all(len(by[bucket, b]) == fits for b in batches[:-1])
     assert packing.packed(no_docs).count() == 0
+
+
+def test_pieces_joined_are_the_texts(spark, odd_docs):
+    docs = odd_docs.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(_docs(spark, 40).withColumn("doc_id", F.col("doc_id") + 100))
+    rows = packing.packed(docs, context=16, buckets=4, budget=64).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for i, text in texts.items():
+        mine = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece)
+        assert "".join(r.text or "" for r in mine) == (text or "")
+        assert all(len((r.text or "").encode().split()) == r.length and r.start == 16 * r.piece for r in mine)
+
+
+def test_batches_follow_the_order_and_part_repeats(spark):
+    r, rows = random.Random(4), []
+    for i in range(1500):
+        rows.append((r.randrange(1000), "w " * r.randint(1, 64), f"{i // 100:05}", f"{i:08}", i))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, block string, at string, i int").repartition(7)
+    out = packing.packed(docs, context=64, buckets=3, budget=256, order=("block", "at")).collect()
+    assert len(out) == 1500
+    place = {}
+    for doc_id, text, _, _, i in rows:
+        place.setdefault((doc_id, text), []).append(i)
+    by, repeated = {}, {}
+    for x in out:
+        by.setdefault(x.bucket, []).append((x.batch, min(place[x.doc_id, x.text]), len(place[x.doc_id, x.text])))
+        repeated.setdefault((x.bucket, x.doc_id, x.piece), []).append(x.batch)
+    assert sum(len(v) > 1 for v in repeated.values()) > 100
+    for key, batches in repeated.items():  # a stretch has 8 batches or more, or the bucket has no more
+        assert len(set(batches)) == len(batches), key
+    for found in by.values():  # stretches follow the order
+        once = sorted((i, b // packing.SPREAD) for b, i, n in found if n == 1)
+        last = max(s for _, s in once)
+        stretch = [min(s, max(last - 1, 0)) for _, s in once]
+        assert stretch == sorted(stretch)
+
+
+def test_mixed_copies_are_packed_apart_in_training_order(spark, stored):
+    import corpus_pipeline
+    from tidegauge.llm.common import written
+
+    docs = spark.read.parquet(f"{stored(documents=_docs(spark, 900))}/documents.parquet")
+    mixed = written(corpus_pipeline.mix(spark, docs, ""), "mixed")
+    out = corpus_pipeline.pack(spark, mixed, "").collect()
+    copies = {}
+    for x in out:
+        copies.setdefault((x.doc_id, x.piece), []).append((x.bucket, x.batch))
+    batches = {}
+    for x in out:
+        batches.setdefault(x.bucket, set()).add(x.batch)
+    several = [v for v in copies.values() if len(v) > 1]
+    assert several and all(len(set(v)) == min(len(v), len(batches[v[0][0]])) for v in several)
+    assert sum(x.length for x in out) == sum(len((r.text or "").split()) for r in mixed.collect())

@@ -1,9 +1,11 @@
+import itertools
 import random
 
 import numpy as np
 import xxhash
 
-from tidegauge.llm import queries, simhash
+from tidegauge.llm import exact_dedup, queries, simhash
+from .conftest import words
 
 
 def _brute_print(text):
@@ -104,3 +106,74 @@ def test_long_chain_is_one_component(spark):
     assert all(roots[i] == 0 for i in range(301)) and roots[1001] == roots[1000] == 1000
     assert np.unique(list(roots.values())).size == 2
     assert connected_components(links.limit(0)).count() == 0
+
+
+def test_pigeonring_passes_exactly_the_close_fingerprints():
+    r = np.random.default_rng(4)
+    a = r.integers(-(2**63), 2**63 - 1, (4, 400))
+    flips = [r.choice(256, r.integers(0, 140), replace=False) for _ in range(400)]
+    b = a.copy()
+    for i, bits in enumerate(flips):
+        for k in bits.tolist():
+            b[k // 64, i] ^= np.int64(np.uint64(1 << (k % 64)).view(np.int64))
+    assert (simhash.ring_close(a, b, 66) == [len(x) <= 66 for x in flips]).all()
+
+
+def test_wide_fingerprints_of_alike_texts_are_close():
+    r = random.Random(3)
+    for n in (6, 12, 60, 400):
+        for seed in range(60):
+            a = words(n, 100 * n + seed).split()
+            b = a.copy()
+            for at in r.sample(range(n), max(n // 50, 1)):
+                b[at] = "edited"
+            one, two = simhash.shingle_set(" ".join(a)), simhash.shingle_set(" ".join(b))
+            if simhash.alike(one, two):
+                x, y = (simhash.wide_fingerprint(s)[:, None] for s in (one, two))
+                assert simhash.ring_close(x, y, simhash.WIDE_TAU)[0]
+
+
+def test_near_copies_match_brute_force(spark):
+    r, texts = random.Random(8), {}
+    for g in range(60):
+        base = words(r.choice([8, 20, 60, 150]), 7000 + g).split()
+        for k in range(r.randint(1, 5)):
+            w = base.copy()
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = f"new{r.randrange(99)}"
+            texts[10 * g + k] = " ".join(w)
+    sets = {i: set(simhash.shingle_set(t).tolist()) for i, t in texts.items()}
+    parent = {i: i for i in texts}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in itertools.combinations(texts, 2):
+        if x // 10 == y // 10 and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+            a, b = sorted((root(x), root(y)))
+            parent[b] = a
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)
+    assert {k.doc_id for k in simhash.without_near_copies(docs).collect()} == {i for i in texts if root(i) == i}
+
+
+def test_near_copies_of_odd_rows_and_clashing_names(spark, odd_docs, no_docs):
+    clash = odd_docs.withColumnsRenamed({"lang": "node", "source": "band", "n_chars": "place"})
+    out = simhash.without_near_copies(clash)
+    assert out.columns == clash.columns
+    assert sorted((k.doc_id for k in out.collect()), key=str) == sorted([1, 3, 6, 7, 9, None], key=str)
+    assert simhash.without_near_copies(no_docs).count() == 0
+
+
+def test_reader_options_are_kept(spark, tmp_path):
+    folder = f"file://{tmp_path}/t"
+    for k in range(3):
+        spark.createDataFrame([(k, f"text number {k}")], "doc_id bigint, text string").coalesce(1).write.mode("append").parquet(folder)
+    names = sorted(p.name for p in (tmp_path / "t").glob("part-*.parquet"))
+    some = spark.read.option("pathGlobFilter", names[0]).parquet(folder)
+    assert some.count() == 1
+    for f in (simhash.without_near_copies, simhash.without_near_duplicates, exact_dedup.without_copies):
+        assert f(some).collect() == some.collect()
+        assert f(spark.read.option("pathGlobFilter", "none*").schema(some.schema).parquet(folder)).count() == 0
+        assert f(spark.read.parquet(folder)).count() == 3

@@ -46,13 +46,14 @@ BROADCAST_ROWS = 200_000
 
 def parquet_path(docs: DataFrame, name: str) -> str:
     """A path whose Parquet files hold exactly the rows of ``docs``: where it was read from if it is
-    a plain read of one path, else a fresh one in the shared folder that it is written to."""
+    a plain read of one path without options or partition columns, else a fresh one in the shared folder that it is
+    written to. Options can leave files out (``pathGlobFilter``, ``recursiveFileLookup``), so any of them counts."""
     plan = docs._jdf.queryExecution().analyzed()
     if plan.getClass().getSimpleName() == "LogicalRelation":
         relation = plan.relation()
         if relation.getClass().getSimpleName() == "HadoopFsRelation" and relation.fileFormat().toString() == "Parquet":
             roots = relation.location().rootPaths()
-            if roots.size() == 1:
+            if roots.size() == 1 and relation.options().removed("path").isEmpty() and relation.partitionSchema().isEmpty():
                 return roots.head().toString()
     path = fresh_path(docs.sparkSession, name)
     docs.write.parquet(path)

@@ -29,10 +29,11 @@ def running_sum(
     value: Column | None = None,
     narrow: DataFrame | None = None,
     per_group: DataFrame | None = None,
+    shard: Column | None = None,
 ) -> DataFrame:
     """``rows`` with ``before``: the sum of ``value`` (null: count of rows) over the rows of
     the same ``group`` (nulls are one group) that come earlier by ``order``, whose first
-    column is the MD5 ``key``; and ``group_total``. Rows equal in all of ``order`` come
+    column is the MD5 ``key``, or, if ``shard`` is given, within shards that sort in the order asked for; and ``group_total``. Rows equal in all of ``order`` come
     in any order among themselves. ``narrow`` may hold the same rows' ``group``, ``key``
     and value columns where they are cheaper to read than ``rows``. Columns of
     ``per_group``, a table with one row for every ``group``, are joined by way of the offsets.
@@ -43,7 +44,7 @@ def running_sum(
     # a null group is told from an empty one by a flag, so that an equi-join finds it
     marks = {"_none": F.col(group).isNull(), "_g": F.coalesce(F.col(group).cast("string"), F.lit(""))}
     by = [*marks, "_shard"]
-    sharded = marks | {"_shard": F.substring(key, 1, DIGITS), "_amount": amount}
+    sharded = marks | {"_shard": F.substring(key, 1, DIGITS) if shard is None else shard, "_amount": amount}
     placed = rows.withColumns(sharded)
     small = placed if narrow is None else narrow.withColumns(sharded)
     by_group = Window.partitionBy(*marks)
