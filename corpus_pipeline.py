@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import exact_dedup, mixing, near_copies as near, packing, quality_rules
+from tidegauge.llm import exact_dedup, mixing, packing, quality_rules, simhash
 from tidegauge.llm.common import documents, labels, written
 
 
@@ -20,7 +20,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts with a 5-word Jaccard similarity of 0.8 or more, the row with the smallest doc_id stays."""
-    return near.without_near_copies(docs)
+    return simhash.without_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row's pieces, dealt to buckets and batches."""
-    return packing.packed(docs)
+    """Every row's pieces with their texts, dealt to buckets and batches in the training order that the mix wrote them in."""
+    return packing.packed(packing.stored_order(docs), order=("_block", "_at"))
 
 
 STAGES = [
