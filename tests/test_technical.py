@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidegauge.operators import technical as t
+from tidegauge.operators import windows
 
 
 def walk(n: int = 320, seed: int = 7) -> pd.DataFrame:
@@ -26,53 +27,123 @@ def smoothed(values, alpha):
     return out
 
 
-def test_rsi_and_range_against_loops():
+def computed(spark, b: pd.DataFrame) -> pd.DataFrame:
+    b = b.copy()
+    b["ticker"], b["trade_date"] = "A", [d.date() for d in pd.bdate_range("2021-01-04", periods=len(b))]
+    return t.indicators(spark.createDataFrame(b)).toPandas().sort_values("trade_date", ignore_index=True)
+
+
+def near(got, wanted):
+    return np.allclose(np.asarray(got, float), np.asarray(wanted, float), atol=6e-5)
+
+
+def test_smoothed_means_against_loops_over_several_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(100, 20, 9_000)
+    b = pd.DataFrame({"ticker": "A", "trade_date": [d.date() for d in pd.date_range("2001-01-01", periods=len(x))], "x": x})
+    b.loc[:4, "x"] = np.nan
+    rows = spark.createDataFrame(b).withColumn("x", F.nanvl("x", F.lit(None).cast("double")))
+    asked = {"a": ("x", 1 / 14, 14), "b": ("x", 2 / 10, 9), "c": ("x", 2 / 51, 50), "d": ("x", 2 / 201, 200)}
+    got = windows.smoothed(rows, asked).toPandas().sort_values("trade_date", ignore_index=True)
+    for name, (_, alpha, least) in asked.items():
+        wanted = smoothed(x[5:], alpha)
+        assert got[name][: 5 + least - 1].isna().all() and np.allclose(got[name][5 + least - 1 :], wanted[least - 1 :], rtol=1e-10)
+
+
+def test_rsi_and_range_against_loops(spark):
     b = walk()
+    got = computed(spark, b)
     steps = [math.nan, *np.diff(b.close)]
     up = smoothed([max(x, 0) if x == x else x for x in steps], 1 / 14)
     down = smoothed([max(-x, 0) if x == x else x for x in steps], 1 / 14)
     wanted = [100 - 100 / (1 + u / d) for u, d in zip(up[14:], down[14:], strict=True)]
-    assert np.allclose(t.relative_strength(b.close)[14:], wanted)
+    assert near(got.rsi[14:], wanted) and got.rsi[:14].isna().all()
     ranges = [b.high[0] - b.low[0]] + [max(b.high[i] - b.low[i], abs(b.high[i] - b.close[i - 1]), abs(b.low[i] - b.close[i - 1])) for i in range(1, len(b))]
-    assert np.allclose(t.widest_range(b), ranges)
-    assert np.allclose(t.wilder(t.widest_range(b), 14)[13:], smoothed(ranges, 1 / 14)[13:])
-    assert t.relative_strength(pd.Series([5.0] * 40)).iloc[-1] == 50
-    assert t.relative_strength(pd.Series(np.arange(40.0))).iloc[-1] == 100
+    assert near(got.atr[13:], smoothed(ranges, 1 / 14)[13:]) and got.atr[:13].isna().all()
+    flat = pd.DataFrame({"close": [5.0] * 40, "high": [5.0] * 40, "low": [5.0] * 40, "volume": [1.0] * 40})
+    assert computed(spark, flat).rsi.iloc[-1] == 50
+    assert computed(spark, flat.assign(close=np.arange(40.0), high=np.arange(40.0), low=np.arange(40.0))).rsi.iloc[-1] == 100
+    low, high = ([f([x for x in got.rsi[i - 13 : i + 1]]) for i in range(27, len(got))] for f in (min, max))
+    assert np.allclose(got.stoch_rsi[27:], [(x - lo) / (hi - lo) for x, lo, hi in zip(got.rsi[27:], low, high, strict=True)], atol=1e-3)
 
 
-def test_directional_against_loops():
+def test_directional_against_loops(spark):
     b = walk(seed=3)
-    plus, minus = [math.nan], [math.nan]
+    plus, minus = [0.0], [0.0]
     for i in range(1, len(b)):
         up, down = b.high[i] - b.high[i - 1], b.low[i - 1] - b.low[i]
         plus.append(up if up > down and up > 0 else 0.0)
         minus.append(down if down > up and down > 0 else 0.0)
-    plus[0] = minus[0] = 0.0
-    tr = smoothed(t.widest_range(b), 1 / 14)
+    ranges = [b.high[0] - b.low[0]] + [max(b.high[i] - b.low[i], abs(b.high[i] - b.close[i - 1]), abs(b.low[i] - b.close[i - 1])) for i in range(1, len(b))]
+    tr = smoothed(ranges, 1 / 14)
     p, m = ([100 * a / r for a, r in zip(smoothed(x, 1 / 14), tr, strict=True)] for x in (plus, minus))
-    adx, got_p, got_m = t.directional(b)
-    assert np.allclose(got_p[13:], p[13:]) and np.allclose(got_m[13:], m[13:])
+    got = computed(spark, b)
+    assert near(got.plus_di[13:], p[13:]) and near(got.minus_di[13:], m[13:])
     dx = [math.nan] * 13 + [100 * abs(x - y) / (x + y) for x, y in zip(p[13:], m[13:], strict=True)]
-    assert np.allclose(adx[26:], smoothed(dx, 1 / 14)[26:])
-
-
-def test_cross_slope_and_divergence():
-    fast, slow = pd.Series([1.0, 1, 3, 3, 3, 1, 1]), pd.Series([2.0] * 7)
-    assert [None if x != x else x for x in t.since_cross(fast, slow, True)] == [None, None, 0, 1, 2, 3, 4]
-    assert [None if x != x else x for x in t.since_cross(fast, slow, False)] == [None] * 5 + [0, 1]
-    y = pd.Series(np.random.default_rng(1).normal(size=50))
-    assert np.isclose(t.rolling_slope(y).iloc[-1], np.polyfit(range(20), y[-20:], 1)[0])
-    close, rsi = np.full(30, 10.0), np.full(30, 50.0)
-    close[5], close[20], rsi[5], rsi[20] = 8, 7, 20, 30
-    assert t.divergence(close, rsi)[-1] == "bullish"
-    close[5], close[20], rsi[5], rsi[20] = 12, 13, 80, 70
-    assert t.divergence(close, rsi)[-1] == "bearish"
-
-
-def test_volume_profile():
-    poc, low, high = t.volume_profile(np.array([10.0] * 5 + [22.0] * 2 + [34.0]), np.ones(8))
-    assert (round(poc, 6), low) == (10.5, 10.0) and 22 <= high <= 23
-    assert all(map(math.isnan, t.volume_profile(np.array([1.0, 1.0]), np.ones(2))))
+    assert near(got.adx[26:], smoothed(dx, 1 / 14)[26:])
+
+
+def test_means_bands_and_flows_against_loops(spark):
+    b = walk(seed=5)
+    got = computed(spark, b)
+    fast, slow = smoothed(b.close, 2 / 13), smoothed(b.close, 2 / 27)
+    macd = [f - s for f, s in zip(fast, slow, strict=True)]
+    signal = [math.nan] * 25 + smoothed(macd[25:], 0.2)
+    assert near(got.macd[25:], macd[25:]) and near(got.macd_signal[33:], signal[33:])
+    for i in (40, 150, 319):
+        c, v = b.close[i - 19 : i + 1], b.volume[i - 19 : i + 1]
+        typical = (b.high + b.low + b.close)[i - 19 : i + 1] / 3
+        assert near([got.bb_mid[i], got.bb_upper[i], got.vwap20[i]], [c.mean(), c.mean() + 2 * c.std(), (typical * v).sum() / v.sum()])
+        assert near([got.volume_ratio[i], got.high_20[i], got.prev_low[i]], [b.volume[i] / b.volume[i - 20 : i].mean(), b.high[i - 20 : i].max(), b.low[i - 1]])
+        flow = np.sign(np.diff(b.close[: i + 1], prepend=b.close[0])) * b.volume[: i + 1]
+        assert near(got.obv_slope_20[i], np.polyfit(range(20), np.cumsum(flow)[-20:], 1)[0])
+        widths = [4 * np.std(b.close[k - 19 : k + 1], ddof=1) / np.mean(b.close[k - 19 : k + 1]) for k in range(max(19, i - 119), i + 1)]
+        assert near(got.bb_width_median_120[i], np.median(widths))
+        if len(widths) == 120:
+            assert got["squeeze"][i] == (min(widths[-10:]) <= np.quantile(widths, 0.2))
+    gap = [None if math.isnan(x) or math.isnan(y) else x - y for x, y in zip(got.sma50, got.sma200, strict=True)]
+    last = None
+    for i in range(1, len(b)):
+        if gap[i - 1] is not None and gap[i - 1] <= 0 < gap[i]:
+            last = i
+        assert (None if got.golden_ago.isna()[i] else got.golden_ago[i]) == (i - last if last is not None and i - last < 20 else None)
+
+
+def test_divergence(spark):
+    b = walk(n=200, seed=8)
+    got = computed(spark, b)
+    close, rsi = b.close.to_numpy(), got.rsi.to_numpy(float)
+    for i in range(len(b)):
+        c, r = close[max(i - 29, 0) : i + 1], rsi[max(i - 29, 0) : i + 1]
+        want = None
+        if len(c) == 30 and not np.isnan(r).any():
+            lo1, lo2, hi1, hi2 = c[:15].argmin(), c[15:].argmin() + 15, c[:15].argmax(), c[15:].argmax() + 15
+            if c[lo2] < c[lo1] and r[lo2] > r[lo1]:
+                want = "bullish"
+            elif c[hi2] > c[hi1] and r[hi2] < r[hi1]:
+                want = "bearish"
+        assert (got.rsi_divergence[i] or None) == want, i
+    assert set(got.rsi_divergence.dropna()) >= {"bullish"} or set(got.rsi_divergence.dropna()) >= {"bearish"}
+
+
+def test_volume_profile(spark):
+    table = np.array([[10.0] * 5 + [22.0] * 2 + [34.0], [1.0] * 8, [5.0] * 4 + [np.nan] * 4])
+    got = t.profiles(table, np.ones((3, 8)))
+    assert (round(got[0, 0], 6), got[0, 1]) == (10.5, 10.0) and 22 <= got[0, 2] <= 23
+    assert np.isnan(got[1:]).all()
+    b = walk(n=120, seed=2)
+    rows = computed(spark, b)
+    typical, volume = (b.high + b.low + b.close).to_numpy() / 3, b.volume.to_numpy()
+    assert rows.poc[:30].isna().all()
+    for i in range(30, 120):  # by brute force
+        x, v = typical[max(i - 60, 0) : i], volume[max(i - 60, 0) : i]
+        held, edges = np.histogram(x, 24, weights=v)
+        a = z = int(held.argmax())
+        while held[a : z + 1].sum() < 0.7 * held.sum():
+            up, down = held[z + 1] if z < 23 else -1, held[a - 1] if a else -1
+            a, z = (a, z + 1) if up >= down else (a - 1, z)
+        k = int(held.argmax())
+        assert near([rows.poc[i], rows.value_low[i], rows.value_high[i]], [(edges[k] + edges[k + 1]) / 2, edges[a], edges[z + 1]])
 
 
 def test_indicators_and_plans_of_a_frame(spark):

@@ -118,12 +118,6 @@ def win_16(spark, sf_dir):
     return windows.bars_since_cross(_bars(spark, sf_dir), 5, 20, 20).select("ticker", "trade_date", "bars_since_cross")
 
 
-@query("WIN-12", None)
-def win_12(spark, sf_dir):
-    """Exponential means; pandas' own recursion in one group per ticker."""
-    return windows.exponential(_bars(spark, sf_dir))
-
-
 @query("JON-03", market.oracle("prices events", "SELECT event_id FROM ev WHERE EXISTS (SELECT 1 FROM prices p WHERE p.ticker = ev.ticker AND p.trade_date = ev.d0)"))
 def jon_03(spark, sf_dir):
     bars = _bars(spark, sf_dir).select("ticker", F.col("trade_date").alias("d0"))

@@ -1,24 +1,76 @@
-"""Queries: technical indicators, levels, votes and trade plans. The recursions have no SQL; tests hold them against loops."""
+"""Queries: technical indicators, levels, votes and trade plans.
+
+The SQL of smoothed indicators writes out their recursion as one running sum over the whole series, from the definition:
+y(k) = q^k (x(0) + sum of (1 - q) x(i) q^-i). It holds for series of some thousands of bars. Levels, votes and plans rest
+on the volume profile, which has no SQL; tests hold them against loops.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import technical
+from ..operators import technical, windows
 from ..sources import market
 from .registry import query
 
 
+def _mean(value: str, weight: str, first: int) -> str:
+    """SQL: exponential mean of ``value`` from bar ``first`` on."""
+    term = f"CASE WHEN k < {first} THEN 0 WHEN k = {first} THEN {value} ELSE {value} * {weight} END"
+    return f"sum({term} * pow(1 - {weight}, -k)) OVER w * pow(1 - {weight}, k)"
+
+
+SMOOTHED = f"""bars AS (
+        SELECT ticker, trade_date, close, row_number() OVER w - 1 AS k, close - lag(close) OVER w AS step,
+               high - lag(high) OVER w AS rise, lag(low) OVER w - low AS fall,
+               greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr
+        FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY trade_date)
+    ), parts AS (
+        SELECT *, {_mean("greatest(step, 0)", "(1 / 14.0)", 1)} AS up, {_mean("greatest(-step, 0)", "(1 / 14.0)", 1)} AS down,
+               {_mean("tr", "(1 / 14.0)", 0)} AS tr14, {_mean("(CASE WHEN rise > fall AND rise > 0 THEN rise ELSE 0 END)", "(1 / 14.0)", 0)} AS plus,
+               {_mean("(CASE WHEN fall > rise AND fall > 0 THEN fall ELSE 0 END)", "(1 / 14.0)", 0)} AS minus,
+               {_mean("close", "(2 / 13.0)", 0)} AS ema12, {_mean("close", "(2 / 27.0)", 0)} AS ema26
+        FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY trade_date)
+    ), smooth AS (
+        SELECT *, CASE WHEN k < 14 THEN NULL WHEN up + down > 0 THEN 100 * up / (up + down) ELSE 50 END AS rsi,
+               CASE WHEN k >= 13 THEN tr14 END AS atr,
+               CASE WHEN k >= 13 AND tr14 > 0 THEN 100 * plus / tr14 END AS plus_di, CASE WHEN k >= 13 AND tr14 > 0 THEN 100 * minus / tr14 END AS minus_di
+        FROM parts
+    )"""
+
+
 def _indicators(spark, sf_dir):
     return technical.indicators(market.prices(spark, sf_dir))
 
 
-@query("WIN-13")
+@query("WIN-12", market.oracle("prices", f"""WITH {SMOOTHED}
+    SELECT ticker, trade_date, round(CASE WHEN k >= 11 THEN ema12 END, 6) AS ema_12, round(CASE WHEN k >= 25 THEN ema26 END, 6) AS ema_26,
+           round(rsi, 6) AS rsi, round(atr, 6) AS atr FROM smooth"""))
+def win_12(spark, sf_dir):
+    rows = windows.exponential(market.prices(spark, sf_dir))
+    return rows.select("ticker", "trade_date", *[F.round(n, 6).alias(n) for n in ("ema_12", "ema_26", "rsi", "atr")])
+
+
+@query("WIN-13", market.oracle("prices", f"""WITH {SMOOTHED}, dx AS (
+        SELECT *, 100 * abs(plus_di - minus_di) / nullif(plus_di + minus_di, 0) AS dx FROM smooth
+    )
+    SELECT ticker, trade_date, round(rsi, 4) AS rsi, round(atr, 4) AS atr,
+           round(CASE WHEN k >= 26 THEN {_mean("dx", "(1 / 14.0)", 13)} END, 4) AS adx, round(plus_di, 4) AS plus_di, round(minus_di, 4) AS minus_di,
+           round(CASE WHEN count(rsi) OVER v = 14 THEN (rsi - min(rsi) OVER v) / nullif(max(rsi) OVER v - min(rsi) OVER v, 0) END, 4) AS stoch_rsi
+    FROM dx WINDOW w AS (PARTITION BY ticker ORDER BY trade_date), v AS (PARTITION BY ticker ORDER BY trade_date ROWS 13 PRECEDING)"""))
 def win_13(spark, sf_dir):
     return _indicators(spark, sf_dir).select("ticker", "trade_date", "rsi", "atr", "adx", "plus_di", "minus_di", "stoch_rsi")
 
 
-@query("WIN-15")
+@query("WIN-15", market.oracle("prices", f"""WITH {SMOOTHED}, ends AS (
+        SELECT ticker, trade_date, count(rsi) OVER (PARTITION BY ticker ORDER BY trade_date ROWS 29 PRECEDING) AS n,
+               min({{'c': close, 'k': k, 'r': rsi}}) OVER early AS lo1, min({{'c': close, 'k': k, 'r': rsi}}) OVER late AS lo2,
+               max({{'c': close, 'k': -k, 'r': rsi}}) OVER early AS hi1, max({{'c': close, 'k': -k, 'r': rsi}}) OVER late AS hi2
+        FROM smooth WINDOW early AS (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 29 PRECEDING AND 15 PRECEDING),
+                           late AS (PARTITION BY ticker ORDER BY trade_date ROWS 14 PRECEDING)
+    )
+    SELECT * FROM (SELECT ticker, trade_date, CASE WHEN lo2.c < lo1.c AND lo2.r > lo1.r THEN 'bullish' WHEN hi2.c > hi1.c AND hi2.r < hi1.r THEN 'bearish' END AS rsi_divergence
+                   FROM ends WHERE n = 30) WHERE rsi_divergence IS NOT NULL"""))
 def win_15(spark, sf_dir):
     return _indicators(spark, sf_dir).where("rsi_divergence is not null").select("ticker", "trade_date", "rsi_divergence")
 
