@@ -109,3 +109,64 @@ def test_odd_and_empty(spark, odd_docs, no_docs):
     model = pu_quality.fit(no_docs, labels)
     assert pu_quality.score(odd_docs, model).count() == odd_docs.count()
     assert pu_quality.score(no_docs, model).count() == 0
+
+
+def test_parts_of_the_risk_match_a_plain_loop():
+    import math
+
+    r = np.random.default_rng(6)
+    edges = [np.array([0.0, 1.0]) for _ in pu_quality.USED]
+    model = pu_quality.Model(edges, r.normal(size=3 * len(edges)), 0.3, 0.4)
+    rows = pu_quality._binned(r.normal(0.5, 1, (50, len(edges))), edges)
+    loss, grad, hess = pu_quality.parts(rows, model)
+    want, slope, bend = 0.0, np.zeros(len(model.weights) + 1), np.zeros((len(model.weights) + 1,) * 2)
+    for row in rows.tolist():
+        z = sum(model.weights[k] for k in row) + model.bias
+        p = 1 / (1 + math.exp(-z))
+        want += math.log(1 + math.exp(z))
+        for i in [*row, -1]:
+            slope[i] += p
+            for j in [*row, -1]:
+                bend[i, j] += p * (1 - p)
+    assert np.isclose(loss, want) and np.allclose(grad, slope) and np.allclose(hess, bend)
+    eps = 1e-6  # and the gradient is that of the loss
+    for k in (0, 5, 11):
+        moved = pu_quality.Model(edges, model.weights + eps * (np.arange(len(model.weights)) == k), 0.3, 0.4)
+        assert np.isclose((pu_quality.parts(rows, moved)[0] - loss) / eps, grad[k], atol=1e-3)
+
+
+def test_descent_reaches_the_least_risk_and_keeps_it_non_negative():
+    r = np.random.default_rng(2)
+    k = len(pu_quality.USED)
+    pos, unl = r.normal(0.3, 1, (400, k)), np.concatenate([r.normal(0.3, 1, (400, k)), r.normal(-0.3, 1, (600, k))])
+    first = pu_quality.train(pos, unl, 0.4)  # 168 weights and 400 positives: the border is met
+    p, u = pu_quality._binned(pos, first.edges), pu_quality._binned(unl, first.edges)
+    model = pu_quality.descend(pu_quality._start(first.edges, 0.4), p, lambda m: (len(u), *pu_quality.parts(u, m)), 0.4, ridge=0.1)
+
+    def value(m):
+        zp, zu = (m.weights[x].sum(axis=1) + m.bias for x in (p, u))
+        negatives = np.logaddexp(0, zu).mean() - 0.4 * np.logaddexp(0, zp).mean()
+        return 0.4 * np.logaddexp(0, -zp).mean() + negatives + (0.1 + 1 / 400) / 2 * (m.weights**2).sum(), negatives
+
+    best, negatives = value(model)
+    assert negatives >= 0 and value(first)[1] >= 0
+    for _ in range(200):
+        other = pu_quality.Model(model.edges, model.weights + r.normal(0, 0.05, len(model.weights)), model.bias, 0.4)
+        assert value(other)[0] >= best or value(other)[1] < 0
+
+
+def test_class_prior_comes_from_positives_and_unlabelled(spark):
+    docs, labels = _labelled(spark)
+    few = labels.where("quality = 1 or doc_id % 8 = 0")  # how negatives are labelled has no say
+    for known in (labels, few, labels.where("quality = 1")):
+        assert abs(pu_quality.fit(docs, known).prior - 160 / 240) < 0.08
+
+
+def test_fits_agree_on_reruns_with_repeated_ids_and_names(spark):
+    docs, labels = _labelled(spark)
+    twice = docs.union(docs.withColumn("text", F.concat("text", F.lit(" more #")))).withColumnRenamed("lang", "label").withColumnRenamed("source", "i")
+    sets = [twice.repartition(n).orderBy(F.rand(n)) for n in (3, 5)]
+    one, two = (quality_rules.fit(d, labels.union(labels)) for d in sets)
+    assert one == two and one
+    a, b = (pu_quality.fit(d, labels.union(labels)) for d in sets)
+    assert np.allclose(a.weights, b.weights, atol=1e-6) and a.prior == b.prior

@@ -40,20 +40,22 @@ def with_stats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str =
     return taken.mapInArrow(run, schema)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, text: str = "text") -> DataFrame:
-    """``text`` and ``label`` of at most ``most`` labelled documents, picked by a hash of the id.
-
-    The bound holds for labelled rows that a model is fitted on, nothing else; it
-    also bounds what is broadcast.
+def labelled_stats(
+    docs: DataFrame, labels: DataFrame, label: str, most: int, names: tuple[str, ...], text: str = "text"
+) -> DataFrame:
+    """``doc_id``, ``label`` and statistics ``names`` of about ``most`` labelled documents, picked by a hash of the id.
+
+    The bound holds for labelled rows that a model is fitted on, nothing else; it also bounds what is broadcast. Ids
+    are picked, not rows: of an id's repeated rows or labels the least values count, so that reruns agree. Texts stay
+    where they are read; only statistics are shuffled.
     """
-    picked = (
-        labels.select("doc_id", F.col(label).alias("label"))
-        .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
-        .limit(most)
-    )
-    texts = docs.select("doc_id", F.col(text).alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id").select("text", "label").limit(most)
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
+    known = known.groupBy("doc_id").agg(F.min(label).alias("label"))
+    share = min(1.0, most / max(known.count(), 1))
+    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    texts = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(picked), "doc_id")
+    made = with_stats(texts, ("doc_id", "label")).select("doc_id", "label", *names)
+    return made.groupBy("doc_id").agg(F.min(F.struct("label", *names)).alias("r")).select("doc_id", "r.*")
 
 
 @dataclass(frozen=True)
@@ -149,9 +151,8 @@ def learn(
 def fit(
     docs: DataFrame, labels: DataFrame, most_labelled: int = 6_000, precision: float = 0.95, text: str = "text"
 ) -> list[Rule]:
-    """Rules for documents whose ``labels.quality`` is 0, from at most ``most_labelled`` labelled rows."""
-    sample = with_stats(labelled_sample(docs, labels, "quality", most_labelled, text), ("label",))
-    rows = sample.select("label", *TESTED).toPandas()
+    """Rules for documents whose ``labels.quality`` is 0, from about ``most_labelled`` labelled documents."""
+    rows = labelled_stats(docs, labels, "quality", most_labelled, TESTED, text).drop("doc_id").toPandas()
     rows = rows.sort_values(list(rows.columns), ignore_index=True).sample(frac=1, random_state=7)
     if rows.empty:
         return []

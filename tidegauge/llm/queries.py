@@ -19,6 +19,8 @@ from . import (
 )
 from .common import documents, id_crc, labels, written
 
+#: Labelled documents that the classifier is fitted on, about.
+MOST_LABELLED = 8_000
 #: Vocabulary of ranks of a public tokenizer; the same path on every executor.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
@@ -84,8 +86,11 @@ def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_crc("doc_id") % 5 == 0
     docs = documents(spark, sf_dir).select("doc_id", "text", held_out.alias("held_out"))
-    model = pu_quality.fit(docs.where("not held_out"), labels(spark, sf_dir).where(~held_out))
-    scored = pu_quality.score(docs, model, ("doc_id", "held_out"))
+    seen = written(quality_rules.with_stats(docs, ("doc_id", "held_out")), "pu-stats")
+    known = labels(spark, sf_dir).where(~held_out)
+    labelled = quality_rules.labelled_stats(docs.where("not held_out"), known, "quality", MOST_LABELLED, pu_quality.USED)
+    model = pu_quality.fit_stats(seen.where("not held_out"), labelled)
+    scored = pu_quality.scored(seen, model, ("doc_id", "held_out"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
