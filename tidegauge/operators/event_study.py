@@ -8,7 +8,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import between_days
+from .lookback import sums_in_ranges
 from .quantiles import exact_quantiles, quantiles_of, value_counts
 
 X = ("mkt_rf", "smb", "hml")
@@ -27,96 +27,94 @@ def _determinant(m: list[list[Column]]) -> Column:
     return a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
 
 
-def fitted_models(returns: DataFrame, factors: DataFrame, events: DataFrame, low: int = -250, high: int = -30, least: int = 60) -> DataFrame:
-    """Three-factor OLS of ret - rf for each ``ticker`` and ``d0`` of events over the days ``low``..``high`` around d0.
-
-    Fourteen sums give the centred normal equations, solved by Cramer's rule in
-    columns: one range join and one aggregate with partial sums, no group of bars is
-    gathered. Events of one ticker and day share their model, so the join does not grow
-    with them. Fewer than ``least`` bars or collinear factors: no model.
-    """
-    joined = returns.join(factors, "trade_date").select(
-        "ticker", "trade_date", (F.col("ret") - F.col("rf")).alias("y"), *X
-    )
-    asked = events.select("ticker", "d0").dropna().distinct()
-    near = between_days(asked, joined, "ticker", "d0", "trade_date", low, high)
+def _products() -> dict[str, Column]:
+    """The terms whose sums are the normal equations of the three-factor model, and the spread of returns."""
+    y = F.col("ret") - F.col("rf")
     pairs = [(i, j) for i in range(3) for j in range(i, 3)]
-    sums = near.groupBy("ticker", "d0").agg(
-        F.count("*").alias("n"),
-        F.sum("y").alias("sy"),
-        F.sum(F.col("y") * F.col("y")).alias("syy"),
-        *[F.sum(x).alias(f"s{i}") for i, x in enumerate(X)],
-        *[F.sum(F.col(x) * F.col("y")).alias(f"sy{i}") for i, x in enumerate(X)],
-        *[F.sum(F.col(X[i]) * F.col(X[j])).alias(f"s{i}{j}") for i, j in pairs],
-    ).where(F.col("n") >= least)
-    n = F.col("n")
-    cov = lambda i, j: F.col(f"s{min(i, j)}{max(i, j)}") - F.col(f"s{i}") * F.col(f"s{j}") / n
-    rhs = [F.col(f"sy{i}") - F.col(f"s{i}") * F.col("sy") / n for i in range(3)]
+    return (
+        {"y": y, "yy": y * y, "r": F.col("ret"), "rr": F.col("ret") * F.col("ret")}
+        | {f"x{i}": F.col(x) for i, x in enumerate(X)}
+        | {f"y{i}": F.col(x) * y for i, x in enumerate(X)}
+        | {f"{i}{j}": F.col(X[i]) * F.col(X[j]) for i, j in pairs}
+    )
+
+
+def _solved(sums: DataFrame, least: int) -> DataFrame:
+    """Adds ``n_est``, ``alpha``, the betas and ``resid_std`` from the sums ``est_*``; rows without a model go."""
+    s = lambda name: F.col(f"est_{name}")
+    n = s("n")
+    cov = lambda i, j: s(f"{min(i, j)}{max(i, j)}") - s(f"x{i}") * s(f"x{j}") / n
+    rhs = [s(f"y{i}") - s(f"x{i}") * s("y") / n for i in range(3)]
     matrix = [[cov(i, j) for j in range(3)] for i in range(3)]
-    det = _determinant(matrix)
     replaced = lambda k: [[rhs[i] if j == k else matrix[i][j] for j in range(3)] for i in range(3)]
-    solved = sums.withColumns(
-        {"det": det} | {f"b{k}": F.try_divide(_determinant(replaced(k)), F.nullif(det, F.lit(0.0))) for k in range(3)}
-    ).where("b0 is not null")
-    alpha = (F.col("sy") - reduce(add, [F.col(f"b{k}") * F.col(f"s{k}") for k in range(3)])) / n
-    ssr = F.col("syy") - F.col("sy") * F.col("sy") / n - reduce(add, [F.col(f"b{k}") * rhs[k] for k in range(3)])
-    return solved.select(
-        "ticker",
-        "d0",
-        F.col("n").alias("n_est"),
-        alpha.alias("alpha"),
-        *[F.col(f"b{k}").alias(f"beta_{x}") for k, x in enumerate(X)],
-        F.sqrt(F.greatest(ssr, F.lit(0.0)) / (n - 4)).alias("resid_std"),
+    det = F.nullif(F.col("_det"), F.lit(0.0))
+    # beyond the rounding of sums of squares, collinear factors have no determinant
+    scale = matrix[0][0] * matrix[1][1] * matrix[2][2]
+    solved = sums.where(n >= least).withColumn("_det", _determinant(matrix)).where(F.abs("_det") > 1e-12 * scale)
+    solved = solved.withColumns({f"_b{k}": F.try_divide(_determinant(replaced(k)), det) for k in range(3)}).where("_b0 is not null")
+    alpha = (s("y") - reduce(add, [F.col(f"_b{k}") * s(f"x{k}") for k in range(3)])) / n
+    ssr = s("yy") - s("y") * s("y") / n - reduce(add, [F.col(f"_b{k}") * rhs[k] for k in range(3)])
+    return solved.withColumns(
+        {"n_est": n, "alpha": alpha, "resid_std": F.sqrt(F.greatest(ssr, F.lit(0.0)) / (n - 4))} | {f"beta_{x}": F.col(f"_b{k}") for k, x in enumerate(X)}
     )
 
 
+def fitted_models(returns: DataFrame, factors: DataFrame, events: DataFrame, low: int = -250, high: int = -30, least: int = 60) -> DataFrame:
+    """Three-factor OLS of ret - rf for each ``ticker`` and ``d0`` of events over the days ``low``..``high`` around d0.
+
+    Differences of running sums per ticker give the centred normal equations, solved by Cramer's rule in columns; no
+    bar is met more than once. Events of one ticker and day share their model. Fewer than ``least`` bars or
+    collinear factors: no model.
+    """
+    sums = sums_in_ranges(events, returns.join(factors, "trade_date"), _products(), {"est": (low, high)})
+    return _solved(sums, least).select("ticker", "d0", "n_est", "alpha", *[f"beta_{x}" for x in X], "resid_std")
+
+
 def cumulative_abnormal_returns(
-    returns: DataFrame, factors: DataFrame, events: DataFrame, windows: tuple[int, ...] = (5, 20)
+    returns: DataFrame,
+    factors: DataFrame,
+    events: DataFrame,
+    windows: tuple[int, ...] = (5, 20),
+    estimation: tuple[int, int] = (-250, -30),
+    least: int = 60,
 ) -> DataFrame:
     """``car`` of each event and window of calendar days after d0, with the checks that a window is complete.
 
     The series must reach the end of the window, and at least 80 % of its weekdays
-    must have bars. CAR is linear in sums over the window, so it needs no residuals.
+    must have bars. CAR is linear in sums over the window, so it needs no residuals; the model's sums and those of the windows
+    come from one stream of bars per ticker.
     """
-    models = fitted_models(returns, factors, events)
     joined = returns.join(factors, "trade_date")
     reach = joined.groupBy("ticker").agg(F.max("trade_date").alias("last_bar"))
-    asked = events.select("ticker", "d0").dropna().distinct()
-    days = between_days(asked, joined, "ticker", "d0", "trade_date", 1, max(windows))
-    per = days.select("ticker", "d0", "trade_date", "ret", "rf", *X).withColumn("w", F.explode(F.array(*map(F.lit, windows)))).where(
-        F.col("trade_date") <= F.date_add("d0", F.col("w"))
-    )
-    sums = per.groupBy("ticker", "d0", "w").agg(
-        F.count("*").alias("n_days"),
-        F.sum("ret").alias("sr"),
-        F.sum("rf").alias("sf"),
-        F.stddev_samp("ret").alias("event_std"),
-        *[F.sum(x).alias(f"sum_{x}") for x in X],
-    )
-    weekdays = F.size(
-        F.filter(F.sequence(F.date_add("d0", 1), F.date_add("d0", F.col("w"))), lambda d: F.weekday(d) < 5)
-    )
-    complete = (F.col("last_bar") >= F.date_add("d0", F.col("w"))) & (
-        F.col("n_days") >= F.greatest(F.lit(1), F.ceil(0.8 * weekdays))
-    )
-    expected = F.col("n_days") * F.col("alpha") + reduce(add, [F.col(f"beta_{x}") * F.col(f"sum_{x}") for x in X])
+    sums = sums_in_ranges(events, joined, _products(), {"est": estimation} | {f"w{w}": (1, w) for w in windows})
+    models = _solved(sums, least)
+
+    def window(w: int) -> Column:
+        s = lambda name: F.col(f"w{w}_{name}")
+        n = s("n")
+        expected = n * F.col("alpha") + reduce(add, [F.col(f"beta_{x}") * s(f"x{i}") for i, x in enumerate(X)])
+        spread = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), s("rr") - s("r") * s("r") / n) / (n - 1)))
+        return F.struct(F.lit(w).alias("window_days"), n.alias("n_days"), (s("y") - expected).alias("car"), spread.alias("event_std"))
+
+    end = F.date_add("d0", F.col("window_days"))
+    weekdays = F.size(F.filter(F.sequence(F.date_add("d0", 1), end), lambda d: F.weekday(d) < 5))
+    complete = (F.col("last_bar") >= end) & (F.col("n_days") >= F.greatest(F.lit(1), F.ceil(0.8 * weekdays)))
+    each = models.select("ticker", "d0", "n_est", "resid_std", F.explode(F.array(*map(window, windows))).alias("w"))
     returned = (
-        sums.join(models, ["ticker", "d0"])
+        each.select("ticker", "d0", "n_est", "resid_std", "w.*")
         .join(reach, "ticker")
         .where(complete)
-        .select(
-            "ticker", "d0", F.col("w").alias("window_days"), "n_days", "n_est",
-            (F.col("sr") - F.col("sf") - expected).alias("car"), "resid_std", "event_std",
-        )
-    )
+        .select("ticker", "d0", "window_days", "n_days", "n_est", "car", "resid_std", "event_std")
+    )
     return events.select("event_id", "ticker", "event_class", "d0").join(returned, ["ticker", "d0"])
 
 
 def first_per_event_day(car: DataFrame) -> DataFrame:
-    """Events of one class, ticker and day count once: the smallest id."""
+    """Events of one class, ticker and day count once: the smallest id; one aggregate."""
     keys = ["event_class", "ticker", "d0", "window_days"]
-    best = car.groupBy(*keys).agg(F.min("event_id").alias("event_id"))
-    return car.join(best, [*keys, "event_id"], "left_semi")
+    rest = [c for c in car.columns if c not in keys and c != "event_id"]
+    best = car.groupBy(*keys).agg(F.min(F.struct("event_id", *rest)).alias("_r"))
+    return best.select(*keys, "_r.*").select(*car.columns)
 
 
 def class_statistics(car: DataFrame, by: tuple[str, ...] = ("event_class",)) -> DataFrame:
@@ -129,7 +127,7 @@ def class_statistics(car: DataFrame, by: tuple[str, ...] = ("event_class",)) ->
     mean = F.col("t") / F.col("n")
     spread = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("q") - F.col("t") * mean, F.nullif(F.col("n") - 1, F.lit(0)))))
     quartiles = quantiles_of(counts, list(by), {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    sums = moments.withColumns({"m": mean, "s": F.when(F.col("n") > 1, spread)}).join(F.broadcast(quartiles), list(by), "left")
+    sums = moments.withColumns({"m": mean, "s": F.when(F.col("n") > 1, spread)}).join(quartiles, list(by), "left")
     t = F.try_divide(F.col("m"), F.nullif(F.col("s") / F.sqrt("n"), F.lit(0.0)))
     return sums.select(
         *by,

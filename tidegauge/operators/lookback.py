@@ -76,6 +76,31 @@ def repeated_keys(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     return counted.select(F.lit("unique").alias("rule"), F.col(key).alias("key"), F.col("_n").cast("string").alias("value"))
 
 
+def sums_in_ranges(
+    asked: DataFrame, bars: DataFrame, values: dict[str, Column], ranges: dict[str, tuple[int, int]]
+) -> DataFrame:
+    """For each ``ticker`` and ``d0`` of ``asked``, the sums of ``values`` of the ticker's bars in each range of days around d0,
+    both ends included, as columns ``<range>_<value>``; and the number of bars, ``<range>_n``.
+
+    A sum is the difference of two running sums, so each ticker and day costs two probe rows per range in one
+    sorted stream, however many bars lie in a range. The aggregate keeps that partitioning: one shuffle.
+    """
+    probes = F.array(*[
+        F.struct(F.date_add("d0", day).alias("t"), F.lit(side).alias("side"), F.lit(name).alias("name"), F.lit(sign).alias("sign"))
+        for name, (low, high) in ranges.items()
+        for day, side, sign in ((low, 0, -1), (high, 2, 1))
+    ])
+    days = asked.select("ticker", "d0").dropna().distinct().select("ticker", "d0", F.explode(probes).alias("p")).select("ticker", "d0", "p.*")
+    there = bars.select("ticker", F.col("trade_date").alias("t"), F.lit(1).alias("side"), F.lit(1).alias("_n"), *[v.alias(n) for n, v in values.items()])
+    w = Window.partitionBy("ticker").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    names = ("_n", *values)
+    run = days.unionByName(there, allowMissingColumns=True).withColumns({n: F.coalesce(F.sum(n).over(w), F.lit(0)) for n in names})
+    parts = [
+        F.sum(F.when(F.col("name") == r, F.col("sign") * F.col(n))).alias(f"{r}_{n.removeprefix('_')}") for r in ranges for n in names
+    ]
+    return run.where("d0 is not null").groupBy("ticker", "d0").agg(*parts)
+
+
 def counts_in_ranges(events: DataFrame, bars: DataFrame, ranges: dict[str, tuple[int, int]]) -> DataFrame:
     """``events`` with the number of bars of their ticker in each range of days around d0, both ends included.
 

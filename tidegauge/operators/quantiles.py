@@ -28,7 +28,7 @@ def quantiles_of(counts: DataFrame, by: list[str], shares: dict[str, float]) ->
     """
     steps = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
     cuts = counts.groupBy(*by).agg(F.percentile_approx("_v", steps, F.lit(1_000)).alias("_cuts"))
-    binned = counts.join(F.broadcast(cuts), by).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    binned = counts.join(cuts, by).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     order = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     bins = binned.groupBy(*by, "_bin").agg(F.sum("_k").alias("_nb")).withColumns({
         "_before": F.sum("_nb").over(order) - F.col("_nb"), "_n": F.sum("_nb").over(Window.partitionBy(*by)),
@@ -37,7 +37,7 @@ def quantiles_of(counts: DataFrame, by: list[str], shares: dict[str, float]) ->
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(h), F.ceil(h)) for h in at.values()])))
     held = bins.where(F.exists(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_nb"))))
     inside = Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = binned.join(F.broadcast(held), [*by, "_bin"]).withColumn("_upto", F.col("_before") + F.sum("_k").over(inside))
+    placed = binned.join(held, [*by, "_bin"]).withColumn("_upto", F.col("_before") + F.sum("_k").over(inside))
     value_at = lambda r: F.max(F.when((r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_k")), F.col("_v")))
     found = placed.groupBy(*by).agg(
         F.first("_n").alias("_n"), *[value_at(F.floor(h)).alias(f"_lo_{n}") for n, h in at.items()], *[value_at(F.ceil(h)).alias(f"_hi_{n}") for n, h in at.items()]

@@ -176,21 +176,20 @@ def calibration(trades: DataFrame, edges: tuple[int, ...] = (50, 60, 70, 80, 90,
     )
 
 
-def impact_estimates(car: DataFrame, shrink: float = 15.0) -> DataFrame:
-    """Per event, what earlier events of its class moved whose outcome was already known.
+def impact_estimates(car: DataFrame, window_days: int = 20, shrink: float = 15.0) -> DataFrame:
+    """Per event with a window of ``window_days``, what earlier events of its class moved whose outcome was already known.
 
     A cohort is all events of the class with d0 + window before the event's d0. Its
     sums come from one window over days per class, so no pair of events is made.
     ``car(event_id, event_class, d0, window_days, car_pct)``.
     """
     x = F.col("car_pct")
-    day = F.unix_date("d0")
+    day, car = F.unix_date("d0"), car.where(F.col("window_days") == window_days)
     over = lambda k: F.sum((F.abs(x) >= k).cast("int"))
     daily = car.groupBy("event_class", "window_days", "d0").agg(
         F.count("*").alias("k"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"), *[over(k).alias(f"over_{k}") for k in (5, 10, 20)]
     )
-    (window_days,) = {r["window_days"] for r in car.select("window_days").distinct().limit(2).collect()} or {0}
-    known = Window.partitionBy("event_class", "window_days").orderBy(day).rangeBetween(Window.unboundedPreceding, -int(window_days) - 1)
+    known = Window.partitionBy("event_class", "window_days").orderBy(day).rangeBetween(Window.unboundedPreceding, -window_days - 1)
     run = lambda c: F.coalesce(F.sum(c).over(known), F.lit(0))
     cohort = daily.select("event_class", "window_days", "d0", run("k").alias("n"), run("sx").alias("sx"), run("sxx").alias("sxx"), *[run(f"over_{k}").alias(f"over_{k}") for k in (5, 10, 20)])
     n = F.col("n")
