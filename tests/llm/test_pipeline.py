@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tidegauge.llm.common import written
 from .conftest import words
@@ -50,3 +52,29 @@ def test_empty_tables(spark, stored):
     docs, labels = _tables(spark)
     folder = stored(documents=docs.limit(0), labels=labels.limit(0))
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_odd_rows_and_clashing_names_go_through(spark, stored, odd_docs):
+    docs, labels = _tables(spark)
+    extra = {"lang": "bucket", "n_chars": "place"}
+    more = odd_docs.withColumn("doc_id", F.col("doc_id") + 1000).unionByName(docs).withColumnsRenamed(extra)
+    folder = stored(documents=more, labels=labels)
+    now = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = written(stage(spark, now, folder), name)
+        assert now.columns == more.columns
+    kept = {r.doc_id: r.text for r in now.collect()}
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert {r.doc_id for r in out} == set(kept)
+    for i, text in kept.items():
+        copies = sum(r.piece == 0 for r in out if r.doc_id == i)
+        assert sum(r.length for r in out if r.doc_id == i) == copies * len((text or "").split())
+
+
+def test_a_very_long_text_and_null_ids_are_packed_whole(spark):
+    rows = [(6, words(60_000, 1)), (None, words(50, 3)), (None, words(50, 3)), (None, None), (7, "")]
+    docs = written(spark.createDataFrame(rows, "doc_id bigint, text string"), "docs")
+    out = corpus_pipeline.pack(spark, docs, "").collect()
+    long = sorted((r for r in out if r.doc_id == 6), key=lambda r: r.piece)
+    assert len(long) == 30 and "".join(r.text for r in long) == rows[0][1]
+    assert sorted(r.length for r in out if r.doc_id is None) == [0, 50, 50] and len(out) == 34
