@@ -74,13 +74,28 @@ def position_size(ev: Column, confidence: Column, style: str) -> Column:
     return F.least(F.abs(ev) * 100 * 5 * confidence / 100, F.lit(STYLES[style][1]))
 
 
-def decision(ev: Column, novelty_score: Column, confidence: Column, threshold: float, illiquid: Column) -> Column:
-    """LONG, SHORT or the reason for no trade: the first rule that holds."""
+def quality_parts(
+    net_income: Column, equity: Column, debt: Column, cash_flow: Column, capex: Column, revenues: Column, price: Column, shares: Column
+) -> dict[str, tuple[Column, float]]:
+    """Score (0 to 100, null where it cannot be told) and weight of each part of a company's quality.
+
+    Return on equity, debt to equity (no debt reported is none), free cash flow over profit, yearly growth over
+    ``revenues`` - a struct of the number ``n`` of years with revenue, the ``first`` and the ``last`` - and price over profit.
+    """
+    own, profit = F.when(equity > 0, equity), F.when(net_income > 0, net_income)
+    growth = F.when(revenues["n"] >= 3, F.pow(revenues["last"] / revenues["first"], 1.0 / (revenues["n"] - 1)) - 1)
+    return {
+        "profitability": (scaled(net_income / own, 0.05, 0.20), 0.25),
+        "solidity": (scaled(F.coalesce(debt, F.lit(0.0)) / own, 1.5, 0.5), 0.20),
+        "earnings": (scaled((cash_flow - capex) / profit, 0.4, 0.9), 0.20),
+        "growth": (scaled(growth, -0.10, 0.10), 0.20),
+        "price": (scaled(price * F.when(shares > 0, shares) / profit, 35, 12), 0.15),
+    }
+
+
+def quality_band(total: Column, known: Column) -> Column:
+    """What a total from ``known`` parts says; fewer than three parts are incomplete whatever the total."""
     return (
-        F.when(novelty_score < 20, "NO_TRADE: novelty")
-        .when(confidence < 40, "NO_TRADE: confidence")
-        .when(F.abs(ev) < threshold, "NO_TRADE: ev")
-        .when(illiquid, "NO_TRADE: illiquid")
-        .when(ev > 0, "LONG")
-        .otherwise("SHORT")
-    )
+        F.when(total.isNull(), "unknown").when(known < 3, "incomplete").when(total >= 75, "solid")
+        .when(total >= 55, "decent").when(total >= 35, "troubled").otherwise("weak")
+    )

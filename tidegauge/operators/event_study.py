@@ -77,24 +77,38 @@ def cumulative_abnormal_returns(
     windows: tuple[int, ...] = (5, 20),
     estimation: tuple[int, int] = (-250, -30),
     least: int = 60,
+    baseline: tuple[int, int] = (-89, -30),
+    least_baseline: int = 20,
 ) -> DataFrame:
     """``car`` of each event and window of calendar days after d0, with the checks that a window is complete.
 
+    ``vol_ratio`` is the spread of returns in the window over that of the ``baseline`` days before d0; null if these
+    have fewer than ``least_baseline`` bars or no spread.
+
     The series must reach the end of the window, and at least 80 % of its weekdays
     must have bars. CAR is linear in sums over the window, so it needs no residuals; the model's sums and those of the windows
     come from one stream of bars per ticker.
     """
     joined = returns.join(factors, "trade_date")
     reach = joined.groupBy("ticker").agg(F.max("trade_date").alias("last_bar"))
-    sums = sums_in_ranges(events, joined, _products(), {"est": estimation} | {f"w{w}": (1, w) for w in windows})
+    sums = sums_in_ranges(events, joined, _products(), {"est": estimation, "base": baseline} | {f"w{w}": (1, w) for w in windows})
     models = _solved(sums, least)
 
+    def spread_of(part: str) -> Column:
+        n, r, rr = (F.col(f"{part}_{c}") for c in ("n", "r", "rr"))
+        return F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), rr - r * r / n) / (n - 1)))
+
+    usual = F.when(F.col("base_n") >= least_baseline, F.nullif(spread_of("base"), F.lit(0.0)))
+
     def window(w: int) -> Column:
         s = lambda name: F.col(f"w{w}_{name}")
         n = s("n")
         expected = n * F.col("alpha") + reduce(add, [F.col(f"beta_{x}") * s(f"x{i}") for i, x in enumerate(X)])
-        spread = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), s("rr") - s("r") * s("r") / n) / (n - 1)))
-        return F.struct(F.lit(w).alias("window_days"), n.alias("n_days"), (s("y") - expected).alias("car"), spread.alias("event_std"))
+        spread = spread_of(f"w{w}")
+        return F.struct(
+            F.lit(w).alias("window_days"), n.alias("n_days"), (s("y") - expected).alias("car"), spread.alias("event_std"),
+            F.try_divide(spread, usual).alias("vol_ratio"),
+        )
 
     end = F.date_add("d0", F.col("window_days"))
     weekdays = F.size(F.filter(F.sequence(F.date_add("d0", 1), end), lambda d: F.weekday(d) < 5))
@@ -104,7 +118,7 @@ def cumulative_abnormal_returns(
         each.select("ticker", "d0", "n_est", "resid_std", "w.*")
         .join(reach, "ticker")
         .where(complete)
-        .select("ticker", "d0", "window_days", "n_days", "n_est", "car", "resid_std", "event_std")
+        .select("ticker", "d0", "window_days", "n_days", "n_est", "car", "resid_std", "event_std", "vol_ratio")
     )
     return events.select("event_id", "ticker", "event_class", "d0").join(returned, ["ticker", "d0"])
 

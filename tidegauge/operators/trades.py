@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .event_study import first_per_event_day
 from .joins import as_of, between_days
 
 
@@ -56,6 +60,47 @@ def stop_or_take(
     )
 
 
+def stop_or_tiers(
+    entered: DataFrame, bars: DataFrame, stop: float, tiers: tuple[tuple[float, float], ...], days: int
+) -> DataFrame:
+    """Each trade with its exit in parts: ``exit_date`` (of the last part), ``exit`` (mean by share), ``reason`` of the last
+    part and ``tiers`` (how many were reached).
+
+    ``tiers`` holds (gain in percent, share of the position that is closed there), ascending, shares adding up to 1. On each bar the stop comes
+    first and closes all that is left, then every tier that the bar reaches; the rest goes at the last close within
+    ``days``. A higher tier is never reached before a lower one, so each tier counts if its first bar is
+    before the first bar of the stop: one range join and one aggregate, no walk over bars.
+    """
+    long = F.col("side") > 0
+    asked = entered.select("ticker", "entry_date", "entry", "side").distinct()
+    near = between_days(asked, bars, "ticker", "entry_date", "trade_date", 0, days).where("high is not null and low is not null and close is not null")
+    stop_at = F.col("entry") * F.when(long, 1 - stop).otherwise(1 + stop)
+    stopped = F.when(long, F.col("low") <= stop_at).otherwise(F.col("high") >= stop_at)
+    first = lambda hit, fill: F.min(F.when(hit, F.struct("trade_date", fill.alias("fill"))))
+    reached = []
+    for k, (gain, _) in enumerate(tiers):
+        level = F.col("entry") * F.when(long, 1 + gain / 100).otherwise(1 - gain / 100)
+        hit = F.when(long, F.col("high") >= level).otherwise(F.col("low") <= level)
+        reached.append(first(hit, filled(F.col("open"), level, long)).alias(f"_t{k}"))
+    out = near.groupBy("ticker", "entry_date", "side").agg(
+        first(stopped, filled(F.col("open"), stop_at, ~long)).alias("_stop"), F.max(F.struct("trade_date", F.col("close").alias("fill"))).alias("_last"), *reached
+    )
+    counts = [F.col(f"_t{k}.trade_date").isNotNull() & (F.col("_stop").isNull() | (F.col(f"_t{k}.trade_date") < F.col("_stop.trade_date"))) for k in range(len(tiers))]
+    summed = lambda parts: reduce(add, parts, F.lit(0.0))
+    n = reduce(add, [c.cast("int") for c in counts], F.lit(0))
+    left = summed([F.when(c, 0.0).otherwise(share) for c, (_, share) in zip(counts, tiers, strict=True)])
+    closed = summed([F.when(c, share * F.col(f"_t{k}.fill")).otherwise(0.0) for k, (c, (_, share)) in enumerate(zip(counts, tiers, strict=True))])
+    rest, all_closed = F.coalesce("_stop", "_last"), n == len(tiers)
+    done = out.select(
+        "ticker", "entry_date", "side",
+        F.when(all_closed, F.col(f"_t{len(tiers) - 1}.trade_date")).otherwise(rest["trade_date"]).alias("exit_date"),
+        (closed + F.when(all_closed, 0.0).otherwise(left * rest["fill"])).alias("exit"),
+        F.when(all_closed, "TIERS").when(F.col("_stop").isNotNull(), "STOP").otherwise("TIME").alias("reason"),
+        n.alias("tiers"),
+    )
+    return entered.join(done, ["ticker", "entry_date", "side"])
+
+
 def with_result(trades: DataFrame, cost_pct: float) -> DataFrame:
     return trades.withColumn("pnl_pct", F.col("side") * (F.col("exit") / F.col("entry") - 1) * 100 - cost_pct)
 
@@ -78,6 +123,32 @@ def trade_metrics(trades: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def sharpe_per_trade(trades: DataFrame, by: list[str], least: int = 20) -> DataFrame:
+    """``sharpe_per_trade``: mean over spread of ``pnl_pct``, not annualised; null, and ``insufficient``, under ``least`` trades."""
+    ratio = F.try_divide(F.avg("pnl_pct"), F.nullif(F.stddev_samp("pnl_pct"), F.lit(0.0)))
+    few = F.count("*") < least
+    return trades.groupBy(*by).agg(F.when(~few, ratio).alias("sharpe_per_trade"), few.alias("insufficient"))
+
+
+def temporal_stability(trades: DataFrame, split: Column, least: int = 10, most_pp: float = 15.0) -> DataFrame:
+    """One row: counts, win rates and expectancies of trades entered before ``split`` and from it on, and ``stable``.
+
+    Not stable if win rates differ by more than ``most_pp`` points or the expectancy changes its sign; null (nothing can
+    be said) if a side has fewer than ``least`` trades.
+    """
+    p, early = F.col("pnl_pct"), F.col("entry_date") < split
+    sides = {"before": early, "after": ~early}
+    sums = trades.agg(
+        *[F.count_if(c).alias(f"n_{s}") for s, c in sides.items()],
+        *[F.avg(F.when(c, (p > 0).cast("double"))).alias(f"win_rate_{s}") for s, c in sides.items()],
+        *[F.avg(F.when(c, p)).alias(f"expectancy_{s}") for s, c in sides.items()],
+    )
+    diff = F.abs(F.col("win_rate_before") - F.col("win_rate_after")) * 100
+    flip = F.col("expectancy_before") * F.col("expectancy_after") < 0
+    enough = F.least("n_before", "n_after") >= least
+    return sums.withColumns({"win_rate_diff_pp": diff, "sign_flip": flip, "stable": F.when(enough, (diff <= most_pp) & ~flip)})
+
+
 def longest_streaks(trades: DataFrame, by: list[str]) -> DataFrame:
     """Longest runs of wins and of losses by exit date (then id).
 
@@ -113,13 +184,16 @@ def longest_streaks(trades: DataFrame, by: list[str]) -> DataFrame:
     return done.select(*by, F.col("s.wins").alias("longest_wins"), F.col("s.losses").alias("longest_losses"))
 
 
-def equity_metrics(curve: DataFrame, by: list[str], date: str, balance: str, least_days: int = 30) -> DataFrame:
-    """Returns, drawdown and risk ratios of one balance series per key; the first balance is the capital."""
+def equity_metrics(curve: DataFrame, by: list[str], date: str, balance: str, least_days: int = 30, rf: str | None = None) -> DataFrame:
+    """Returns, drawdown and risk ratios of one balance series per key; the first balance is the capital.
+
+    The column ``rf`` (null: 0), if named, is the day's risk-free return, taken off before the ratios of Sharpe and Sortino.
+    """
     w = Window.partitionBy(*by).orderBy(date)
     b, before = F.col(balance), F.lag(balance).over(w)
     peak = F.max(balance).over(w.rowsBetween(Window.unboundedPreceding, 0))
     rows = curve.withColumns({
-        "_ret": F.when(before > 0, (b - before) / before),
+        "_ret": F.when(before > 0, (b - before) / before) - (F.coalesce(F.col(rf), F.lit(0.0)) if rf else F.lit(0.0)),
         "_dd": F.when(peak > 0, (b - peak) / peak),
     })
     down = F.when(F.col("_ret") < 0, F.col("_ret"))
@@ -180,28 +254,35 @@ def impact_estimates(car: DataFrame, window_days: int = 20, shrink: float = 15.0
     """Per event with a window of ``window_days``, what earlier events of its class moved whose outcome was already known.
 
     A cohort is all events of the class with d0 + window before the event's d0. Its
-    sums come from one window over days per class, so no pair of events is made.
-    ``car(event_id, event_class, d0, window_days, car_pct)``.
+    sums come from one window over days per class, so no pair of events is made. Events of
+    one ticker and day are one analogue. The mean of the analogues is shrunk towards the class prior, which
+    is the mean of the class's analogues known by then - their own mean where there are any, 0 where
+    there are none. ``volatility`` is how far their mean ratio of spreads is over 1, from 0 to 100.
+    ``car(event_id, event_class, ticker, d0, window_days, car_pct, vol_ratio)``.
     """
     x = F.col("car_pct")
     day, car = F.unix_date("d0"), car.where(F.col("window_days") == window_days)
     over = lambda k: F.sum((F.abs(x) >= k).cast("int"))
-    daily = car.groupBy("event_class", "window_days", "d0").agg(
-        F.count("*").alias("k"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"), *[over(k).alias(f"over_{k}") for k in (5, 10, 20)]
+    analogues = first_per_event_day(car.select("event_id", "event_class", "ticker", "d0", "window_days", "car_pct", "vol_ratio"))
+    daily = analogues.groupBy("event_class", "window_days", "d0").agg(
+        F.count("*").alias("k"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"), F.sum("vol_ratio").alias("sv"), F.count("vol_ratio").alias("kv"), *[over(k).alias(f"over_{k}") for k in (5, 10, 20)]
     )
     known = Window.partitionBy("event_class", "window_days").orderBy(day).rangeBetween(Window.unboundedPreceding, -window_days - 1)
     run = lambda c: F.coalesce(F.sum(c).over(known), F.lit(0))
-    cohort = daily.select("event_class", "window_days", "d0", run("k").alias("n"), run("sx").alias("sx"), run("sxx").alias("sxx"), *[run(f"over_{k}").alias(f"over_{k}") for k in (5, 10, 20)])
+    cohort = daily.select("event_class", "window_days", "d0", run("k").alias("n"), run("sx").alias("sx"), run("sxx").alias("sxx"), run("sv").alias("sv"), run("kv").alias("kv"), *[run(f"over_{k}").alias(f"over_{k}") for k in (5, 10, 20)])
     n = F.col("n")
     mean = F.try_divide(F.col("sx"), n)
     spread = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("sxx") - n * mean * mean, F.nullif(n - 1, F.lit(0)))))
-    magnitude = F.coalesce(n / (n + shrink) * mean, F.lit(0.0))
+    prior, weight = F.coalesce(mean, F.lit(0.0)), n / (n + shrink)
+    magnitude = weight * F.coalesce(mean, F.lit(0.0)) + (1 - weight) * prior
+    wild = F.coalesce(F.try_divide(F.col("sv"), F.nullif(F.col("kv"), F.lit(0))), F.lit(1.0))
     steady = F.least(n / 50.0, F.lit(1.0)) * 70 + 30 - F.least(F.coalesce(spread, F.lit(0.0)) / 10, F.lit(1.0)) * 30
     confidence = F.when(n < 5, F.least(F.lit(15.0), n * 3.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), steady)))
     estimated = cohort.select(
         "event_class", "window_days", "d0", n.alias("n_analogues"), magnitude.alias("magnitude"),
         F.when(F.abs(magnitude) < 0.1, 0.0).otherwise(F.signum(magnitude)).alias("direction"),
         *[F.coalesce(F.try_divide(F.col(f"over_{k}") * 100.0, n), F.lit(0.0)).alias(f"p_{k}") for k in (5, 10, 20)],
+        F.greatest(F.lit(0.0), F.least(F.lit(100.0), (wild - 1) * 50)).alias("volatility"),
         confidence.alias("confidence"),
     )
     return car.select("event_id", "event_class", "window_days", "d0").join(estimated, ["event_class", "window_days", "d0"])

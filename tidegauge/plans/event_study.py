@@ -50,10 +50,13 @@ _CAR = """win AS (
         JOIN j ON j.ticker = ev.ticker AND trade_date > d0 AND trade_date <= d0 + w
         GROUP BY event_id, w),
     reach AS (SELECT ticker, max(trade_date) AS last_bar FROM j GROUP BY ticker),
+    base AS (
+        SELECT event_id, CASE WHEN count(*) >= 20 THEN stddev_samp(ret) END AS base_std
+        FROM ev JOIN j ON j.ticker = ev.ticker AND trade_date > d0 - 90 AND trade_date <= d0 - 30 GROUP BY event_id),
     car AS (
         SELECT ev.event_id, ev.ticker, event_class, d0, win.w AS window_days, n_days, n_est,
-               sr - n_days * alpha - b0 * s0 - b1 * s1 - b2 * s2 AS car, resid_std, event_std
-        FROM ev JOIN win USING (event_id) JOIN model USING (event_id) JOIN reach ON reach.ticker = ev.ticker
+               sr - n_days * alpha - b0 * s0 - b1 * s1 - b2 * s2 AS car, resid_std, event_std, event_std / nullif(base_std, 0) AS vol_ratio
+        FROM ev LEFT JOIN base USING (event_id) JOIN win USING (event_id) JOIN model USING (event_id) JOIN reach ON reach.ticker = ev.ticker
         WHERE last_bar >= d0 + win.w
           AND n_days >= greatest(1, ceil(0.8 * len(list_filter(range(1, win.w + 1), lambda k: isodow(d0 + k::INT) < 6)))))"""
 
@@ -79,10 +82,10 @@ def sta_01(spark, sf_dir):
     return events.select("event_id", "ticker", "d0").join(models, ["ticker", "d0"]).select("event_id", "n_est", *[F.round(f"beta_{x}", 5).alias(f"beta_{x}") for x in es.X], F.round("resid_std", 6).alias("resid_std"))
 
 
-@query("STA-02", market.oracle(_BASE, f"{_ALL} SELECT event_id, window_days, n_days, n_est, round(car, 5) AS car, round(resid_std, 6) AS resid_std, round(event_std, 6) AS event_std FROM car"))
+@query("STA-02", market.oracle(_BASE, f"{_ALL} SELECT event_id, window_days, n_days, n_est, round(car, 5) AS car, round(resid_std, 6) AS resid_std, round(event_std, 6) AS event_std, round(vol_ratio, 4) AS vol_ratio FROM car"))
 def sta_02(spark, sf_dir):
     car = car_table(spark, sf_dir)
-    return car.select("event_id", F.col("window_days").cast("int").alias("window_days"), "n_days", "n_est", F.round("car", 5).alias("car"), F.round("resid_std", 6).alias("resid_std"), F.round("event_std", 6).alias("event_std"))
+    return car.select("event_id", F.col("window_days").cast("int").alias("window_days"), "n_days", "n_est", F.round("car", 5).alias("car"), F.round("resid_std", 6).alias("resid_std"), F.round("event_std", 6).alias("event_std"), F.round("vol_ratio", 4).alias("vol_ratio"))
 
 
 _DEDUP = "one AS (SELECT DISTINCT ON (event_class, ticker, d0, window_days) * FROM car ORDER BY event_class, ticker, d0, window_days, event_id)"

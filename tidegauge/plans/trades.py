@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import finance
+from ..operators import decisions
 from ..operators import trades as ops
 from ..sources import market
 from .event_study import _ALL, _BASE, car_table
@@ -13,6 +14,8 @@ from .registry import query
 
 #: Stop, take-profit, holding days and costs of the sample strategy.
 STOP, TAKE, DAYS, COST = 0.5, 1.5, 20, 0.3
+#: Costs that an expected value has to cover beside its threshold.
+COST_MARGIN = 0.009
 
 
 def trade_table(spark, sf_dir) -> DataFrame:
@@ -73,20 +76,61 @@ def agg_10(spark, sf_dir):
     return _rounded(ops.trade_metrics(trades, ["side"])).join(ops.longest_streaks(trades, ["side"]), "side")
 
 
-@query("AGG-12", _sql(f"SELECT event_class, {_METRICS} FROM trades GROUP BY event_class"))
+@query("AGG-12", _sql(f"""SELECT event_class, {_METRICS}, round(CASE WHEN count(*) >= 20 THEN avg(pnl_pct) / nullif(stddev_samp(pnl_pct), 0) END, 6) AS sharpe_per_trade,
+    count(*) < 20 AS insufficient FROM trades GROUP BY event_class"""))
 def agg_12(spark, sf_dir):
-    return _rounded(ops.trade_metrics(trade_table(spark, sf_dir), ["event_class"]))
+    trades = trade_table(spark, sf_dir)
+    return _rounded(ops.trade_metrics(trades, ["event_class"])).join(_rounded(ops.sharpe_per_trade(trades, ["event_class"])), "event_class")
+
+
+_TIERS = decisions.profit_tiers()
+
+
+def _tier_columns() -> str:
+    """The fills of the tiers and of the stop on each bar, written out as the rule has them."""
+    made = []
+    for k, (gain, _) in enumerate(_TIERS):
+        up, down = f"(entry * {1 + gain / 100}::DOUBLE)", f"(entry * {1 - gain / 100}::DOUBLE)"
+        made.append(f"CASE WHEN side = 1 AND high >= {up} THEN greatest(open, {up}) WHEN side = -1 AND low <= {down} THEN least(open, {down}) END AS f{k}")
+    return ", ".join(made)
+
+
+_TIER_LIST = ", ".join(f"arg_min(f{k}, trade_date) FILTER (f{k} IS NOT NULL AND (sd IS NULL OR trade_date < sd)) AS f{k}, min(trade_date) FILTER (f{k} IS NOT NULL AND (sd IS NULL OR trade_date < sd)) AS d{k}" for k in range(len(_TIERS)))
+_TIER_N = " + ".join(f"(f{k} IS NOT NULL)::INT" for k in range(len(_TIERS)))
+_TIER_SUM = " + ".join(f"coalesce({share} * f{k}, 0)" for k, (_, share) in enumerate(_TIERS))
+_TIER_LEFT = " - ".join(["1"] + [f"CASE WHEN f{k} IS NULL THEN 0 ELSE {share}::DOUBLE END" for k, (_, share) in enumerate(_TIERS)])
 
 
-@query("AGG-11", market.oracle("prices", """
+@query("SIM-01b", _sql(f"""SELECT event_id, tiers, exit_date, reason, round(exit + 0.00000002::DOUBLE, 5) AS exit FROM (
+    SELECT event_id, n AS tiers, CASE WHEN n = {len(_TIERS)} THEN d{len(_TIERS) - 1} ELSE coalesce(sd, ld) END AS exit_date, CASE WHEN n = {len(_TIERS)} THEN 'TIERS' WHEN sd IS NOT NULL THEN 'STOP' ELSE 'TIME' END AS reason,
+           total + CASE WHEN n = {len(_TIERS)} THEN 0 ELSE (left_over) * coalesce(sf, lc) END AS exit FROM (
+        SELECT *, {_TIER_N} AS n, {_TIER_SUM} AS total, {_TIER_LEFT} AS left_over FROM (
+            SELECT event_id, any_value(sd) AS sd, any_value(sf) AS sf, max(trade_date) AS ld, arg_max(close, trade_date) AS lc, {_TIER_LIST} FROM (
+                SELECT *, min(CASE WHEN stop_fill IS NOT NULL THEN trade_date END) OVER v AS sd, arg_min(stop_fill, trade_date) FILTER (stop_fill IS NOT NULL) OVER v AS sf FROM (
+                    SELECT e.event_id, p.trade_date, p.close, {_tier_columns()},
+                           CASE WHEN side = 1 AND low <= entry * {1 - STOP} THEN least(open, entry * {1 - STOP}) WHEN side = -1 AND high >= entry * {1 + STOP} THEN greatest(open, entry * {1 + STOP}) END AS stop_fill
+                    FROM entered e JOIN prices p ON p.ticker = e.ticker AND p.trade_date BETWEEN entry_date AND entry_date + {DAYS})
+                WINDOW v AS (PARTITION BY event_id))
+            GROUP BY event_id)))"""))
+def sim_01b(spark, sf_dir):
+    """Trades that are closed in parts at their profit tiers; the stop comes first on each bar."""
+    bars = market.prices(spark, sf_dir)
+    side = F.when(F.col("event_class").isin("1-URGENT", "2-HIGH"), 1).otherwise(-1)
+    entered = ops.entries(market.events(spark, sf_dir), bars, side)
+    done = ops.stop_or_tiers(entered, bars, STOP, _TIERS, DAYS)
+    return done.select("event_id", "tiers", "exit_date", "reason", F.round(F.col("exit") + 2e-8, 5).alias("exit"))
+
+
+@query("AGG-11", market.oracle("prices factors", """
     SELECT ticker, round(fin / first - 1, 6) AS total_return, round(CASE WHEN days >= 30 THEN (fin / first - 1) / (days / 365.25) END, 6) AS annual_return, round(dd, 6) AS max_drawdown,
            round(m / nullif(s, 0) * sqrt(252), 6) AS sharpe, round(m / nullif(CASE WHEN nd >= 2 THEN sd ELSE abs(od) END, 0) * sqrt(252), 6) AS sortino,
            round((fin / first - 1) / (days / 365.25) / nullif(dd, 0), 6) AS calmar, round((fin / first - 1) / nullif(dd, 0), 6) AS recovery, round(fin, 6) AS final_balance
     FROM (SELECT ticker, arg_min(close, trade_date) AS first, arg_max(close, trade_date) AS fin, greatest(max(trade_date) - min(trade_date), 1)::DOUBLE AS days, abs(min(d)) AS dd,
                  avg(r) AS m, stddev_samp(r) AS s, count(*) FILTER (r < 0) AS nd, stddev_samp(r) FILTER (r < 0) AS sd, min(r) AS od
-          FROM (SELECT *, close / lag(close) OVER w - 1 AS r, close / max(close) OVER w - 1 AS d FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY trade_date)) GROUP BY ticker)"""))
+          FROM (SELECT prices.*, close / lag(close) OVER w - 1 - coalesce(rf, 0) AS r, close / max(close) OVER w - 1 AS d FROM prices LEFT JOIN factors USING (trade_date) WINDOW w AS (PARTITION BY ticker ORDER BY trade_date)) GROUP BY ticker)"""))
 def agg_11(spark, sf_dir):
-    return _rounded(ops.equity_metrics(market.prices(spark, sf_dir), ["ticker"], "trade_date", "close"))
+    curve = market.prices(spark, sf_dir).join(market.factors(spark, sf_dir).select("trade_date", "rf"), "trade_date", "left")
+    return _rounded(ops.equity_metrics(curve, ["ticker"], "trade_date", "close", rf="rf"))
 
 
 @query("AGG-13", _sql("SELECT event_class, count(*) AS n, round(avg((side * (exit / entry - 1) * 100 >= 3)::INT) * 100, 6) AS pct_up, round(avg((side * (exit / entry - 1) * 100 <= -3)::INT) * 100, 6) AS pct_down FROM trades GROUP BY 1"))
@@ -118,11 +162,13 @@ def agg_16b(spark, sf_dir):
     return _rounded(ops.calibration(trade_table(spark, sf_dir)))
 
 
-@query("AGG-18", _sql("""SELECT late, count(*) AS n, round(count(*) FILTER (pnl_pct > 0) / count(*), 6) AS win_rate, round(avg(pnl_pct), 6) AS expectancy
-    FROM (SELECT *, entry_date >= DATE '1998-06-01' AS late FROM trades) GROUP BY late"""))
+@query("AGG-18", _sql("""SELECT n_before, n_after, round(wb, 6) AS win_rate_before, round(wa, 6) AS win_rate_after, round(eb, 6) AS expectancy_before, round(ea, 6) AS expectancy_after,
+        round(abs(wb - wa) * 100, 4) AS win_rate_diff_pp, eb * ea < 0 AS sign_flip, CASE WHEN n_before >= 10 AND n_after >= 10 THEN abs(wb - wa) * 100 <= 15 AND NOT eb * ea < 0 END AS stable
+    FROM (SELECT count(*) FILTER (early) AS n_before, count(*) FILTER (NOT early) AS n_after, avg((pnl_pct > 0)::INT) FILTER (early) AS wb, avg((pnl_pct > 0)::INT) FILTER (NOT early) AS wa,
+                 avg(pnl_pct) FILTER (early) AS eb, avg(pnl_pct) FILTER (NOT early) AS ea FROM (SELECT *, entry_date < DATE '1998-06-01' AS early FROM trades))"""))
 def agg_18(spark, sf_dir):
-    split = trade_table(spark, sf_dir).withColumn("late", F.col("entry_date") >= F.lit("1998-06-01").cast("date"))
-    return _rounded(ops.trade_metrics(split, ["late"])).select("late", "n", "win_rate", "expectancy")
+    found = _rounded(ops.temporal_stability(trade_table(spark, sf_dir), F.lit("1998-06-01").cast("date")))
+    return found.withColumn("win_rate_diff_pp", F.round("win_rate_diff_pp", 4))
 
 
 @query("AGG-19", _sql("SELECT event_id FROM trades WHERE entry_date <= d0 OR exit_date < entry_date"))
@@ -145,19 +191,21 @@ def sta_20(spark, sf_dir):
 
 
 @query("AGG-09", market.oracle(_BASE, f"""{_ALL},
-    c AS (SELECT event_id, event_class, d0, car * 100 AS x FROM car WHERE window_days = 20),
-    daily AS (SELECT event_class, d0, count(*) AS k, sum(x) AS sx, sum(x * x) AS sxx, count(*) FILTER (abs(x) >= 5) AS o5, count(*) FILTER (abs(x) >= 10) AS o10, count(*) FILTER (abs(x) >= 20) AS o20 FROM c GROUP BY ALL),
-    s AS (SELECT a.event_class, a.d0, coalesce(sum(b.k), 0) AS n, sum(b.sx) AS sx, sum(b.sxx) AS sxx, sum(b.o5) AS o5, sum(b.o10) AS o10, sum(b.o20) AS o20
+    c AS (SELECT event_id, event_class, ticker, d0, car * 100 AS x, vol_ratio AS v FROM car WHERE window_days = 20),
+    one AS (SELECT DISTINCT ON (event_class, ticker, d0) * FROM c ORDER BY event_class, ticker, d0, event_id),
+    daily AS (SELECT event_class, d0, count(*) AS k, sum(v) AS sv, count(v) AS kv, sum(x) AS sx, sum(x * x) AS sxx, count(*) FILTER (abs(x) >= 5) AS o5, count(*) FILTER (abs(x) >= 10) AS o10, count(*) FILTER (abs(x) >= 20) AS o20 FROM one GROUP BY ALL),
+    s AS (SELECT a.event_class, a.d0, coalesce(sum(b.k), 0) AS n, sum(b.sv) / nullif(sum(b.kv), 0) AS vr, sum(b.sx) AS sx, sum(b.sxx) AS sxx, sum(b.o5) AS o5, sum(b.o10) AS o10, sum(b.o20) AS o20
           FROM (SELECT DISTINCT event_class, d0 FROM c) a LEFT JOIN daily b ON a.event_class = b.event_class AND b.d0 < a.d0 - 20 GROUP BY ALL),
-    m AS (SELECT *, sx / n AS mean, sqrt(greatest(0, (sxx - sx * sx / n) / nullif(n - 1, 0))) AS sd, coalesce(n / (n + 15) * sx / n, 0) AS mag FROM s)
+    m AS (SELECT *, sx / n AS mean, sqrt(greatest(0, (sxx - sx * sx / n) / nullif(n - 1, 0))) AS sd, coalesce(n / (n + 15) * (sx / n) + (1 - n / (n + 15)) * (sx / n), 0) AS mag FROM s)
     SELECT event_id, n::BIGINT AS n_analogues, round(mag, 4) AS magnitude, CASE WHEN abs(mag) < 0.1 THEN 0.0 ELSE sign(mag) END::DOUBLE AS direction,
            round(coalesce(o5 * 100 / n, 0), 4) AS p_5, round(coalesce(o10 * 100 / n, 0), 4) AS p_10, round(coalesce(o20 * 100 / n, 0), 4) AS p_20,
+           round(greatest(0, least(100, (coalesce(vr, 1) - 1) * 50)), 3)::DOUBLE AS volatility,
            round(CASE WHEN n < 5 THEN least(15, n * 3) ELSE greatest(0, least(100, least(n / 50, 1) * 70 + 30 - least(coalesce(sd, 0) / 10, 1) * 30)) END, 3) AS confidence
     FROM c JOIN m USING (event_class, d0)"""))
 def agg_09(spark, sf_dir):
     car = car_table(spark, sf_dir, windows=(20,)).withColumn("car_pct", F.col("car") * 100)
     found = ops.impact_estimates(car)
-    return found.select("event_id", "n_analogues", F.round("magnitude", 4).alias("magnitude"), "direction", *[F.round(f"p_{k}", 4).alias(f"p_{k}") for k in (5, 10, 20)], F.round("confidence", 3).alias("confidence"))
+    return found.select("event_id", "n_analogues", F.round("magnitude", 4).alias("magnitude"), "direction", *[F.round(f"p_{k}", 4).alias(f"p_{k}") for k in (5, 10, 20)], F.round("volatility", 3).alias("volatility"), F.round("confidence", 3).alias("confidence"))
 
 
 @query("DEC-01", """
@@ -176,16 +224,27 @@ def _decision_inputs(spark, sf_dir) -> DataFrame:
         ev = finance.expected_value(conviction, F.col("o_totalprice") / 10_000, confidence, F.lit(60.0), style)
         per_style.append(F.struct(F.lit(style).alias("style"), ev.alias("ev"), finance.position_size(ev, confidence, style).alias("size_pct")))
     orders = market.table(spark, sf_dir, "orders").withColumn("s", F.explode(F.array(*per_style)))
-    return orders.select("o_orderkey", "s.style", "s.ev", "s.size_pct", confidence.alias("confidence"), (key % 100).cast("double").alias("novelty"), "o_totalprice")
+    return orders.select("o_orderkey", "s.style", "s.ev", "s.size_pct", confidence.alias("confidence"), (key % 100).cast("double").alias("novelty"), "o_totalprice", "o_orderpriority")
 
 
 @query("DEC-02", """
     SELECT o_orderkey, style, CASE WHEN o_orderkey % 100 < 20 THEN 'NO_TRADE: novelty' WHEN o_orderkey % 101 < 40 THEN 'NO_TRADE: confidence'
-        WHEN abs(ev) < 0.01 THEN 'NO_TRADE: ev' WHEN o_totalprice < 50000 THEN 'NO_TRADE: illiquid' WHEN ev > 0 THEN 'LONG' ELSE 'SHORT' END AS decision
+        WHEN abs(ev) < least_ev + 0.009::DOUBLE THEN 'NO_TRADE: ev' WHEN o_orderkey % 13 = 0 THEN 'NO_TRADE: warning'
+        WHEN o_orderkey % 11 = 0 OR (abs((o_orderkey % 21 - 10) / 10) < 0.15::DOUBLE AND o_orderkey % 101 >= 60) THEN 'NO_TRADE: contradictory'
+        WHEN o_orderpriority = '1-URGENT' AND o_orderkey % 3 = 0 THEN 'NO_TRADE: unannounced'
+        WHEN o_orderkey % 17 = 0 OR o_totalprice * 10 < 1000000 THEN 'NO_TRADE: illiquid' WHEN o_orderkey % 21 > 10 THEN 'LONG' ELSE 'SHORT' END AS decision
     FROM (SELECT *, (o_orderkey % 21 - 10) / 10 * abs(o_totalprice / 10000) / 100 * (o_orderkey % 101) / 100 * 60 / 100 * f AS ev
-          FROM orders, (VALUES ('conservative', 0.5::DOUBLE), ('balanced', 1.0::DOUBLE), ('aggressive', 1.8::DOUBLE)) AS s(style, f))""")
+          FROM orders, (VALUES ('conservative', 0.5::DOUBLE, 0.008::DOUBLE), ('balanced', 1.0::DOUBLE, 0.005::DOUBLE), ('aggressive', 1.8::DOUBLE, 0.002::DOUBLE)) AS s(style, f, least_ev))""")
 def dec_02(spark, sf_dir):
-    chosen = finance.decision(F.col("ev"), F.col("novelty"), F.col("confidence"), 0.01, F.col("o_totalprice") < 50_000)
+    """All seven rules per style; the threshold of the expected value is the style's, plus costs."""
+    k = F.col("o_orderkey")
+    least = F.when(F.lit(False), 0.0)
+    for style, value in decisions.THRESHOLDS.items():
+        least = least.when(F.col("style") == style, value + COST_MARGIN)
+    chosen = decisions.abstention(
+        F.col("ev"), (k % 21 - 10) / 10, F.col("confidence"), least, F.col("novelty"), k % 13 == 0, k % 11 > 0,
+        (F.col("o_orderpriority") == "1-URGENT") & (k % 3 == 0), F.when(k % 17 > 0, F.col("o_totalprice") * 10),
+    )
     return _decision_inputs(spark, sf_dir).select("o_orderkey", "style", chosen.alias("decision"))
 
 
@@ -200,23 +259,44 @@ def sta_15(spark, sf_dir):
     return market.table(spark, sf_dir, "orders").select("o_orderkey", F.round(score, 6).alias("novelty"))
 
 
-@query("STA-16", market.oracle("fundamentals", """
-    WITH a AS (SELECT cik, count(*) AS years, arg_min(revenue, period_end) FILTER (revenue > 0) AS r0, arg_max(revenue, period_end) FILTER (revenue > 0) AS r1, count(*) FILTER (revenue > 0) AS n,
-                      arg_max(net_income, period_end) AS ni, arg_max(revenue, period_end) AS rev, arg_max(shares, period_end) AS sh FROM fundamentals GROUP BY cik),
-    s AS (SELECT cik, CASE WHEN n >= 3 THEN greatest(0, least(100, ((power(r1 / r0, 1 / (n - 1)) - 1) * 100 + 10) / 20 * 100)) END AS growth, greatest(0, least(100, (ni / rev * 100 - 5) / 15 * 100)) AS margin,
-                 CASE WHEN ni > 0 THEN greatest(0, least(100, (rev / ni - 35) / (12 - 35) * 100)) END AS price FROM a)
-    SELECT cik, round((coalesce(growth * 0.4::DOUBLE, 0) + coalesce(margin * 0.3::DOUBLE, 0) + coalesce(price * 0.3::DOUBLE, 0)) / nullif((CASE WHEN growth IS NULL THEN 0 ELSE 0.4::DOUBLE END + CASE WHEN margin IS NULL THEN 0 ELSE 0.3::DOUBLE END + CASE WHEN price IS NULL THEN 0 ELSE 0.3::DOUBLE END), 0), 4) AS quality FROM s"""))
+#: What is known on this day counts in the quality screen.
+SCREEN_DAY = "1998-01-15"
+
+
+@query("STA-16", market.oracle("fundamentals", f"""
+    WITH k AS (SELECT * FROM fundamentals WHERE filed_at <= DATE '{SCREEN_DAY}'),
+    y AS (SELECT cik, arg_max(revenue, period_end) AS rev, arg_max(net_income, period_end) AS ni, arg_max(shares, period_end) AS sh,
+                 count(*) FILTER (revenue > 0) AS n, arg_min(revenue, period_end) FILTER (revenue > 0) AS r0, arg_max(revenue, period_end) FILTER (revenue > 0) AS r1 FROM k GROUP BY cik),
+    a AS (SELECT *, CASE WHEN cik % 10 > 0 THEN rev * (cik % 10) / 5 END AS eq, CASE WHEN cik % 3 > 0 THEN rev * (cik % 5) / 4 END AS debt, CASE WHEN cik % 13 > 0 THEN ni * (cik % 11) / 8 END AS cash,
+                 CASE WHEN cik % 7 > 0 THEN ni / 10 END AS capex, CASE WHEN cik % 17 > 0 THEN 4 * rev / sh END AS px FROM y),
+    s AS (SELECT cik,
+        CASE WHEN eq > 0 THEN greatest(0, least(100, (ni / eq - 0.05::DOUBLE) / 0.15::DOUBLE * 100)) END AS profitability,
+        CASE WHEN eq > 0 THEN greatest(0, least(100, (1.5::DOUBLE - coalesce(debt, 0) / eq) * 100)) END AS solidity,
+        CASE WHEN ni > 0 THEN greatest(0, least(100, ((cash - capex) / ni - 0.4::DOUBLE) / 0.5::DOUBLE * 100)) END AS earnings_raw, cash, capex,
+        CASE WHEN n >= 3 THEN greatest(0, least(100, (power(r1 / r0, 1.0::DOUBLE / (n - 1)) - 1 + 0.1::DOUBLE) / 0.2::DOUBLE * 100)) END AS growth,
+        CASE WHEN ni > 0 AND px IS NOT NULL THEN greatest(0, least(100, (35 - px * sh / ni) / 23 * 100)) END AS price FROM a),
+    p AS (SELECT cik, profitability, solidity, CASE WHEN cash IS NOT NULL AND capex IS NOT NULL THEN earnings_raw END AS earnings, growth, price FROM s),
+    l AS (UNPIVOT p ON profitability, solidity, earnings, growth, price INTO NAME part VALUE score),
+    w AS (SELECT cik, sum(score * v) / sum(v) AS total, count(*) AS known FROM l JOIN (VALUES ('profitability', 0.25::DOUBLE), ('solidity', 0.2::DOUBLE), ('earnings', 0.2::DOUBLE), ('growth', 0.2::DOUBLE), ('price', 0.15::DOUBLE)) AS ws(part, v) USING (part) GROUP BY cik)
+    SELECT cik, round(profitability, 4) AS profitability, round(solidity, 4) AS solidity, round(earnings, 4) AS earnings, round(growth, 4) AS growth, round(price, 4) AS price, round(total, 4) AS quality,
+           coalesce(known, 0)::INT AS known, CASE WHEN total IS NULL THEN 'unknown' WHEN known < 3 THEN 'incomplete' WHEN total >= 75 THEN 'solid' WHEN total >= 55 THEN 'decent' WHEN total >= 35 THEN 'troubled' ELSE 'weak' END AS band
+    FROM p LEFT JOIN w USING (cik)"""))
 def sta_16(spark, sf_dir):
-    """Weighted score over the parts that are known: growth of revenue, margin and a price ratio."""
-    f = market.fundamentals(spark, sf_dir)
+    """Quality of companies by the accounts filed by the screen's day; equity, debt, cash flow and price are bound to the id."""
+    f, k = market.fundamentals(spark, sf_dir).where(F.col("filed_at") <= F.lit(SCREEN_DAY).cast("date")), F.col("cik")
     positive = F.when(F.col("revenue") > 0, F.struct("period_end", "revenue"))
-    last = F.max(F.struct("period_end", "revenue", "net_income")).alias("last")
+    last = F.max(F.struct("period_end", "revenue", "net_income", "shares")).alias("last")
     a = f.groupBy("cik").agg(F.count(positive).alias("n"), F.min(positive).alias("r0"), F.max(positive).alias("r1"), last)
-    growth = F.when(F.col("n") >= 3, (F.pow(F.col("r1.revenue") / F.col("r0.revenue"), 1 / (F.col("n") - 1)) - 1) * 100)
-    margin = F.try_divide(F.col("last.net_income"), F.nullif(F.col("last.revenue"), F.lit(0.0))) * 100
-    ratio = F.when(F.col("last.net_income") > 0, F.col("last.revenue") / F.col("last.net_income"))
-    score = finance.weighted_over_known([(finance.scaled(growth, -10, 10), 0.4), (finance.scaled(margin, 5, 20), 0.3), (finance.scaled(ratio, 35, 12), 0.3)])
-    return a.select("cik", F.round(score, 4).alias("quality"))
+    rev, ni, sh = (F.col(f"last.{c}") for c in ("revenue", "net_income", "shares"))
+    parts = finance.quality_parts(
+        ni, F.when(k % 10 > 0, rev * (k % 10) / 5), F.when(k % 3 > 0, rev * (k % 5) / 4), F.when(k % 13 > 0, ni * (k % 11) / 8), F.when(k % 7 > 0, ni / 10),
+        F.struct("n", F.col("r0.revenue").alias("first"), F.col("r1.revenue").alias("last")), F.when(k % 17 > 0, 4 * rev / sh), sh,
+    )
+    scored = a.select("cik", *[c.alias(name) for name, (c, _) in parts.items()])
+    total = finance.weighted_over_known([(F.col(name), weight) for name, (_, weight) in parts.items()])
+    known = sum((F.col(name).isNotNull().cast("int") for name in parts), F.lit(0))
+    done = scored.withColumns({"quality": total, "known": known})
+    return _rounded(done.withColumn("band", finance.quality_band(F.col("quality"), F.col("known"))), 4)
 
 
 @query("STA-13", _sql("""SELECT event_class, round(n * n / sq, 6) AS effective_quarters, CASE WHEN n * n / sq >= 8 THEN 'quarter' ELSE 'month' END AS unit
