@@ -260,14 +260,14 @@ def sta_15(spark, sf_dir):
 
 
 #: What is known on this day counts in the quality screen.
-SCREEN_DAY = "1998-01-15"
+SCREEN_DAY = "2000-01-15"
 
 
 @query("STA-16", market.oracle("fundamentals", f"""
     WITH k AS (SELECT * FROM fundamentals WHERE filed_at <= DATE '{SCREEN_DAY}'),
     y AS (SELECT cik, arg_max(revenue, period_end) AS rev, arg_max(net_income, period_end) AS ni, arg_max(shares, period_end) AS sh,
                  count(*) FILTER (revenue > 0) AS n, arg_min(revenue, period_end) FILTER (revenue > 0) AS r0, arg_max(revenue, period_end) FILTER (revenue > 0) AS r1 FROM k GROUP BY cik),
-    a AS (SELECT *, CASE WHEN cik % 10 > 0 THEN rev * (cik % 10) / 5 END AS eq, CASE WHEN cik % 3 > 0 THEN rev * (cik % 5) / 4 END AS debt, CASE WHEN cik % 13 > 0 THEN ni * (cik % 11) / 8 END AS cash,
+    a AS (SELECT *, CASE WHEN cik % 10 > 0 THEN rev * (cik % 10) / 5 END AS eq, CASE WHEN cik % 4 > 0 THEN rev * (cik % 5) / 4 END AS debt, CASE WHEN cik % 13 > 0 THEN ni * (cik % 11) / 8 END AS cash,
                  CASE WHEN cik % 7 > 0 THEN ni / 10 END AS capex, CASE WHEN cik % 17 > 0 THEN 4 * rev / sh END AS px FROM y),
     s AS (SELECT cik,
         CASE WHEN eq > 0 THEN greatest(0, least(100, (ni / eq - 0.05::DOUBLE) / 0.15::DOUBLE * 100)) END AS profitability,
@@ -289,7 +289,7 @@ def sta_16(spark, sf_dir):
     a = f.groupBy("cik").agg(F.count(positive).alias("n"), F.min(positive).alias("r0"), F.max(positive).alias("r1"), last)
     rev, ni, sh = (F.col(f"last.{c}") for c in ("revenue", "net_income", "shares"))
     parts = finance.quality_parts(
-        ni, F.when(k % 10 > 0, rev * (k % 10) / 5), F.when(k % 3 > 0, rev * (k % 5) / 4), F.when(k % 13 > 0, ni * (k % 11) / 8), F.when(k % 7 > 0, ni / 10),
+        ni, F.when(k % 10 > 0, rev * (k % 10) / 5), F.when(k % 4 > 0, rev * (k % 5) / 4), F.when(k % 13 > 0, ni * (k % 11) / 8), F.when(k % 7 > 0, ni / 10),
         F.struct("n", F.col("r0.revenue").alias("first"), F.col("r1.revenue").alias("last")), F.when(k % 17 > 0, 4 * rev / sh), sh,
     )
     scored = a.select("cik", *[c.alias(name) for name, (c, _) in parts.items()])
