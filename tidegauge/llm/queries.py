@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import (
     chat_snapshots,
     exact_dedup,
+    fill_middle,
     language_id,
     mixing,
     packing,
@@ -94,6 +95,10 @@ def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.with_restored(fill_middle.transformed(documents(spark, sf_dir)))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
@@ -105,6 +110,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_passages": op9_passages,
     "op10_pu_quality": op10_pu_quality,
+    "op11_fill_middle": op11_fill_middle,
 }
 
 ORACLE_SQL = {
@@ -167,4 +173,32 @@ ORACLE_SQL = {
                     THEN round(2 * share / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * share)), 6) END AS first_position
         FROM c
     """,
+    "op11_fill_middle": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id::VARCHAR) AS h,
+                   regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+            FROM documents
+        ), k AS (
+            SELECT doc_id, text, u, len(u)::BIGINT AS n,
+                   ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS y,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                             OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+                        WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+            FROM d
+        ), p AS (
+            SELECT doc_id, text, n, form,
+                   coalesce(array_to_string(u[1:least(x, y)], ''), '') AS prefix,
+                   coalesce(array_to_string(u[least(x, y) + 1:greatest(x, y)], ''), '') AS middle,
+                   coalesce(array_to_string(u[greatest(x, y) + 1:n], ''), '') AS suffix
+            FROM k
+        )
+        SELECT doc_id, n, form,
+               CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text
+                                WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                                ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p
+    """,
 }
