@@ -17,6 +17,7 @@ from . import (
     pu_quality,
     quality_rules,
     simhash,
+    suffix_index,
     token_counts,
 )
 from .common import documents, id_crc, labels, written
@@ -106,6 +107,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mined(vectors, F.col("vec_id") % 50 == 0, label)
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_index.without_repeats(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
@@ -119,6 +125,7 @@ QUERIES = {
     "op10_pu_quality": op10_pu_quality,
     "op11_fill_middle": op11_fill_middle,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLE_SQL = {
@@ -229,4 +236,29 @@ ORACLE_SQL = {
         WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
         QUALIFY row_number() OVER w <= 3
     """,
+    "op13_suffix_dedup": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents
+        ), w AS (
+            SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d WHERE octet_length(b) >= 400
+        ), k AS (
+            SELECT r, i, md5(array_slice(b, i, i + 399)) AS string FROM w
+        ), m AS (
+            SELECT r, i FROM k QUALIFY count(*) OVER (PARTITION BY string) > 1
+        ), n AS (
+            SELECT r, i, (i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -1000) + 400)::INT AS new FROM m
+        ), g AS (
+            SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM n
+        ), s AS (
+            SELECT r, span, min(i) AS a, max(i) + 399 AS z FROM g GROUP BY ALL
+        ), l AS (
+            SELECT r, count(*) AS n_spans, sum(z - a + 1)::BIGINT AS n_removed, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM s GROUP BY r
+        )
+        SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+               CASE WHEN n_spans IS NULL THEN sha256(b)
+                    ELSE sha256(unhex(array_to_string(list_transform(
+                             list_zip(list_prepend(1, list_transform(z, lambda x: x + 1)), list_append(list_transform(a, lambda x: x - 1), octet_length(b)::BIGINT)),
+                             lambda x: hex(array_slice(b, x[1], x[2]))), ''))) END AS kept_sha256
+        FROM d LEFT JOIN l USING (r)
+    """,
 }
