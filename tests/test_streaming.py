@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from tidegauge.streaming import claims
 from tidegauge.streaming import events as streams
 
 SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double"
@@ -42,3 +43,28 @@ def test_claims_are_taken_once(spark, tmp_path):
 def test_sessions(spark):
     got = {(r.user_id, r.n) for r in streams.sessions(spark.createDataFrame(rows(0) + rows(9), SCHEMA), gap="1 hour").collect()}
     assert got == {(0, 3), (1, 3)}
+
+
+def test_claims_over_files_of_many_months_in_no_order(spark, tmp_path):
+    """Each key has one claim, however far apart its files are and however often the stream is started."""
+    source, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    keys, start = ["user_id", "event_type"], dt.datetime(2024, 1, 1)
+    wanted, looks = {}, {}
+    for run, months in enumerate(([7, 7, 1], [0, 12], [3])):
+        for month in months:
+            made = [(run * 1000 + month * 10 + i, start + dt.timedelta(days=30 * month, minutes=i), i % 3, "ab"[i % 2], 1.0) for i in range(6)]
+            made += [(None, start, 1, "a", 1.0), (5, None, 1, "a", 1.0), (5, start, None, "a", 1.0)]
+            spark.createDataFrame(made, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+            for i, at, user, kind, _ in made[:6]:
+                looks[user, kind] = looks.get((user, kind), 0) + 1
+        stream = streams.file_stream(spark, source, spark.read.parquet(source).schema, files_per_batch=1)
+        found = claims.claimed(stream, keys, "ts", "event_id", out)
+        rows_ = found.collect()
+        held = [(r.user_id, r.event_type) for r in rows_ if r.claimed_at is not None]
+        assert sorted(held) == sorted(looks) and len(set(held)) == len(held)
+        holders = {(r.user_id, r.event_type): (r.claimed_at, r.claimed_by, r.looks) for r in claims.holders(found, keys).collect()}
+        assert {k: v[2] for k, v in holders.items()} == looks
+        wanted = wanted or {k: v[:2] for k, v in holders.items()}
+        assert {k: v[:2] for k, v in holders.items()} == wanted  # later files, also of earlier days, do not take a claim away
+        for r in rows_:
+            assert r.looks_before == 0 if r.claimed_at is not None else r.looks_before > 0

@@ -61,3 +61,18 @@ def grouped(df: DataFrame, value: str, by: list[str], group: str, key: str) -> D
         *[c for c in sums.columns if c != "t"], (F.col("mean") - margin).alias("low"), (F.col("mean") + margin).alias("high"),
         known(low).alias("share_low"), known(high).alias("share_high"),
     )
+
+
+def block(df: DataFrame, value: str, by: list[str], day: str, key: str) -> DataFrame:
+    """The intervals of ``grouped`` by quarter of ``day`` where a group has LEAST_QUARTERS effective quarters or more, else by month:
+    ``unit``, ``g_effective``, ``df``, ``share_low``, ``share_high``, ``low``, ``high`` and ``apart`` (whether the mean's interval leaves out 0)."""
+
+    def of(unit: str) -> DataFrame:
+        found = grouped(df.withColumn("_unit", F.trunc(day, unit)), value, by, "_unit", key)
+        names = ("g_effective", "df", "share_low", "share_high", "low", "high")
+        return found.select(*by, F.struct(F.lit(unit).alias("unit"), *names).alias(unit))
+
+    both = of("quarter").join(of("month"), by)
+    chosen = F.when(F.col("quarter.g_effective") >= LEAST_QUARTERS, F.col("quarter")).otherwise(F.col("month"))
+    out = both.select(*by, chosen.alias("_c")).select(*by, "_c.*")
+    return out.withColumn("apart", (F.col("low") > 0) | (F.col("high") < 0))

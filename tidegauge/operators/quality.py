@@ -33,13 +33,6 @@ def bad_bars(bars: DataFrame, tolerance: float = 0.001, spike: float = 0.5, undo
     return bars.withColumn("reason", reason)
 
 
-def jumps(bars: DataFrame, least: float) -> DataFrame:
-    """Number of bars per ticker whose close moved by more than ``least``."""
-    w = Window.partitionBy("ticker").orderBy("trade_date")
-    move = F.abs(F.try_divide(F.col("close"), F.nullif(F.lag("close").over(w), F.lit(0.0))) - 1)
-    return bars.withColumn("_move", move).where(F.col("_move") > least).groupBy("ticker").agg(F.count("*").alias("jumps"))
-
-
 def liquidity(bars: DataFrame, sessions: int = 60, least_price: float = 5.0, least_value: float = 1e6) -> DataFrame:
     """Last close and mean traded value of the last sessions, and whether both suffice."""
     w = Window.partitionBy("ticker").orderBy(F.desc("trade_date"))

@@ -286,3 +286,31 @@ def impact_estimates(car: DataFrame, window_days: int = 20, shrink: float = 15.0
         confidence.alias("confidence"),
     )
     return car.select("event_id", "event_class", "window_days", "d0").join(estimated, ["event_class", "window_days", "d0"])
+
+
+def rebuilt_drawdown(trades: DataFrame, by: list[str], size: float, capital: float) -> DataFrame:
+    """``drawdown``: the largest fall below its peak, as a share, of the balance that results of ``size`` a trade, booked by exit day, make of
+    ``capital``. A row per day goes through the window, however many trades."""
+    days = trades.groupBy(*by, "exit_date").agg((F.sum("pnl_pct") * size / 100).alias("_won"))
+    w = Window.partitionBy(*by).orderBy("exit_date").rowsBetween(Window.unboundedPreceding, 0)
+    held = days.withColumn("_balance", F.lit(capital) + F.sum("_won").over(w))
+    peaks = held.withColumn("_peak", F.greatest(F.lit(capital), F.max("_balance").over(w)))
+    return peaks.groupBy(*by).agg(F.max(1 - F.col("_balance") / F.col("_peak")).alias("drawdown"))
+
+
+def stable_over_time(trades: DataFrame, by: list[str], split: Column, least: int = 10, most_pp: float = 15.0) -> DataFrame:
+    """``by`` and ``stable``, as in ``temporal_stability``, for each group."""
+    p, early = F.col("pnl_pct"), F.col("entry_date") < split
+    rate = lambda c: F.avg(F.when(c, (p > 0).cast("double")))
+    sums = trades.groupBy(*by).agg(
+        F.count_if(early).alias("_a"), F.count_if(~early).alias("_b"), (F.abs(rate(early) - rate(~early)) * 100).alias("_diff"),
+        (F.avg(F.when(early, p)) * F.avg(F.when(~early, p))).alias("_sign"),
+    )
+    return sums.select(*by, F.when(F.least("_a", "_b") >= least, (F.col("_diff") <= most_pp) & (F.col("_sign") >= 0)).alias("stable"))
+
+
+def look_ahead_messages(records: DataFrame) -> DataFrame:
+    """``event_id`` and ``message`` of each breach in ``records(event_id, d0, entry_date, exit_date)``: entered on d0 or before, or left before entered."""
+    entered = F.when(F.col("entry_date") <= F.col("d0"), F.format_string("event %s: entry %s is not after %s", "event_id", F.col("entry_date").cast("string"), F.col("d0").cast("string")))
+    left = F.when(F.col("exit_date") < F.col("entry_date"), F.format_string("event %s: exit %s is before entry %s", "event_id", F.col("exit_date").cast("string"), F.col("entry_date").cast("string")))
+    return records.select("event_id", F.explode(F.array_compact(F.array(entered, left))).alias("message"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import t_p_value, wilson
 from ..operators import event_study as es
+from ..operators.tables import written
 from ..sources import market
 from .registry import query
 
@@ -17,8 +18,14 @@ def car_table(spark: SparkSession, sf_dir: str, ticker: str = "p_type", windows:
     return es.cumulative_abnormal_returns(returns, market.factors(spark, sf_dir), events, windows)
 
 
+def first_cars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns over 20 days, one per class, ticker and day, in percent: worked out once and written, as statistics start from them several times."""
+    one = es.first_per_event_day(car_table(spark, sf_dir, windows=(20,)))
+    return written(one.select("event_id", "event_class", "ticker", "d0", "window_days", (F.col("car") * 100).alias("car_pct")), "car")
+
+
 def _statistics(car: DataFrame) -> DataFrame:
-    stats = es.class_statistics(car.withColumn("car_pct", F.col("car") * 100))
+    stats = es.class_statistics(car)
     return stats.select("event_class", "n", *[F.round(c, 5).alias(c) for c in ("mean", "p25", "median", "p75", "std", "t_stat", "mde")])
 
 
@@ -103,7 +110,7 @@ def agg_04(spark, sf_dir):
            round(2.8 * stddev_samp(car * 100) / sqrt(count(*)), 5) AS mde
     FROM one WHERE window_days = 20 GROUP BY event_class"""))
 def sta_04(spark, sf_dir):
-    return _statistics(es.first_per_event_day(car_table(spark, sf_dir, windows=(20,))))
+    return _statistics(first_cars(spark, sf_dir))
 
 
 @query("STA-05", market.oracle(_BASE, f"""{_ALL}, {_DEDUP},
@@ -115,8 +122,7 @@ def sta_05(spark, sf_dir):
 
 
 def _percent(spark, sf_dir) -> DataFrame:
-    one = es.first_per_event_day(car_table(spark, sf_dir, windows=(20,))).withColumn("car_pct", F.col("car") * 100)
-    return es.winsorised(one, "car_pct", ["event_class"])
+    return es.winsorised(first_cars(spark, sf_dir), "car_pct", ["event_class"])
 
 
 _WINSOR = """x AS (
@@ -141,7 +147,7 @@ def _clustered(spark, sf_dir) -> DataFrame:
 @query("STA-06")
 def sta_06(spark, sf_dir):
     """p-values of the plain and the clustered t."""
-    plain = _statistics(es.first_per_event_day(car_table(spark, sf_dir, windows=(20,))))
+    plain = _statistics(first_cars(spark, sf_dir))
     return plain.select("event_class", "n", "t_stat", F.round(t_p_value(F.col("t_stat"), (F.col("n") - 1).cast("double")), 6).alias("p_value"))
 
 

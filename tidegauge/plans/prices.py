@@ -205,12 +205,6 @@ def tsq_03(spark, sf_dir):
     return found.where(F.col("match.trade_date") <= F.date_add("d0", 20)).select("event_id", "match.reason")
 
 
-@query("TSQ-05", market.oracle("prices", f"""
-    SELECT ticker, count(*) AS jumps FROM (SELECT *, lag(close) {_W} AS pc FROM prices) WHERE abs(close / nullif(pc, 0) - 1) > 0.3 GROUP BY ticker"""))
-def tsq_05(spark, sf_dir):
-    return quality.jumps(_bars(spark, sf_dir), 0.3)
-
-
 @query("AGG-07", market.oracle("prices", """
     SELECT ticker, arg_max(close, trade_date) AS last_close, max(trade_date) AS last_date, round(avg(close * volume) FILTER (k <= 60), 2) AS adv_60,
            coalesce(arg_max(close, trade_date) >= 5 AND avg(close * volume) FILTER (k <= 60) >= 1000000, FALSE) AS investable

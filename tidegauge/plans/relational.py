@@ -235,12 +235,6 @@ def agg_24(spark, sf_dir):
     return values.crossJoin(F.broadcast(bounds)).groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("AGG-21", "SELECT ts::DATE AS day, round(sum(coalesce(CASE WHEN event_type = 'purchase' THEN value END, 0.25::DOUBLE)), 6) AS spent, count(*) AS n FROM events GROUP BY 1")
-def agg_21(spark, sf_dir):
-    cost = F.coalesce(F.when(F.col("event_type") == "purchase", F.col("value")), F.lit(0.25))
-    return table(spark, sf_dir, "events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.round(F.sum(cost), 6).alias("spent"), F.count("*").alias("n"))
-
-
 @query("SRT-01", "SELECT o_orderkey FROM orders ORDER BY nullif(o_totalprice, 0) DESC NULLS LAST, o_orderdate, o_orderkey LIMIT 100")
 def srt_01(spark, sf_dir):
     return table(spark, sf_dir, "orders").orderBy(F.nullif(F.col("o_totalprice"), F.lit(0.0)).desc_nulls_last(), "o_orderdate", "o_orderkey").limit(100).select("o_orderkey")
@@ -321,10 +315,3 @@ def qry_24(spark, sf_dir):
     out = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cik"), F.lit(1).alias("hit")).distinct()
     marked = market_events(spark, sf_dir).join(out, "cik", "left")
     return marked.groupBy("event_class").agg(F.count("*").alias("n"), F.count("hit").alias("excluded"))
-
-
-@query("TSQ-07", oracle("events fundamentals", """
-    SELECT event_id, f.period_end, f.shares FROM ev ASOF LEFT JOIN fundamentals f ON ev.cik = f.cik AND ev.d0 >= f.filed_at"""))
-def tsq_07(spark, sf_dir):
-    found = joins.as_of(market_events(spark, sf_dir), fundamentals(spark, sf_dir), ["cik"], "d0", "filed_at", ["period_end", "shares"])
-    return found.select("event_id", "match.period_end", "match.shares")

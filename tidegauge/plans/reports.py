@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import finance
 from ..operators import decisions, enrichment, intervals, portfolio
+from ..operators import event_study as es
 from ..operators import trades as ops
+from ..operators.tables import written
 from ..sources import market
-from .event_study import _ALL, _BASE, car_table
+from .event_study import _ALL, _BASE, _MODEL, _RETURNS, car_table
 from .registry import query
 from .trades import _rounded, _sql, trade_table
 
@@ -47,15 +49,19 @@ def sta_12(spark, sf_dir):
     return _rounded(intervals.grouped_sums(months, "pnl_pct", ["event_class"], "month", "event_id"))
 
 
-def _intervals(spark, sf_dir) -> DataFrame:
-    months = trade_table(spark, sf_dir).withColumn("month", F.trunc("d0", "month"))
+def _results(spark, sf_dir) -> DataFrame:
+    """The narrow table of trades that intervals start from several times."""
+    return written(trade_table(spark, sf_dir).select("event_id", "event_class", "pnl_pct", F.trunc("d0", "month").alias("month")), "results")
+
+
+def _intervals(months: DataFrame) -> DataFrame:
     return _rounded(intervals.grouped(months, "pnl_pct", ["event_class"], "month", "event_id"))
 
 
 @query("STA-12b")
 def sta_12b(spark, sf_dir):
     """The grouped intervals of mean and share."""
-    return _intervals(spark, sf_dir)
+    return _intervals(_results(spark, sf_dir))
 
 
 @query("STA-03", market.oracle(_BASE, f"""{_ALL},
@@ -68,30 +74,46 @@ def sta_03(spark, sf_dir):
     return want.join(done, ["event_id", "window_days"], "left_anti")
 
 
-@query("STA-14", market.oracle("prices events", f"""
-    WITH b AS (
+_INDEX = "MEDIUM"  #: the series that stands for the index of fear
+
+
+@query("STA-14", market.oracle(_BASE, f"""
+    WITH {_RETURNS},
+    {_MODEL},
+    b AS (
         SELECT *, close * volume AS value, lag(close) OVER w AS pc, lag(trade_date) OVER w AS pd,
-               CASE WHEN count(close * volume) OVER v60 >= 20 THEN avg(close * volume) OVER v60 END AS adv,
-               avg(volume) FILTER (trade_date IS NOT NULL) OVER v20 AS usual
+               CASE WHEN count(close * volume) OVER v60 >= 20 THEN avg(close * volume) OVER v60 END AS adv, avg(volume) OVER v20 AS usual
         FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY trade_date), v60 AS (PARTITION BY ticker ORDER BY trade_date ROWS 59 PRECEDING), v20 AS (PARTITION BY ticker ORDER BY trade_date ROWS 19 PRECEDING)),
-    m AS (SELECT trade_date, CASE WHEN trade_date - pd <= 4 AND pc <> 0 THEN close / pc - 1 END AS market_ret FROM b WHERE ticker = '{HEDGE}')
+    o AS (SELECT ticker, trade_date, CASE WHEN trade_date - pd <= 4 AND pc <> 0 THEN close / pc - 1 END AS r, 's' || length(ticker) % 2 AS sector FROM b),
+    m AS (SELECT trade_date, r AS market_ret FROM o WHERE ticker = '{HEDGE}'),
+    sp AS (SELECT ticker, min(trade_date) AS lo, max(trade_date) AS hi FROM prices GROUP BY 1),
+    md AS (SELECT e.event_id, avg(o.r) FILTER (o.ticker <> e.ticker) AS others FROM ev e JOIN o ON o.trade_date = e.d0 AND o.sector = 's' || length(e.ticker) % 2 WHERE o.r IS NOT NULL GROUP BY 1),
+    gp AS (SELECT e.event_id, count(*) > 0 AS gap FROM (SELECT ev.event_id, ev.ticker, ev.d0 - k::INT AS day FROM ev, range(0, 6) AS g(k)) e JOIN sp ON sp.ticker = e.ticker AND day BETWEEN lo AND hi
+           LEFT JOIN prices p ON p.ticker = e.ticker AND p.trade_date = e.day WHERE isodow(day) < 6 AND p.ticker IS NULL GROUP BY 1)
     SELECT e.event_id, CASE WHEN p0.trade_date >= e.d0 - 5 THEN p0.close END AS price_d0, CASE WHEN p5.trade_date >= e.d0 - 10 THEN p5.close END AS price_d5, CASE WHEN p20.trade_date >= e.d0 - 25 THEN p20.close END AS price_d20,
            round(CASE WHEN p1.trade_date >= e.d0 - 6 AND p5.trade_date >= e.d0 - 10 AND p5.close > 0 THEN (p1.close / p5.close - 1) * 100 END, 5) AS drift_pct,
-           d.volume AS volume_d0, round(d.volume / nullif(CASE WHEN s.trade_date >= e.d0 - 40 THEN s.usual END, 0), 5) AS volume_ratio,
+           d.volume AS volume_d0, round(CASE WHEN s.trade_date >= e.d0 - 40 THEN s.usual END, 5) AS volume_avg_20d, round(d.volume / nullif(CASE WHEN s.trade_date >= e.d0 - 40 THEN s.usual END, 0), 5) AS volume_ratio,
            round((d.high - d.low) / nullif(d.close, 0) * 100, 5) AS range_pct, round(s.adv + 0.00002, 3) AS adv,
-           round(CASE WHEN d.trade_date - d.pd <= 4 AND d.pc <> 0 THEN (d.close / d.pc - 1) * 100 END, 5) AS ret_pct, round(m.market_ret * 100, 5) AS market_pct
+           round(CASE WHEN d.trade_date - d.pd <= 4 AND d.pc <> 0 THEN (d.close / d.pc - 1) * 100 END, 5) AS ret_pct, round(m.market_ret * 100, 5) AS market_pct,
+           coalesce(n_est, 0) AS n_est, round(b0, 5) AS beta_mkt, round(b1, 5) AS beta_smb, round(b2, 5) AS beta_hml, f.close AS vix_d0, 's' || length(e.ticker) % 2 AS sector, round((others - m.market_ret) * 100, 5) AS sector_mood,
+           coalesce(gap, FALSE) AS gap_warning, round(CASE WHEN d.trade_date - d.pd <= 4 AND d.pc <> 0 THEN (d.close / d.pc - 1) * 100 END - coalesce(b0, 1) * m.market_ret * 100, 4) AS abnormal_pct
     FROM ev e ASOF LEFT JOIN b p0 ON p0.ticker = e.ticker AND e.d0 >= p0.trade_date
         ASOF LEFT JOIN b p1 ON p1.ticker = e.ticker AND e.d0 - 1 >= p1.trade_date
         ASOF LEFT JOIN b p5 ON p5.ticker = e.ticker AND e.d0 - 5 >= p5.trade_date
         ASOF LEFT JOIN b p20 ON p20.ticker = e.ticker AND e.d0 - 20 >= p20.trade_date
         ASOF LEFT JOIN b s ON s.ticker = e.ticker AND e.d0 > s.trade_date
-        LEFT JOIN b d ON d.ticker = e.ticker AND d.trade_date = e.d0 LEFT JOIN m ON m.trade_date = e.d0"""))
+        LEFT JOIN b d ON d.ticker = e.ticker AND d.trade_date = e.d0 LEFT JOIN m ON m.trade_date = e.d0 LEFT JOIN model ON model.event_id = e.event_id
+        LEFT JOIN prices f ON f.ticker = '{_INDEX}' AND f.trade_date = e.d0 LEFT JOIN md ON md.event_id = e.event_id LEFT JOIN gp ON gp.event_id = e.event_id"""))
 def sta_14(spark, sf_dir):
-    """Features of each event from the bars before it: prices, drift, volume, range, traded value and returns."""
-    bars = market.prices(spark, sf_dir)
-    found = enrichment.features(market.events(spark, sf_dir), bars, bars.where(F.col("ticker") == HEDGE))
-    rounded = {c: F.round(c, 5) for c in ("drift_pct", "volume_ratio", "range_pct", "ret_pct", "market_pct")} | {"adv": F.round(F.col("adv") + 0.00002, 3)}
-    return found.withColumns(rounded).select("event_id", "price_d0", "price_d5", "price_d20", "drift_pct", "volume_d0", "volume_ratio", "range_pct", "adv", "ret_pct", "market_pct")
+    """The twenty features of each event: prices, drift, volume, range, traded value, returns, model, index, sector, gaps."""
+    bars, events = written(market.prices(spark, sf_dir), "bars"), market.events(spark, sf_dir)
+    models = es.fitted_models(es.simple_returns(bars), market.factors(spark, sf_dir), events)
+    index = bars.where(F.col("ticker") == _INDEX).select("trade_date", "close")
+    sectors = bars.select("ticker").distinct().withColumn("sector", F.concat(F.lit("s"), F.length("ticker") % 2))
+    found = enrichment.vector(events, bars, bars.where(F.col("ticker") == HEDGE), models, index, sectors).withColumnRenamed("beta_mkt_rf", "beta_mkt")
+    five = ("drift_pct", "volume_avg_20d", "volume_ratio", "range_pct", "ret_pct", "market_pct", "beta_mkt", "beta_smb", "beta_hml", "sector_mood")
+    rounded = {c: F.round(c, 5) for c in five} | {"adv": F.round(F.col("adv") + 0.00002, 3), "abnormal_pct": F.round("abnormal_pct", 4)}
+    return found.withColumns(rounded).select("event_id", "price_d0", "price_d5", "price_d20", "volume_d0", *rounded, "n_est", "vix_d0", "sector", "gap_warning")
 
 
 @query("STA-21", _sql(f"""SELECT event_id, round(actual, 5) AS actual, round(abs(confidence / 10 - actual), 5) AS error, actual > 0 AS correct FROM (
@@ -162,16 +184,30 @@ def dec_06(spark, sf_dir):
     return _inputs(spark, sf_dir).select("k", decisions.execution_style(F.col("confidence"), ev, 0.008).alias("style"), size("conservative"), size("aggressive"))
 
 
-@query("DEC-07", _sql("""SELECT event_class, n, round(win_rate, 6) AS win_rate, CASE WHEN peeked > 0 OR n < 20 THEN 'C' WHEN win_rate < 0.5 OR sharpe < 0.7 THEN 'C' ELSE 'B' END AS verdict
-    FROM (SELECT event_class, count(*) AS n, count(*) FILTER (pnl_pct > 0) / count(*) AS win_rate, avg(pnl_pct) / stddev_samp(pnl_pct) AS sharpe, count(*) FILTER (entry_date <= d0) AS peeked FROM trades GROUP BY 1)"""))
+_SIZE, _CAPITAL = 1_000.0, 100_000.0
+
+
+@query("DEC-07", _sql(f"""SELECT event_class, n, round(win_rate, 6) AS win_rate, round(calibration, 6) AS calibration, round(drawdown, 6) AS drawdown, forward,
+        CASE WHEN peeked > 0 OR n < 20 THEN 'C' WHEN win_rate > 0.55 AND sharpe > 1 AND calibration > 0.6 AND drawdown < 0.15 AND n > 300 AND forward THEN 'A'
+             WHEN sharpe < 0.7 OR win_rate < 0.5 OR calibration < 0.4 THEN 'C' ELSE 'B' END AS verdict
+    FROM (SELECT event_class, count(*) AS n, count(*) FILTER (pnl_pct > 0) / count(*) AS win_rate, avg(pnl_pct) / stddev_samp(pnl_pct) AS sharpe, count(*) FILTER (entry_date <= d0) AS peeked,
+                 CASE WHEN abs(avg(confidence / 10)) >= 1e-9 THEN 1 - abs(avg(confidence / 10) - avg(pnl_pct)) / abs(avg(confidence / 10)) END AS calibration,
+                 CASE WHEN least(count(*) FILTER (early), count(*) FILTER (NOT early)) >= 10 THEN abs(avg((pnl_pct > 0)::INT) FILTER (early) - avg((pnl_pct > 0)::INT) FILTER (NOT early)) * 100 <= 15 AND avg(pnl_pct) FILTER (early) * avg(pnl_pct) FILTER (NOT early) >= 0 END AS forward
+          FROM (SELECT *, entry_date < DATE '1998-06-01' AS early FROM trades) GROUP BY 1)
+    JOIN (SELECT event_class, max(1 - bal / greatest({_CAPITAL}, peak)) AS drawdown FROM (SELECT *, max(bal) OVER (PARTITION BY event_class ORDER BY exit_date) AS peak FROM (
+            SELECT event_class, exit_date, {_CAPITAL} + sum(won) OVER (PARTITION BY event_class ORDER BY exit_date) AS bal FROM (SELECT event_class, exit_date, sum(pnl_pct) * {_SIZE} / 100 AS won FROM trades GROUP BY ALL))) GROUP BY 1) USING (event_class)"""))
 def dec_07(spark, sf_dir):
-    sums = trade_table(spark, sf_dir).groupBy("event_class").agg(
+    """A verdict on each class from its win rate, Sharpe ratio, calibration, drawdown, number of trades, stability and look-ahead."""
+    trades = written(trade_table(spark, sf_dir).select("event_class", "d0", "entry_date", "exit_date", "pnl_pct", "confidence"), "trades")
+    predicted, actual = F.avg(F.col("confidence") / 10), F.avg("pnl_pct")
+    sums = trades.groupBy("event_class").agg(
         F.count("*").alias("n"), (F.count_if(F.col("pnl_pct") > 0) / F.count("*")).alias("win_rate"),
-        F.try_divide(F.avg("pnl_pct"), F.nullif(F.stddev_samp("pnl_pct"), F.lit(0.0))).alias("sharpe"), F.count_if(F.col("entry_date") <= F.col("d0")).alias("peeked"),
+        F.try_divide(actual, F.nullif(F.stddev_samp("pnl_pct"), F.lit(0.0))).alias("sharpe"), F.count_if(F.col("entry_date") <= F.col("d0")).alias("peeked"),
+        F.when(F.abs(predicted) >= 1e-9, 1 - F.abs(predicted - actual) / F.abs(predicted)).alias("calibration"),
     )
-    unknown = F.lit(None).cast("double")
-    option = decisions.verdict(F.col("win_rate"), F.col("sharpe"), unknown, unknown, F.col("n"), F.lit(None).cast("boolean"), F.col("peeked"))
-    return sums.select("event_class", "n", F.round("win_rate", 6).alias("win_rate"), option.alias("verdict"))
+    rows = sums.join(ops.rebuilt_drawdown(trades, ["event_class"], _SIZE, _CAPITAL), "event_class").join(ops.stable_over_time(trades, ["event_class"], F.lit("1998-06-01").cast("date")), "event_class")
+    option = decisions.verdict(*(F.col(c) for c in ("win_rate", "sharpe", "calibration", "drawdown", "n", "stable", "peeked")))
+    return rows.select("event_class", "n", *[F.round(c, 6).alias(c) for c in ("win_rate", "calibration", "drawdown")], F.col("stable").alias("forward"), option.alias("verdict"))
 
 
 @query("DEC-08", _sql("""SELECT event_id, CASE WHEN magnitude > 0 AND move >= magnitude THEN 'SELL: fulfilled' WHEN (move > 0 AND move >= saturation) OR ratio >= 3 THEN 'SELL: saturated'
@@ -289,8 +325,9 @@ def qry_08(spark, sf_dir):
 @query("QRY-09")
 def qry_09(spark, sf_dir):
     """Signal history of each class with its intervals; as for the intervals, tests take the place of SQL."""
-    history = _rounded(ops.trade_metrics(trade_table(spark, sf_dir), ["event_class"])).select("event_class", "wins", "losses", "expectancy")
-    return history.join(_intervals(spark, sf_dir), "event_class")
+    results = _results(spark, sf_dir)
+    history = _rounded(ops.trade_metrics(results, ["event_class"])).select("event_class", "wins", "losses", "expectancy")
+    return history.join(_intervals(results), "event_class")
 
 
 @query("QRY-20", _sql("SELECT event_id, ticker, entry_date FROM trades WHERE exit_date >= DATE '2000-06-01' AND entry_date <= DATE '2000-06-30' AND confidence >= 50 AND event_class NOT IN ('5-LOW')"))

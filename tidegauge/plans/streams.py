@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import market
+from ..streaming import claims
 from ..streaming import events as streams
 from .registry import query
 
@@ -31,9 +32,10 @@ def stream_02(spark, sf_dir):
     return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-@query("STREAM-03", "SELECT user_id, event_type, count(DISTINCT user_id) AS claims FROM events GROUP BY ALL")
+@query("STREAM-03", """
+    SELECT user_id, event_type, epoch_us(min(ts)) AS claimed_at, arg_min(event_id, (ts, event_id)) AS claimed_by, count(*) AS looks FROM events
+    WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL GROUP BY ALL""")
 def stream_03(spark, sf_dir):
-    """Claims of each user and type that a stream lets through: one."""
-    once = streams.claimed_once(_stream(spark, sf_dir), ["user_id", "event_type"])
-    done = streams.run_to_end(once.select("user_id", "event_type"), streams.own_folder(spark, "claims"), "append")
-    return done.groupBy("user_id", "event_type").agg(F.count("*").alias("claims"))
+    """Who holds the claim of each user and type, and how often it was asked for, from the stream's state."""
+    keys = ["user_id", "event_type"]
+    return claims.holders(claims.claimed(_stream(spark, sf_dir), keys, "ts", "event_id", streams.own_folder(spark, "claims")), keys)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import finance
-from ..operators import decisions
+from ..functions.stats import wilson
+from ..operators import decisions, intervals, scenarios
 from ..operators import trades as ops
+from ..operators.tables import written
 from ..sources import market
 from .event_study import _ALL, _BASE, car_table
 from .registry import query
@@ -66,14 +68,37 @@ _METRICS = """count(*) AS n, count(*) FILTER (pnl_pct > 0) AS wins, count(*) FIL
     round(max(pnl_pct), 6) AS best, round(min(pnl_pct), 6) AS worst"""
 
 
-@query("AGG-10", _sql(f"""SELECT m.*, longest_wins, longest_losses FROM (SELECT side, {_METRICS} FROM trades GROUP BY side) m JOIN (
+_UNIT = """(SELECT side, CASE WHEN gq >= 8 THEN 'quarter' ELSE 'month' END AS unit, round(CASE WHEN gq >= 8 THEN gq ELSE gm END, 6) AS g_effective FROM (
+        SELECT side, max(g) FILTER (u = 'q') AS gq, max(g) FILTER (u = 'm') AS gm FROM (
+            SELECT side, u, sum(k) * sum(k)::DOUBLE / sum(k * k) AS g FROM (SELECT side, u, date_trunc(CASE u WHEN 'q' THEN 'quarter' ELSE 'month' END, entry_date) AS c, count(*) AS k FROM trades, (VALUES ('q'), ('m')) AS units(u) GROUP BY ALL) GROUP BY ALL) GROUP BY side))"""
+_WILSON = """round(CASE WHEN wins = 0 THEN 0 ELSE greatest(0, (wins / n + z * z / (2 * n) - z * sqrt(wins / n * (1 - wins / n) / n + z * z / (4 * n * n))) / (1 + z * z / n)) END, 8) AS rate_low,
+    round(CASE WHEN wins = n THEN 1 ELSE least(1, (wins / n + z * z / (2 * n) + z * sqrt(wins / n * (1 - wins / n) / n + z * z / (4 * n * n))) / (1 + z * z / n)) END, 8) AS rate_high"""
+
+
+def _side_results(spark, sf_dir) -> DataFrame:
+    return written(trade_table(spark, sf_dir).select("event_id", "side", "entry_date", "exit_date", "pnl_pct"), "results")
+
+
+@query("AGG-10", _sql(f"""SELECT m.*, longest_wins, longest_losses, {_WILSON}, unit, g_effective, g_effective >= 6 AND n >= 20 AS has_interval FROM (SELECT side, {_METRICS}, 1.959963984540054::DOUBLE AS z FROM trades GROUP BY side) m JOIN (
         SELECT side, coalesce(max(k) FILTER (won), 0) AS longest_wins, coalesce(max(k) FILTER (NOT won), 0) AS longest_losses FROM (
             SELECT side, won, count(*) AS k FROM (
                 SELECT side, pnl_pct > 0 AS won, row_number() OVER (PARTITION BY side ORDER BY exit_date, event_id) - row_number() OVER (PARTITION BY side, pnl_pct > 0 ORDER BY exit_date, event_id) AS island FROM trades)
-            GROUP BY side, won, island) GROUP BY side) s USING (side)"""))
+            GROUP BY side, won, island) GROUP BY side) s USING (side) JOIN {_UNIT} USING (side)""").replace("SELECT m.*,", "SELECT m.* EXCLUDE (z),"))
 def agg_10(spark, sf_dir):
-    trades = trade_table(spark, sf_dir)
-    return _rounded(ops.trade_metrics(trades, ["side"])).join(ops.longest_streaks(trades, ["side"]), "side")
+    """Metrics of each side with its streaks, the plain Wilson interval of its win rate, and what the grouped intervals rest on."""
+    trades = _side_results(spark, sf_dir)
+    sums = ops.trade_metrics(trades, ["side"])
+    low, high = wilson(F.col("wins"), F.col("n"))
+    rates = sums.select("side", F.round(low, 8).alias("rate_low"), F.round(high, 8).alias("rate_high"))
+    block = intervals.block(trades, "pnl_pct", ["side"], "entry_date", "event_id")
+    rests = block.select("side", "unit", F.round("g_effective", 6).alias("g_effective"), F.col("low").isNotNull().alias("has_interval"))
+    return _rounded(sums).join(ops.longest_streaks(trades, ["side"]), "side").join(rates, "side").join(rests, "side")
+
+
+@query("AGG-10b")
+def agg_10b(spark, sf_dir):
+    """The intervals of win rate and mean by effective quarters or months; Student's t has no SQL, tests hold it against loops."""
+    return _rounded(intervals.block(_side_results(spark, sf_dir), "pnl_pct", ["side"], "entry_date", "event_id"))
 
 
 @query("AGG-12", _sql(f"""SELECT event_class, {_METRICS}, round(CASE WHEN count(*) >= 20 THEN avg(pnl_pct) / nullif(stddev_samp(pnl_pct), 0) END, 6) AS sharpe_per_trade,
@@ -171,9 +196,18 @@ def agg_18(spark, sf_dir):
     return found.withColumn("win_rate_diff_pp", F.round("win_rate_diff_pp", 4))
 
 
-@query("AGG-19", _sql("SELECT event_id FROM trades WHERE entry_date <= d0 OR exit_date < entry_date"))
+_RECORDS = """(SELECT event_id, d0, CASE WHEN event_id % 97 = 0 THEN d0 ELSE entry_date END AS entry_date, CASE WHEN event_id % 89 = 0 THEN d0 - 3 ELSE exit_date END AS exit_date FROM trades)"""
+
+
+@query("AGG-19", _sql(f"""SELECT event_id, 'event ' || event_id || ': entry ' || entry_date || ' is not after ' || d0 AS message FROM {_RECORDS} WHERE entry_date <= d0
+    UNION ALL SELECT event_id, 'event ' || event_id || ': exit ' || exit_date || ' is before entry ' || entry_date FROM {_RECORDS} WHERE exit_date < entry_date"""))
 def agg_19(spark, sf_dir):
-    return trade_table(spark, sf_dir).where("entry_date <= d0 or exit_date < entry_date").select("event_id")
+    """Look-ahead in recorded trades, some of which were entered on the day of the event or left before it."""
+    k = F.col("event_id")
+    records = trade_table(spark, sf_dir).select(
+        "event_id", "d0", F.when(k % 97 == 0, F.col("d0")).otherwise(F.col("entry_date")).alias("entry_date"), F.when(k % 89 == 0, F.date_sub("d0", 3)).otherwise(F.col("exit_date")).alias("exit_date")
+    )
+    return ops.look_ahead_messages(records)
 
 
 @query("AGG-20", _sql("SELECT reason, side, count(*) AS n FROM trades GROUP BY ALL"))
@@ -181,15 +215,56 @@ def agg_20(spark, sf_dir):
     return trade_table(spark, sf_dir).groupBy("reason", "side").agg(F.count("*").alias("n"))
 
 
-@query("STA-20", _sql("""SELECT scenario, side, count(*) AS n, round(avg(pnl_pct - extra), 6) AS expectancy, round(count(*) FILTER (pnl_pct - extra > 0) / count(*), 6) AS win_rate
+@query("STA-20c", _sql("""SELECT scenario, side, count(*) AS n, round(avg(pnl_pct - extra), 6) AS expectancy, round(count(*) FILTER (pnl_pct - extra > 0) / count(*), 6) AS win_rate
     FROM trades, (VALUES ('base', 0.0::DOUBLE), ('cost+20', 0.4::DOUBLE), ('cost+50', 1.0::DOUBLE)) AS s(scenario, extra) GROUP BY scenario, side"""))
-def sta_20(spark, sf_dir):
+def sta_20c(spark, sf_dir):
     """Extra costs on both legs, as scenarios beside the trades."""
     scenarios = F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(x).alias("extra")) for n, x in (("base", 0.0), ("cost+20", 0.4), ("cost+50", 1.0))]))
     many = trade_table(spark, sf_dir).withColumn("s", scenarios).withColumn("pnl_pct", F.col("pnl_pct") - F.col("s.extra")).withColumn("scenario", F.col("s.scenario"))
     return _rounded(ops.trade_metrics(many, ["scenario", "side"])).select("scenario", "side", "n", "expectancy", "win_rate")
 
 
+_HEDGE, _INDEX = "ECONOMY", "MEDIUM"
+_TWO_LEGS = f"""hedge AS (SELECT trade_date, open, close FROM prices WHERE ticker = '{_HEDGE}'),
+    t1 AS (SELECT t.*, CASE WHEN event_id % 2 = 0 AND x.trade_date >= t.entry_date AND h.open IS NOT NULL THEN h.open END AS h_in, CASE WHEN event_id % 2 = 0 AND x.trade_date >= t.entry_date AND h.open IS NOT NULL THEN x.close END AS h_out
+           FROM trades t LEFT JOIN hedge h ON h.trade_date = t.entry_date ASOF LEFT JOIN hedge x ON t.exit_date >= x.trade_date),
+    t2 AS (SELECT * EXCLUDE (pnl_pct), CASE WHEN h_in IS NULL THEN 1 ELSE 2 END AS legs, side * (exit / entry - 1) * 100 - CASE WHEN h_in IS NULL THEN 0 ELSE side * (h_out / h_in - 1) * 100 END AS gross FROM t1),
+    t3 AS (SELECT *, gross - legs * {COST}::DOUBLE AS pnl FROM t2),
+    nx AS (SELECT ticker, trade_date, lead(trade_date) OVER w AS day2, lead(open) OVER w AS open2 FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY trade_date)),
+    mk AS (SELECT ticker, trade_date FROM nx WHERE day2 IS NULL OR day2 - trade_date > 4),
+    t4 AS (SELECT t.*, n.day2, n.open2, h2.open AS h_in2, mk.ticker IS NOT NULL AS gone, CASE WHEN v.trade_date >= t.d0 - 4 THEN v.close END AS fear
+           FROM t3 t ASOF LEFT JOIN nx n ON n.ticker = t.ticker AND t.d0 < n.trade_date LEFT JOIN hedge h2 ON h2.trade_date = n.day2 LEFT JOIN mk ON mk.ticker = t.ticker AND mk.trade_date = t.exit_date
+           ASOF LEFT JOIN (SELECT trade_date, close FROM prices WHERE ticker = '{_INDEX}') v ON t.d0 >= v.trade_date),
+    med AS (SELECT side, CASE WHEN count(fear) >= 4 THEN quantile_cont(fear, 0.5) END AS med FROM t4 GROUP BY 1),
+    t5 AS (SELECT * FROM t4 JOIN med USING (side)),
+    sc AS (
+        SELECT side, 'base' AS scenario, pnl, FALSE AS affected FROM t5
+        UNION ALL SELECT side, 'commission', pnl - legs * 0.1::DOUBLE, TRUE FROM t5
+        UNION ALL SELECT side, 'spread', pnl - legs * 0.2::DOUBLE, TRUE FROM t5
+        UNION ALL SELECT side, 'latency', side * (exit / open2 - 1) * 100 - CASE WHEN h_in IS NULL THEN 0 ELSE side * (h_out / h_in2 - 1) * 100 END - (gross - pnl), TRUE FROM t5 WHERE open2 IS NOT NULL AND exit_date >= day2 AND (h_in IS NULL OR h_in2 IS NOT NULL)
+        UNION ALL SELECT side, 'delisting', CASE WHEN gone THEN side * (exit * 0.7::DOUBLE / entry - 1) * 100 - CASE WHEN h_in IS NULL THEN 0 ELSE side * (h_out / h_in - 1) * 100 END - (gross - pnl) ELSE pnl END, gone FROM t5
+        UNION ALL SELECT side, 'confidence', pnl, FALSE FROM t5 WHERE confidence * 0.8::DOUBLE >= 40
+        UNION ALL SELECT side, 'high_index', pnl, FALSE FROM t5 WHERE fear >= med
+        UNION ALL SELECT side, 'low_index', pnl, FALSE FROM t5 WHERE fear < med)"""
+
+
+@query("STA-20", _sql(f"""SELECT scenario, side, n, affected, win_rate, expectancy, total_return FROM (WITH {_TWO_LEGS}
+    SELECT scenario, side, count(pnl) AS n, count(*) FILTER (affected) AS affected, round(count(*) FILTER (pnl > 0) / nullif(count(pnl), 0), 6) AS win_rate, round(avg(pnl), 6) AS expectancy, round(coalesce(sum(pnl), 0) * 1000 / 100 / 100000, 6) AS total_return
+    FROM (SELECT DISTINCT side FROM t5) CROSS JOIN (VALUES ('base'), ('commission'), ('spread'), ('latency'), ('delisting'), ('confidence'), ('high_index'), ('low_index')) AS names(scenario)
+    LEFT JOIN sc USING (side, scenario) GROUP BY scenario, side)"""))
+def sta_20(spark, sf_dir):
+    """Every scenario of each side: costs of both legs, a day later, delistings, less confidence, and halves by the index."""
+    bars = written(market.prices(spark, sf_dir), "bars")
+    trades = trade_table(spark, sf_dir).select("event_id", "ticker", "d0", "side", "entry_date", "entry", "exit_date", "exit", "confidence")
+    hedge = bars.where(F.col("ticker") == _HEDGE).select("trade_date", "open", "close")
+    both = written(scenarios.two_legged(trades, hedge, F.col("event_id") % 2 == 0, COST), "two-legged")
+    following = F.lead("trade_date").over(Window.partitionBy("ticker").orderBy("trade_date"))
+    last = bars.withColumn("_next", following).where("_next is null or date_diff(_next, trade_date) > 4").select("ticker", "trade_date")
+    index = bars.where(F.col("ticker") == _INDEX).select("trade_date", "close")
+    found = written(scenarios.in_scenarios(both, bars, hedge, last, index, ["side"]), "scenarios")
+    return _rounded(scenarios.summaries(found, ["side"], 1_000.0, 100_000.0))
+
+
 @query("AGG-09", market.oracle(_BASE, f"""{_ALL},
     c AS (SELECT event_id, event_class, ticker, d0, car * 100 AS x, vol_ratio AS v FROM car WHERE window_days = 20),
     one AS (SELECT DISTINCT ON (event_class, ticker, d0) * FROM c ORDER BY event_class, ticker, d0, event_id),
@@ -204,7 +279,7 @@ def sta_20(spark, sf_dir):
     FROM c JOIN m USING (event_class, d0)"""))
 def agg_09(spark, sf_dir):
     car = car_table(spark, sf_dir, windows=(20,)).withColumn("car_pct", F.col("car") * 100)
-    found = ops.impact_estimates(car)
+    found = ops.impact_estimates(written(car.select("event_id", "event_class", "ticker", "d0", "window_days", "car_pct", "vol_ratio"), "car"))
     return found.select("event_id", "n_analogues", F.round("magnitude", 4).alias("magnitude"), "direction", *[F.round(f"p_{k}", 4).alias(f"p_{k}") for k in (5, 10, 20)], F.round("volatility", 3).alias("volatility"), F.round("confidence", 3).alias("confidence"))
 
 
