@@ -177,3 +177,42 @@ def test_reader_options_are_kept(spark, tmp_path):
         assert f(some).collect() == some.collect()
         assert f(spark.read.option("pathGlobFilter", "none*").schema(some.schema).parquet(folder)).count() == 0
         assert f(spark.read.parquet(folder)).count() == 3
+
+
+def test_pages_of_one_template_match_brute_force(spark):
+    """Most pairs of these pages look alike without being so: no cap on partners may part the others."""
+    r = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(5_000)]
+    base, texts = r.choices(vocabulary, k=400), []
+    for _ in range(450):
+        page = base.copy()
+        for at in r.sample(range(400), 6):
+            page[at] = r.choice(vocabulary) + "x"
+        texts.append(" ".join(page))
+    sets = [simhash.shingle_set(t) for t in texts]
+    parent, similar = list(range(len(texts))), []
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in itertools.combinations(range(len(texts)), 2):
+        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+        similar.append(both / (len(sets[x]) + len(sets[y]) - both))
+        if similar[-1] >= 0.8:
+            a, b = sorted((root(x), root(y)))
+            parent[b] = a
+    wanted = {k for k in range(len(texts)) if root(k) == k}
+    assert 0.7 < np.median(similar) < 0.78 and 50 < len(wanted) < 400
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    assert {k.doc_id for k in simhash.without_near_copies(docs).collect()} == wanted
+
+
+def test_pairs_apart_are_all_pairs_of_other_roots():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 2, 57):
+        root, side = r.integers(0, 5, n), r.integers(0, 2, n)
+        for both in (False, True):
+            got = [(int(a), int(b)) for x, y in simhash.pairs_apart(root, side, both, step=100) for a, b in zip(x, y, strict=True)]
+            assert got == [(a, b) for a in range(n) for b in range(a + 1, n) if root[a] != root[b] and (not both or side[a] != side[b])]

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, parquet_path, place, without_places, written
 from .components import connected_components
 from .neighbours import neighbour_pairs
-from .passages import _MIX, _mixed, shingles_of_all
+from .passages import _MIX, _mixed, _whole_groups, shingles_of_all
 
 SEGMENTS = 4
 BITS = 64
@@ -202,8 +202,8 @@ BANDS, ROWS = 16, 4
 #: Words of a wide fingerprint, and bits of them in which texts alike to 0.8 differ at most: they differ in 39 on average,
 #: with a deviation of 5.7.
 WORDS, WIDE_TAU = 4, 66
-#: Rows of a band's group that a row is compared with at most: the ones before it, and the first ones.
-NEIGHBOURS, HEADS = 8, 4
+#: Rows of a band's group whose pairs are looked at together, and of such a cell's texts that are held to compare them.
+GROUP, CELL = 4_096, 256
 _SALTS = _mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _MIX[0])
 
 
@@ -268,61 +268,147 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), sizes, bands, prints], names=["who", "node", "n", "bands", "fp"])
 
 
-def _candidates(banded: DataFrame, order: list[str], neighbours: int, heads: int) -> DataFrame:
-    """Distinct pairs of nodes that share a band, are near each other in its ``order`` and pass the pigeonring."""
+def _neighbours(banded: DataFrame) -> DataFrame:
+    """Distinct pairs of nodes that share a band, are its first or next to each other by id, and pass the pigeonring."""
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, x, y, _ in neighbour_pairs(batches, neighbours, heads):
-            n, m = rows[2, x], rows[2, y]  # sizes of sets alike to SIMILAR are so too
-            close = np.minimum(n, m) >= SIMILAR * np.maximum(n, m) - 1e-9
-            close[close] = ring_close(rows[3:, x[close]], rows[3:, y[close]], WIDE_TAU)
+        for rows, x, y, _ in neighbour_pairs(batches, 1, 1):
+            close = may_be_alike(rows[2:], x, y)
             one, two = rows[1, x[close]], rows[1, y[close]]
             yield pa.record_batch({"a": np.maximum(one, two), "b": np.minimum(one, two)})
 
-    dealt = banded.repartition("band").sortWithinPartitions("band", *order)
+    dealt = banded.repartition("band").sortWithinPartitions("band", "node")
     words = [F.col("fp")[k].alias(f"f{k}") for k in range(WORDS)]
     return dealt.select("band", "node", "n", *words).mapInArrow(paired, "a bigint, b bigint").where("a <> b").distinct()
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def may_be_alike(rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether columns x and y of ``rows`` (sizes of sets, then wide fingerprints) can be alike to SIMILAR: sizes of such sets
+    are so too, and their fingerprints pass the pigeonring."""
+    n, m = rows[0, x], rows[0, y]
+    close = np.minimum(n, m) >= SIMILAR * np.maximum(n, m) - 1e-9
+    close[close] = ring_close(rows[1:, x[close]], rows[1:, y[close]], WIDE_TAU)
+    return close
+
+
+def pairs_apart(root: np.ndarray, side: np.ndarray, both: bool, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places x < y of all pairs with different roots (and, if ``both``, of different sides), about ``step`` of them looked at at a time."""
+    n = len(root)
+    rows = max(step // max(n, 1), 1)
+    for at in range(0, n - 1, rows):
+        x = np.arange(at, min(at + rows, n - 1))
+        ok = (root[x, None] != root[None, :]) & (x[:, None] < np.arange(n)[None, :])
+        if both:
+            ok &= side[x, None] != side[None, :]
+        one, two = np.nonzero(ok)
+        if len(one):
+            yield x[one], two
+
+
+def _apart(banded: DataFrame, roots: DataFrame) -> DataFrame:
+    """All pairs ``a``, ``b`` of nodes of different classes (``ra``, ``rb``) that share a band and can be alike, each once, with the ``cell`` that
+    compares them.
+
+    Only groups with several classes are looked at. One of over GROUP nodes is cut into blocks, each pair of which is a group of its
+    own; so no pair is left out, whatever the size. Pairs that share several bands count in the first.
+    """
+    rooted = banded.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = written(rooted.drop("_n"), "near-rooted")
+    mixed = rooted.groupBy("band").agg(F.count("*").alias("size"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("band", "size")
+    mixed = written(mixed, "near-mixed")
+    open_ = rooted.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed, "band")
+    blocks = F.ceil(F.col("size") / GROUP).cast("int")
+    mine = open_.withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    each = mine.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    names = ["i", "j", "band", "pos", "node", "root", "mine", "size", "n"]
+    columns = [F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "band", "pos", "node", "root", "mine", "size", "n"]
+    wide = [F.col("fp")[k].alias(f"f{k}") for k in range(WORDS)] + [F.col("bands")[k].alias(f"b{k}") for k in range(BANDS)]
+    dealt = each.select(*columns, *wide).select(*[F.col(c).cast("bigint").alias(c) for c in [*names, *(f"f{k}" for k in range(WORDS)), *(f"b{k}" for k in range(BANDS))]])
+    dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches, 3):
+            starts = np.flatnonzero(np.append(True, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)))
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), rows.shape[1]], strict=True):
+                group = rows[:, a:b]
+                if group.shape[1] < 2 or group[5].min() == group[5].max():
+                    continue
+                yield from _pairs_of(group)
+
+    def _pairs_of(group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        pos, cells = int(group[3, 0]), -(-int(group[7, 0]) // CELL)
+        for x, y in pairs_apart(group[5], group[6], bool(group[0, 0] != group[1, 0])):
+            ok = may_be_alike(group[8 : 9 + WORDS], x, y)
+            x, y = x[ok], y[ok]
+            first = (group[9 + WORDS :, x] == group[9 + WORDS :, y]).argmax(axis=0) == pos
+            x, y = x[first], y[first]
+            if len(x):
+                one, two = (_mixed(group[4, k].view(np.uint64)) % np.uint64(cells) for k in (x, y))
+                cell = _mixed(_mixed(np.uint64(group[2, 0].view(np.uint64)) ^ np.minimum(one, two) * _MIX[0]) ^ np.maximum(one, two) * _MIX[1])
+                made = {"cell": cell.view(np.int64), "a": group[4, x], "b": group[4, y], "ra": group[5, x], "rb": group[5, y]}
+                yield pa.record_batch({k: pa.array(v) for k, v in made.items()})
+
+    # the kernel takes the columns that make a group first
+    order = ["i", "j", "band", *names[3:], *(f"f{k}" for k in range(WORDS)), *(f"b{k}" for k in range(BANDS))]
+    return dealt.select(*order).mapInArrow(paired, "cell bigint, a bigint, b bigint, ra bigint, rb bigint")
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a cell's pairs that are alike. Its texts come first, at most two blocks of CELL; pairs that are connected already are passed over."""
+    cell, sets, parent = None, {}, {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
     for batch in batches:
-        last, held = None, None
-        keep = []
-        for a, one, two in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
-            if a != last:
-                last, held = a, shingle_set(one)
-            keep.append(alike(held, shingle_set(two)))
-        kept = batch.filter(pa.array(keep, pa.bool_()))
-        yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+        a, b = [], []
+        for now, one, two, ra, rb, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if now != cell:
+                cell, sets, parent = now, {}, {}
+            if two is None:
+                sets[one] = shingle_set(text)
+                continue
+            x, y = root(ra), root(rb)
+            if x != y and alike(sets[one], sets[two]):
+                parent[x] = y
+                a.append(one)
+                b.append(two)
+        yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def near_copy_links(rows: DataFrame, prints: DataFrame) -> DataFrame:
-    """Links ``a``, ``b`` between nodes (texts with one shingle set) alike to SIMILAR, that connect what candidates connect.
+    """Links ``a``, ``b`` between nodes (texts with one shingle set) alike to SIMILAR, that connect what all pairs that share a band connect.
 
-    Each node is compared with its neighbour and the first node of its bands' groups, by id, so that large groups of copies
-    become one class at little cost. What is still apart then meets in the order of the next band's keys, NEIGHBOURS and HEADS wide.
+    Each node is first compared with its neighbour and the first node of its bands' groups, so that large groups of copies become one
+    class at little cost. What is still apart in a group is then compared pair by pair: in cells of bounded size, which get each text
+    once, not once a pair. Work grows with the square only of texts that look alike without being so.
     """
-    key = (F.col("pos") + 1) % BANDS
     distinct = prints.dropDuplicates(["node"]).select("node", "n", "bands", "fp", F.posexplode("bands").alias("pos", "band"))
-    banded = written(distinct.select("node", "n", "band", F.col("bands")[key].alias("rest"), "fp"), "near-bands")
+    banded = written(distinct.select("node", "n", "pos", "band", "bands", "fp"), "near-bands")
     holders = prints.groupBy("node").agg(F.min("who.place").alias("place"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "near-pairs")
-        named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(holders, "node")
-        named = written(named, "near-named")
+    def with_texts(wanted: DataFrame) -> DataFrame:
+        """``wanted(node, ...)`` with the nodes' texts."""
+        named = written(wanted.select("node").distinct().join(holders, "node"), "near-named")
         small = named.count() <= BROADCAST_ROWS
         texts = rows.select(F.col("who.place").alias("place"), "text").join(F.broadcast(named) if small else named, "place")
-        texts = written(texts.select("node", "text"), "near-texts")
-        both = pairs.join(texts.toDF("b", "two"), "b").join(texts.toDF("a", "one"), "a")
-        return written(both.select("a", "b", "one", "two").mapInArrow(_verified, "a bigint, b bigint"), "near-links")
-
-    links = verified(_candidates(banded, ["node"], 1, 1))
-    roots = connected_components(links)
-    wide = _candidates(banded, ["rest", "node"], NEIGHBOURS, HEADS)
-    apart = wide.join(roots.toDF("a", "root"), "a", "left").join(roots.toDF("b", "other"), "b", "left")
-    apart = apart.where(F.coalesce("root", "a") != F.coalesce("other", "b")).select("a", "b")
-    return links.union(verified(apart))
+        return wanted.join(written(texts.select("node", "text"), "near-texts"), "node")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Alike pairs of ``pairs(cell, a, b, ra, rb)``."""
+        pairs = written(pairs, "near-pairs")
+        ends = pairs.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
+        none = F.lit(None).cast("bigint")
+        held = with_texts(ends).select("cell", F.col("node").alias("a"), none.alias("b"), none.alias("ra"), none.alias("rb"), "text")
+        both = held.union(pairs.select("cell", "a", "b", "ra", "rb", F.lit(None).cast("string")))
+        dealt = both.repartition("cell").sortWithinPartitions("cell", F.col("b").isNotNull(), "a", "b")
+        return written(dealt.mapInArrow(_compared, "a bigint, b bigint"), "near-links")
+
+    near = _neighbours(banded)
+    links = compared(near.select(F.xxhash64("a", "b").alias("cell"), "a", "b", F.col("a").alias("ra"), F.col("b").alias("rb")))
+    return links.union(compared(_apart(banded, connected_components(links))))
 
 
 def without_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
