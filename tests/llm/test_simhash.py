@@ -212,7 +212,45 @@ def test_pages_of_one_template_match_brute_force(spark):
 def test_pairs_apart_are_all_pairs_of_other_roots():
     r = np.random.default_rng(2)
     for n in (0, 1, 2, 57):
-        root, side = r.integers(0, 5, n), r.integers(0, 2, n)
-        for both in (False, True):
-            got = [(int(a), int(b)) for x, y in simhash.pairs_apart(root, side, both, step=100) for a, b in zip(x, y, strict=True)]
-            assert got == [(a, b) for a in range(n) for b in range(a + 1, n) if root[a] != root[b] and (not both or side[a] != side[b])]
+        root = r.integers(0, 5, n)
+        got = [(int(a), int(b)) for x, y in simhash.pairs_apart(root, step=100) for a, b in zip(x, y, strict=True)]
+        assert got == [(a, b) for a in range(n) for b in range(a + 1, n) if root[a] != root[b]]
+
+
+def test_spanning_links_by_products_and_by_pairs():
+    r = np.random.default_rng(3)
+    sets = [np.unique(np.append(r.integers(0, 40, k), r.integers(0, 2**62, 2)).astype(np.uint64)) for k in r.integers(1, 90, 80)] + [np.zeros(0, np.uint64)]
+    x, y = np.triu_indices(len(sets), 1)
+    for some in (slice(None), slice(0, 30)):
+        held = np.arange(len(sets))
+        links = simhash.spanning(held, sets, x[some], y[some])
+        label = list(range(len(sets)))
+
+        def join(a, b):
+            old, new = label[b], label[a]
+            label[:] = [new if v == old else v for v in label]
+
+        for a, b in zip(x[some].tolist(), y[some].tolist(), strict=True):
+            if simhash.alike(sets[a], sets[b]):
+                join(a, b)
+        wanted, label = label, list(range(len(sets)))
+        for a, b in links:
+            assert simhash.alike(sets[a], sets[b])
+            join(a, b)
+        groups = lambda v: sorted(tuple(k for k, w in enumerate(v) if w == u) for u in set(v))
+        assert groups(label) == groups(wanted)
+
+
+def test_cells_bring_all_classes_of_a_group_together(spark):
+    rows = [(band, node, 1 if node < 1_300 else node) for band, nodes in ((1, range(0, 1_310)), (2, range(1_305, 1_320)), (3, range(2_000, 2_100))) for node in nodes]
+    cells: dict[int, set[int]] = {}
+    for r in simhash._cells(spark.createDataFrame(rows, "band bigint, node bigint, root bigint")).collect():
+        cells.setdefault(r["cell"], set()).add(r["node"])
+    root = {node: x for _, node, x in rows}
+    met = {(a, b) for held in cells.values() for a, b in itertools.permutations([k for k in held if k >= 1_300], 2)}
+    for band in (1, 2, 3):
+        nodes = [n for b, n, _ in rows if b == band]
+        assert all((a, b) in met for a, b in itertools.permutations([n for n in nodes if n >= 1_300], 2))
+    outsiders = set(range(1_300, 1_310))
+    assert all(any(n in held and outsiders <= held for held in cells.values()) for n in range(0, 1_300))
+    assert all(len(held) < 2 * 1_000 for held in cells.values()) and not any(len({root[n] for n in held}) == 1 for held in cells.values())

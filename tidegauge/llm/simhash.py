@@ -202,8 +202,8 @@ BANDS, ROWS = 16, 4
 #: Words of a wide fingerprint, and bits of them in which texts alike to 0.8 differ at most: they differ in 39 on average,
 #: with a deviation of 5.7.
 WORDS, WIDE_TAU = 4, 66
-#: Rows of a band's group whose pairs are looked at together, and of such a cell's texts that are held to compare them.
-GROUP, CELL = 4_096, 256
+#: Nodes of a band's group up to which its pairs are listed; those of larger groups meet in cells of two blocks of CELL nodes.
+LISTED, CELL = 64, 512
 _SALTS = _mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _MIX[0])
 
 
@@ -291,66 +291,140 @@ def may_be_alike(rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return close
 
 
-def pairs_apart(root: np.ndarray, side: np.ndarray, both: bool, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places x < y of all pairs with different roots (and, if ``both``, of different sides), about ``step`` of them looked at at a time."""
+def pairs_apart(root: np.ndarray, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places x < y of all pairs with different roots, about ``step`` of them looked at at a time."""
     n = len(root)
     rows = max(step // max(n, 1), 1)
     for at in range(0, n - 1, rows):
         x = np.arange(at, min(at + rows, n - 1))
-        ok = (root[x, None] != root[None, :]) & (x[:, None] < np.arange(n)[None, :])
-        if both:
-            ok &= side[x, None] != side[None, :]
-        one, two = np.nonzero(ok)
+        one, two = np.nonzero((root[x, None] != root[None, :]) & (x[:, None] < np.arange(n)[None, :]))
         if len(one):
             yield x[one], two
 
 
-def _apart(banded: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs ``a``, ``b`` of nodes of different classes (``ra``, ``rb``) that share a band and can be alike, each once, with the ``cell`` that
-    compares them.
+def shares_band(bands: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of the first band that columns x and y share; BANDS if there is none."""
+    equal = bands[:, x] == bands[:, y]
+    return np.where(equal.any(axis=0), equal.argmax(axis=0), BANDS)
 
-    Only groups with several classes are looked at. One of over GROUP nodes is cut into blocks, each pair of which is a group of its
-    own; so no pair is left out, whatever the size. Pairs that share several bands count in the first.
-    """
-    rooted = banded.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = written(rooted.drop("_n"), "near-rooted")
-    mixed = rooted.groupBy("band").agg(F.count("*").alias("size"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("band", "size")
-    mixed = written(mixed, "near-mixed")
-    open_ = rooted.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed, "band")
-    blocks = F.ceil(F.col("size") / GROUP).cast("int")
-    mine = open_.withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    each = mine.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    names = ["i", "j", "band", "pos", "node", "root", "mine", "size", "n"]
-    columns = [F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "band", "pos", "node", "root", "mine", "size", "n"]
-    wide = [F.col("fp")[k].alias(f"f{k}") for k in range(WORDS)] + [F.col("bands")[k].alias(f"b{k}") for k in range(BANDS)]
-    dealt = each.select(*columns, *wide).select(*[F.col(c).cast("bigint").alias(c) for c in [*names, *(f"f{k}" for k in range(WORDS)), *(f"b{k}" for k in range(BANDS))]])
-    dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "node")
+
+_WIDE = [*(f"f{k}" for k in range(WORDS)), *(f"b{k}" for k in range(BANDS))]
+
+
+def _listed(small: DataFrame) -> DataFrame:
+    """All pairs ``a``, ``b`` of different classes (``ra``, ``rb``) in groups of LISTED nodes or fewer that can be alike, each once: a pair counts
+    in the first band that it shares. ``small(band, pos, node, root, n, fp, bands)``."""
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_groups(batches, 3):
-            starts = np.flatnonzero(np.append(True, (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)))
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), rows.shape[1]], strict=True):
-                group = rows[:, a:b]
-                if group.shape[1] < 2 or group[5].min() == group[5].max():
-                    continue
-                yield from _pairs_of(group)
-
-    def _pairs_of(group: np.ndarray) -> Iterator[pa.RecordBatch]:
-        pos, cells = int(group[3, 0]), -(-int(group[7, 0]) // CELL)
-        for x, y in pairs_apart(group[5], group[6], bool(group[0, 0] != group[1, 0])):
-            ok = may_be_alike(group[8 : 9 + WORDS], x, y)
-            x, y = x[ok], y[ok]
-            first = (group[9 + WORDS :, x] == group[9 + WORDS :, y]).argmax(axis=0) == pos
-            x, y = x[first], y[first]
-            if len(x):
-                one, two = (_mixed(group[4, k].view(np.uint64)) % np.uint64(cells) for k in (x, y))
-                cell = _mixed(_mixed(np.uint64(group[2, 0].view(np.uint64)) ^ np.minimum(one, two) * _MIX[0]) ^ np.maximum(one, two) * _MIX[1])
-                made = {"cell": cell.view(np.int64), "a": group[4, x], "b": group[4, y], "ra": group[5, x], "rb": group[5, y]}
-                yield pa.record_batch({k: pa.array(v) for k, v in made.items()})
-
-    # the kernel takes the columns that make a group first
-    order = ["i", "j", "band", *names[3:], *(f"f{k}" for k in range(WORDS)), *(f"b{k}" for k in range(BANDS))]
-    return dealt.select(*order).mapInArrow(paired, "cell bigint, a bigint, b bigint, ra bigint, rb bigint")
+        for rows in _whole_groups(batches, 1):
+            starts = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))
+            for at, end in zip(starts.tolist(), [*starts[1:].tolist(), rows.shape[1]], strict=True):
+                group = rows[:, at:end]
+                for x, y in pairs_apart(group[3]):
+                    first = shares_band(group[5 + WORDS :], x, y) == group[1, 0]
+                    first[first] = may_be_alike(group[4 : 5 + WORDS], x[first], y[first])
+                    x, y = x[first], y[first]
+                    made = {"a": group[2, x], "b": group[2, y], "ra": group[3, x], "rb": group[3, y]}
+                    yield pa.record_batch({k: pa.array(v) for k, v in made.items()})
+
+    wide = [F.col("fp")[k].alias(f"f{k}") for k in range(WORDS)] + [F.col("bands")[k].alias(f"b{k}") for k in range(BANDS)]
+    rows = small.select("band", F.col("pos").cast("bigint").alias("pos"), "node", "root", "n", *wide)
+    return rows.repartition("band").sortWithinPartitions("band").mapInArrow(paired, "a bigint, b bigint, ra bigint, rb bigint")
+
+
+def _cells(large: DataFrame) -> DataFrame:
+    """``cell`` and ``node``: cells of two blocks each, in which all nodes of different classes meet that share one of the groups in
+    ``large(band, node, root)``.
+
+    Nodes that share groups, directly or by way of others, are dealt to blocks of about CELL. A class that is larger than a block has blocks of its
+    own, and these are not paired with each other. A node comes once for each block that its own is paired with, however many groups it is in.
+    """
+    stars = large.groupBy("band").agg(F.min("node").alias("first"))
+    links = large.join(stars, "band").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    together = connected_components(links.distinct()).select("node", F.col("root").alias("set"))
+    members = written(large.select("node", "root").distinct().join(together, "node"), "near-members")
+    sizes = members.groupBy("set", "root").agg(F.count("*").alias("own"))
+    rest = sizes.where(F.col("own") <= CELL).groupBy("set").agg(F.sum("own").alias("rest"))
+    placed = members.join(sizes, ["set", "root"]).join(rest, "set", "left")
+    alone = F.col("own") > CELL
+    part = F.when(alone, F.col("root"))
+    number = F.pmod(F.xxhash64("node"), F.ceil(F.when(alone, F.col("own")).otherwise(F.col("rest")) / CELL))
+    placed = placed.select("set", "node", part.alias("part"), F.xxhash64("set", part, alone, number).alias("block"))
+    blocks = placed.select("set", "part", "block").distinct()
+    other = blocks.toDF("set", "other_part", "other")
+    pairs = blocks.join(other, "set").where((F.col("block") <= F.col("other")) & ~F.coalesce(F.col("part") == F.col("other_part"), F.lit(False)))
+    named = pairs.select(F.xxhash64("block", "other").alias("cell"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
+    return placed.select("block", "node").join(named, "block").select("cell", "node")
+
+
+def spanning(held: np.ndarray, sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Of the pairs (x, y) those that are alike and connect what all alike pairs connect. ``held``: classes, connected beforehand.
+
+    With many pairs the sizes of what two sets share come from products of blocks of their incidence matrix; with few, pair by pair.
+    """
+    n, lengths = len(sets), np.array([len(s) for s in sets])
+    all_, owner = np.concatenate(sets), np.repeat(np.arange(n), lengths)
+    values, number, often = np.unique(all_, return_inverse=True, return_counts=True)
+    several = often > 1
+    column = np.cumsum(several) - 1
+    inside = several[number]
+    row, col, width = owner[inside], column[number[inside]], int(several.sum())
+    if len(x) * 2_000 > n * width:
+        shared = np.zeros((n, n), np.float32)
+        for at in range(0, width, 4_096):
+            some = (col >= at) & (col < at + 4_096)
+            block = np.zeros((n, min(4_096, width - at)), np.float32)
+            block[row[some], col[some] - at] = 1
+            shared += block @ block.T
+        both = shared[x, y]
+        ok = both >= SIMILAR * (lengths[x] + lengths[y] - both) - 1e-6
+        x, y = x[ok], y[ok]
+    parent: dict[int, int] = {}
+
+    def root(k: int) -> int:
+        while parent.setdefault(k, k) != k:
+            k = parent[k]
+        return k
+
+    out = []
+    for one, two in zip(x.tolist(), y.tolist(), strict=True):
+        a, b = root(int(held[one])), root(int(held[two]))
+        if a != b and alike(sets[one], sets[two]):
+            parent[a] = b
+            out.append((one, two))
+    return out
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within cells. Rows (cell, node, root, n, wide fingerprint, bands, text) are sorted by cell; a cell has two blocks of nodes at most."""
+    held: list[pa.RecordBatch] = []
+
+    def links(cell: pa.Table) -> pa.RecordBatch:
+        cell = cell.combine_chunks()
+        numbers = np.stack([cell.column(k).to_numpy() for k in range(1, 4 + WORDS + BANDS)])
+        sets, a, b = None, [], []
+        for x, y in pairs_apart(numbers[1]):
+            ok = shares_band(numbers[3 + WORDS :], x, y) < BANDS
+            ok[ok] = may_be_alike(numbers[2 : 3 + WORDS], x[ok], y[ok])
+            if ok.any():
+                sets = sets or [shingle_set(t) for t in cell.column(4 + WORDS + BANDS).to_pylist()]
+                for one, two in spanning(numbers[1], sets, x[ok], y[ok]):
+                    a.append(numbers[0, one])
+                    b.append(numbers[0, two])
+        return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    for batch in batches:
+        cells = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
+        for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+            part = batch.slice(at, end - at)
+            if held and part.num_rows and held[0].column(0)[0] != part.column(0)[0]:
+                yield links(pa.Table.from_batches(held))
+                held = []
+            if part.num_rows:
+                held.append(part)
+    if held:
+        yield links(pa.Table.from_batches(held))
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,8 +456,9 @@ def near_copy_links(rows: DataFrame, prints: DataFrame) -> DataFrame:
     """Links ``a``, ``b`` between nodes (texts with one shingle set) alike to SIMILAR, that connect what all pairs that share a band connect.
 
     Each node is first compared with its neighbour and the first node of its bands' groups, so that large groups of copies become one
-    class at little cost. What is still apart in a group is then compared pair by pair: in cells of bounded size, which get each text
-    once, not once a pair. Work grows with the square only of texts that look alike without being so.
+    class at little cost. What is still apart in a group is then compared pair by pair: small groups list their pairs, large ones send their texts
+    to cells of bounded size, which emit spanning links only. No pair is left out, whatever a group's size; work grows with the square
+    only of texts that look alike without being so.
     """
     distinct = prints.dropDuplicates(["node"]).select("node", "n", "bands", "fp", F.posexplode("bands").alias("pos", "band"))
     banded = written(distinct.select("node", "n", "pos", "band", "bands", "fp"), "near-bands")
@@ -397,8 +472,8 @@ def near_copy_links(rows: DataFrame, prints: DataFrame) -> DataFrame:
         return wanted.join(written(texts.select("node", "text"), "near-texts"), "node")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """Alike pairs of ``pairs(cell, a, b, ra, rb)``."""
-        pairs = written(pairs, "near-pairs")
+        """Alike pairs of ``pairs(a, b, ra, rb)``, each in a cell of its own."""
+        pairs = written(pairs.withColumn("cell", F.xxhash64("a", "b")), "near-pairs")
         ends = pairs.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct()
         none = F.lit(None).cast("bigint")
         held = with_texts(ends).select("cell", F.col("node").alias("a"), none.alias("b"), none.alias("ra"), none.alias("rb"), "text")
@@ -407,8 +482,21 @@ def near_copy_links(rows: DataFrame, prints: DataFrame) -> DataFrame:
         return written(dealt.mapInArrow(_compared, "a bigint, b bigint"), "near-links")
 
     near = _neighbours(banded)
-    links = compared(near.select(F.xxhash64("a", "b").alias("cell"), "a", "b", F.col("a").alias("ra"), F.col("b").alias("rb")))
-    return links.union(compared(_apart(banded, connected_components(links))))
+    links = compared(near.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb")))
+    roots = connected_components(links).withColumnRenamed("node", "_n")
+    rooted = banded.join(roots, F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = written(rooted.drop("_n"), "near-rooted")
+    mixed = rooted.groupBy("band").agg(F.count("*").alias("size"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("band", "size")
+    mixed = written(mixed, "near-mixed")
+    open_ = written(rooted.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_ROWS else mixed, "band"), "near-open")
+    few = compared(_listed(open_.where(F.col("size") <= LISTED)))
+    large = open_.where(F.col("size") > LISTED)
+    wide = [F.col("fp")[k].alias(f"f{k}") for k in range(WORDS)] + [F.col("bands")[k].alias(f"b{k}") for k in range(BANDS)]
+    known = large.dropDuplicates(["node"]).select("node", "root", "n", *wide)
+    meeting = with_texts(written(_cells(large.select("band", "node", "root")), "near-cells")).join(known, "node")
+    dealt = meeting.select("cell", "node", "root", "n", *_WIDE, "text").repartition("cell").sortWithinPartitions("cell", "node")
+    many = written(dealt.mapInArrow(_met, "a bigint, b bigint"), "near-links")
+    return links.union(few).union(many)
 
 
 def without_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
