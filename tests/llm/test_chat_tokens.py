@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidegauge.llm import chat_snapshots, queries, token_counts
 
@@ -93,3 +94,13 @@ def test_sections_add_up(spark, odd_docs, no_docs, stored):
     ends = spark.createDataFrame([(1, "abc def ghi", [3, None, 99, 7]), (2, "xyz", None)], "doc_id bigint, text string, ends array<bigint>")
     got = token_counts.section_tokens(ends, queries.VOCABULARY, "shared", sections="ends").collect()
     assert [(r.doc_id, r.char_end) for r in got] == [(1, 3), (1, 7), (1, 11), (2, 3)]
+
+
+def test_clashing_names(spark, odd_docs):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (3, 0, "user", "c")]
+    turns = spark.createDataFrame(rows, SCHEMA)
+    more = turns.withColumns({c: F.lit("x") for c in ("pos", "n", "part", "prefix", "chat", "n_turns", "h", "hash")})
+    assert sorted(map(repr, chat_snapshots.rendered(more).collect())) == sorted(map(repr, chat_snapshots.rendered(turns).collect()))
+    wide = odd_docs.withColumnsRenamed({"source": "section", "lang": "n_tokens"}).withColumns({c: F.lit(1) for c in ("char_start", "char_end", "n_crossing", "_text")})
+    plain = token_counts.section_tokens(odd_docs, queries.VOCABULARY)
+    assert sorted(map(repr, token_counts.section_tokens(wide, queries.VOCABULARY).collect())) == sorted(map(repr, plain.collect()))

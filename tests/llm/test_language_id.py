@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidegauge.llm import language_id, queries
 
@@ -47,3 +48,13 @@ def test_odd_and_empty(odd_docs, no_docs):
     assert language_id.prototypes(no_docs) == {}
     assert {r.lang_pred for r in language_id.identify(odd_docs, {}).collect()} == {"und"}
     assert language_id.identify(no_docs, profiles).count() == 0
+
+
+def test_clashing_names_and_ties(spark, odd_docs):
+    profiles = language_id.prototypes(odd_docs)
+    more = odd_docs.withColumnsRenamed({"source": "_text", "n_chars": "score"}).withColumns({"lang_pred": F.lit("x"), "held_out": F.lit(True)})
+    plain = sorted(map(repr, language_id.identify(odd_docs, profiles).collect()))
+    assert sorted(map(repr, language_id.identify(more, profiles).collect())) == plain
+    one = profiles["en"]
+    tied = language_id.identify(odd_docs.where("doc_id = 1"), {"zz": one, "aa": one, "mm": one}).first()
+    assert tied.lang_pred == "aa"

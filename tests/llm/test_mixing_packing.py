@@ -161,3 +161,9 @@ def test_mixed_copies_are_packed_apart_in_training_order(spark, stored):
     several = [v for v in copies.values() if len(v) > 1]
     assert several and all(len(set(v)) == min(len(v), len(batches[v[0][0]])) for v in several)
     assert sum(x.length for x in out) == sum(len((r.text or "").split()) for r in mixed.collect())
+
+
+def test_packing_with_clashing_names(spark, odd_docs):
+    names = ("piece", "start", "length", "bucket", "batch", "slot", "padding", "_n")
+    more = odd_docs.withColumns({c: F.lit("x") for c in names})
+    assert sorted(map(repr, packing.packed(more).collect())) == sorted(map(repr, packing.packed(odd_docs).collect()))

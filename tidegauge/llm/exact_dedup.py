@@ -161,8 +161,13 @@ def _decided(rows: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. The stream reads files and a locator
-    points into one, so anything but a plain read of Parquet is written first."""
+    """The rows of ``docs`` that stay, with all their columns: of rows with equal texts the one with the largest id.
+
+    A null text equals an empty one; a null id is smaller than any other, and of rows with one id and text the one at the largest
+    place in the files stays. Very long texts are read whole, when a digest is met again. An empty table gives an empty
+    result; columns of any other name are carried and not read. The stream reads files and a locator points into one, so
+    anything but a plain read of Parquet is written first.
+    """
     spark, path = docs.sparkSession, parquet_path(docs, "dedup-input")
     found = exact_duplicates(spark, path, docs.schema, text, doc_id)
     return without_places(spark, path, docs.schema, found.where("not kept").select("file", "row"))

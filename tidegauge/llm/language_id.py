@@ -190,7 +190,8 @@ def identify(
 
     A text that is null or has no letter, or an empty set of profiles, gives
     ``und`` and 0. Ties go to the name that sorts first. Whole texts are read, in
-    pieces of bounded size; repeated rows give repeated results.
+    pieces of bounded size; repeated rows give repeated results. An empty table gives an empty result. Columns of other
+    names, also ``_text`` and ``score``, are not read.
     """
     names = list(profiles)
     matrix = _unit(np.array([profiles[k] for k in names])) if names else np.zeros((0, DIM))

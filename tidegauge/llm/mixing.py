@@ -84,7 +84,8 @@ def mixed(
     repeating, and ramp down, stay level and ramp up in turn. A document has one
     more copy for every whole pass of its source, and one for the last, partial pass
     if its middle lies before that pass ends. Null texts and ids are allowed; a null
-    source is a source. Repeated rows are documents of their own. No words anywhere: no copies.
+    source is a source. Repeated rows are documents of their own. No words anywhere: no copies. An empty table gives an empty result.
+    Columns of other names, also those of the result, are only read if ``carry`` names them.
     """
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
@@ -129,7 +130,11 @@ def position(copy: Column) -> Column:
 
 
 def curriculum(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, range-sorted by training position."""
+    """The rows of ``docs``, each as often as the mix takes it, range-sorted by training position.
+
+    All columns are carried, whatever their names; those of the mix do not clash with them. Null ids, texts and sources are
+    those of ``mixed``; rows with one position stand by id. An empty table gives an empty result.
+    """
     names = docs.columns
     plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
     cols = {k: f"c{names.index(options.pop(k, k))}" for k in ("doc_id", "text", "source")}

@@ -151,7 +151,11 @@ def learn(
 def fit(
     docs: DataFrame, labels: DataFrame, most_labelled: int = 6_000, precision: float = 0.95, text: str = "text"
 ) -> list[Rule]:
-    """Rules for documents whose ``labels.quality`` is 0, from about ``most_labelled`` labelled documents."""
+    """Rules for documents whose ``labels.quality`` is 0, from about ``most_labelled`` labelled documents.
+
+    Rows with a null id or label teach nothing; a null text has no words; an id that is repeated counts once for each pair of text
+    and label. Without labelled documents there are no rules. Columns of other names are not read.
+    """
     rows = labelled_stats(docs, labels, "quality", most_labelled, TESTED, text).drop("doc_id").toPandas()
     rows = rows.sort_values(list(rows.columns), ignore_index=True).sample(frac=1, random_state=7)
     if rows.empty:
@@ -186,7 +190,11 @@ def judged(docs: DataFrame, rules: list[Rule], keep: tuple[str, ...] = ("doc_id"
 
 
 def passing(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
+    """The rows of ``docs`` that are kept, with all their columns, whatever their names.
+
+    Null, empty and short texts fail the base rules; repeated rows get one verdict; null ids are judged like others. Without rules
+    only the base rules decide. An empty table gives an empty result.
+    """
     names = docs.columns
     plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
     kept = judged(plain, rules, tuple(plain.columns), f"c{names.index(text)}").where("kept")

@@ -98,7 +98,8 @@ def section_tokens(
     column with an array of section ends in characters (nulls ignored; sorted; the
     last section always ends with the text). Token counts of a document's sections
     add up to its tokens. Null and empty texts have no sections and so no rows;
-    repeated rows are counted each; an empty table gives an empty result.
+    repeated rows are counted each; an empty table gives an empty result. A null id is kept. Columns of other names, also those of
+    the result, are not read.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
