@@ -305,3 +305,93 @@ def test_drawdown_stability_and_messages(spark):
     assert [r["message"] for r in ops.look_ahead_messages(records).orderBy("message").collect()] == [
         "event 1: entry 2020-01-02 is not after 2020-01-02", "event 1: exit 2020-01-01 is before entry 2020-01-02"
     ]
+
+
+# ---- quality, universe, reports
+
+
+def test_bad_bars_tell_sides_apart_and_indices_may_spike(spark):
+    rows = [("A", 1, 10, 12, 9, 10, 5), ("A", 2, 10, 20, 9, 16, 5), ("A", 3, 10, 12, 9, 10.5, 5), ("A", 4, 10, 12, 9, 13, 5), ("A", 5, 8, 12, 9, 10, 5), ("A", 6, 10, 8, 9, 10, 5), ("A", 7, 0, 12, 9, 10, 5), ("A", 8, 10, 12, 9, 10, -1), ("A", 9, 10, 12, 9, 8, 5), ("A", 10, 13, 12, 9, 10, 5)]
+    rows += [("I", d, *r) for d, *r in [x[1:] for x in rows[:3]]]
+    bars = spark.createDataFrame([(t, D(2020, 1, d), float(o), float(h), float(lo), float(c), v) for t, d, o, h, lo, c, v in rows], "ticker string, trade_date date, open double, high double, low double, close double, volume int")
+    from tidegauge.operators import quality
+
+    found = {(r["ticker"], r["trade_date"].day): r["reason"] for r in quality.bad_bars(bars, is_index=F.col("ticker") == "I").collect() if r["reason"]}
+    assert found == {("A", 2): "spike", ("A", 4): "close above high", ("A", 5): "open below low", ("A", 6): "high<low", ("A", 7): "open<=0", ("A", 8): "volume<0", ("A", 9): "close below low", ("A", 10): "open above high"}
+
+
+def test_universe_and_retention(spark):
+    from tidegauge.operators import quality
+
+    bars = spark.createDataFrame(
+        [("A", D(2020, 1, 10), 10.0, 100), ("A", D(2020, 1, 9), 20.0, None), ("A", D(2020, 1, 8), 6.0, 50), ("S", D(2019, 12, 1), 50.0, 1000), ("A", D(2020, 1, 11), None, 5)],
+        "ticker string, trade_date date, close double, volume int",
+    )
+    universe = spark.createDataFrame([(1, "A"), (2, "A"), (3, "S"), (4, "Z"), (5, None)], "cik int, ticker string")
+    accounts = spark.createDataFrame([(1, D(2019, 1, 1), 5), (1, D(2020, 1, 1), 0), (1, D(2019, 6, 1), 7), (3, D(2019, 1, 1), 9)], "cik int, filed_at date, shares int")
+    metrics = quality.universe_metrics(universe, bars, accounts, F.lit(D(2020, 1, 15)), least_price=5.0, least_cap=60.0, least_value=600.0)
+    assert rows_of(metrics) == sorted([
+        (1, "A", 10.0, 650.0, 7, 70.0, True), (2, "A", 10.0, 650.0, None, None, False), (3, "S", None, 50_000.0, 9, None, False), (4, "Z", None, None, None, None, False), (5, None, None, None, None, None, False)
+    ], key=repr)
+    assert tuple(quality.universe_summary(metrics, 70.0, 71.0).first()) == (5, 1, 4, 1, 0)
+    left = quality.retained_bars(bars, F.lit(D(2020, 1, 9)), spark.createDataFrame([("S",)], "ticker string"))
+    assert sorted((r["ticker"], r["trade_date"].day) for r in left.collect()) == [("A", 9), ("A", 10), ("A", 11), ("S", 1)]
+
+
+def test_adjusted_returns_over_gaps(spark):
+    from tidegauge.operators import event_study as es
+
+    bars = spark.createDataFrame([("A", D(2020, 1, 1), 10.0, 0.5), ("A", D(2020, 1, 2), 6.0, None), ("A", D(2020, 1, 3), None, 1.0), ("A", D(2020, 1, 6), 9.0, 1.0), ("A", D(2020, 1, 7), 18.0, 0.5)], "ticker string, trade_date date, close double, adj_factor double")
+    assert [(r["trade_date"].day, round(r["ret"], 9)) for r in es.simple_returns(bars, "adj_factor").collect()] == [(2, 0.2), (7, 0.0)]
+
+
+def test_alerts_ranking_history_and_recommendation(spark):
+    trades = spark.createDataFrame([("a", k, D(2020, 1, k), p) for k, p in enumerate([1.0, -1.0, -2.0, 3.0], 1)] + [("b", 9, D(2020, 1, 1), 1.0), ("b", 10, D(2020, 1, 2), -1.0)], "side string, event_id int, exit_date date, pnl_pct double")
+    predicted = spark.createDataFrame([("a", 1, 2.0, 2.25), ("a", 2, 0.5, 0.5), ("a", 3, -3.0, 3.0), ("b", 9, 1.0, None), ("b", 10, 4.0, 3.0)], "side string, event_id int, predicted double, actual double")
+    assert rows_of(ops.alerts(trades, predicted, "side")) == sorted([("a", "losses", None, 2.0), ("a", "hit", 1, 0.25)], key=repr)
+    ranks = rows_of(ops.error_ranking(predicted, "side", 2))
+    assert ranks == sorted([("a", "best", 1, 2, 0.0), ("a", "best", 2, 1, 0.25), ("a", "worst", 1, 3, 6.0), ("a", "worst", 2, 1, 0.25), ("b", "best", 1, 10, 1.0), ("b", "worst", 1, 10, 1.0)], key=repr)
+    more = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("c", 1.0)], "side string, pnl_pct double")
+    history = {r["side"]: r["matches"] for r in ops.against_history(trades, more, "side").collect()}
+    assert history == {"a": False, "b": None, "c": None}
+    reports = spark.createDataFrame([("x", 30, 2.0, 0.1, 0.9, 0), ("y", 30, 2.0, 0.3, None, 0), ("z", 5, 9.0, 0.0, 1.0, 0), ("w", 90, 9.0, 0.0, 1.0, 2)], "name string, n bigint, sharpe double, drawdown double, calibration double, peeked bigint")
+    assert rows_of(ops.recommendation(reports, "name")) == sorted([
+        ("x", "passes", True, True), ("y", "fails: drawdown 0.30, calibration unknown", False, True), ("z", "only 5 trades", False, True), ("w", "2 trades look ahead", False, True)
+    ], key=repr)
+
+
+def test_parts_of_both_legs_by_hand(spark):
+    at = lambda k: D(2020, 1, k)
+    closes = spark.createDataFrame(
+        [(1, "A", 1, 10.0, at(2), at(3), 0.5, 12.0), (1, "A", 1, 10.0, at(2), at(6), 0.5, 14.0), (2, "B", -1, 10.0, at(1), at(3), 1.0, 8.0)],
+        "event_id int, ticker string, side int, entry double, entry_date date, close_date date, fraction double, price double",
+    )
+    hedge = spark.createDataFrame([(at(2), 100.0, 101.0), (at(3), 100.0, 110.0), (at(5), 100.0, 120.0)], "trade_date date, open double, close double")
+    found = {r["event_id"]: r for r in ops.consolidated(closes, hedge, 0.3).collect()}
+    assert found[1]["exit"] == 13.0 and found[1]["hedge_exit"] == 115.0 and found[1]["exit_date"] == at(6) and found[1]["parts"] == 2
+    assert found[1]["pnl_pct"] == pytest.approx(30 - 15 - 0.6)
+    assert found[2]["hedge_exit"] is None and found[2]["pnl_pct"] == pytest.approx(20 - 0.3)  # no hedge opened on the first
+    bars = spark.createDataFrame([("A", at(4), 13.0), ("B", at(2), 9.0)], "ticker string, trade_date date, close double")
+    value = {r["event_id"]: (r["open_share"], round(r["value"], 6)) for r in ops.marked_to_market(closes, bars, hedge, F.lit(at(4)), 100.0).collect()}
+    # half closed at 12 against the hedge at 110, half at 13 against 110; the other trade is closed at 8
+    assert value == {1: (0.5, round(50 * (1 + 0.2 - 0.1) + 50 * (1 + 0.3 - 0.1), 6)), 2: (0.0, 120.0)}
+
+
+def test_impact_estimates_shrink_towards_a_given_prior(spark):
+    rows = [(k, "a", f"t{k}", D(2020, 1, 1) + dt.timedelta(days=30 * k), 20, 10.0, 1.0) for k in range(6)]
+    car = spark.createDataFrame(rows, "event_id int, event_class string, ticker string, d0 date, window_days int, car_pct double, vol_ratio double")
+    priors = spark.createDataFrame([("a", -5.0)], "event_class string, prior double")
+    found = {r["event_id"]: r["magnitude"] for r in ops.impact_estimates(car, priors=priors).collect()}
+    assert found[0] == -5.0 and found[5] == pytest.approx(5 / 20 * 10 + 15 / 20 * -5)
+    assert {r["event_id"]: r["magnitude"] for r in ops.impact_estimates(car).collect()}[5] == 10.0
+
+
+def test_conclusions_in_words(spark):
+    from tidegauge.operators import event_study as es
+
+    rows = [(2, 1.0, 2, 0.5, 1.0), (9, 0.0, 3, None, 0.0), (9, 1.0, 1, None, 1.0), (9, 1.0, 3, None, 1.0), (9, 1.0, 3, 0.01, 1.0), (9, 1.0, 3, 0.2, 0.933)]
+    df = spark.createDataFrame(rows, "n bigint, s double, k int, p double, m double")
+    assert [r[0] for r in df.select(es.conclusion(*(F.col(c) for c in "nskpm"))).collect()] == [
+        "n=2: too few events", "n=9: all returns are equal, no test", "n=9: one month only, no clustered test", "n=9: no spread between months, no clustered test",
+        "significant (p=0.0100)", "not significant (p=0.2000): an effect under 0.93 points would not show",
+    ]

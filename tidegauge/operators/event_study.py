@@ -14,9 +14,12 @@ from .quantiles import exact_quantiles, quantiles_of, value_counts
 X = ("mkt_rf", "smb", "hml")
 
 
-def simple_returns(prices: DataFrame) -> DataFrame:
-    """``ret`` against the bar before; null bars take part in the order and propagate, then go."""
+def simple_returns(prices: DataFrame, factor: str | None = None) -> DataFrame:
+    """``ret`` against the bar before, on closes times the column ``factor`` (null: 1) if one is named; null closes take
+    part in the order and propagate, then go."""
     w = Window.partitionBy("ticker").orderBy("trade_date")
+    if factor:
+        prices = prices.withColumn("close", F.col("close") * F.coalesce(factor, F.lit(1.0)))
     ret = F.try_divide(F.col("close"), F.lag("close").over(w)) - 1
     return prices.select("ticker", "trade_date", ret.alias("ret")).where("ret is not null")
 
@@ -193,3 +196,18 @@ def benjamini_hochberg(df: DataFrame, p: str, key: str, level: float = 0.05) ->
     upward = Window.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
     adjusted = F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(upward))
     return ranked.withColumn("p_adjusted", adjusted).withColumn("rejected", F.col("p_adjusted") <= level).drop("_rank", "_m")
+
+
+def conclusion(n: Column, spread: Column, clusters: Column, p: Column, mde: Column, alpha: float = 0.05) -> Column:
+    """What a class's test says, in words: first why there is none, then whether the mean differs from 0, and if it does not, from which
+    size on an effect would have shown."""
+    known = lambda c: F.coalesce(c, F.lit(False))
+    count = F.format_string("n=%d", n)
+    return (
+        F.when(n < 3, F.concat(count, F.lit(": too few events")))
+        .when(known(spread == 0), F.concat(count, F.lit(": all returns are equal, no test")))
+        .when(known(clusters < 2), F.concat(count, F.lit(": one month only, no clustered test")))
+        .when(p.isNull(), F.concat(count, F.lit(": no spread between months, no clustered test")))
+        .when(p < alpha, F.format_string("significant (p=%.4f)", p))
+        .otherwise(F.format_string("not significant (p=%.4f): an effect under %.2f points would not show", p, mde))
+    )

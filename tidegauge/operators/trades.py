@@ -61,7 +61,7 @@ def stop_or_take(
 
 
 def stop_or_tiers(
-    entered: DataFrame, bars: DataFrame, stop: float, tiers: tuple[tuple[float, float], ...], days: int
+    entered: DataFrame, bars: DataFrame, stop: float, tiers: tuple[tuple[float, float], ...], days: int, parts: bool = False
 ) -> DataFrame:
     """Each trade with its exit in parts: ``exit_date`` (of the last part), ``exit`` (mean by share), ``reason`` of the last
     part and ``tiers`` (how many were reached).
@@ -70,6 +70,8 @@ def stop_or_tiers(
     first and closes all that is left, then every tier that the bar reaches; the rest goes at the last close within
     ``days``. A higher tier is never reached before a lower one, so each tier counts if its first bar is
     before the first bar of the stop: one range join and one aggregate, no walk over bars.
+
+    With ``parts`` each closed part is a row instead: ``close_date``, ``fraction`` and ``price``.
     """
     long = F.col("side") > 0
     asked = entered.select("ticker", "entry_date", "entry", "side").distinct()
@@ -88,6 +90,8 @@ def stop_or_tiers(
     counts = [F.col(f"_t{k}.trade_date").isNotNull() & (F.col("_stop").isNull() | (F.col(f"_t{k}.trade_date") < F.col("_stop.trade_date"))) for k in range(len(tiers))]
     summed = lambda parts: reduce(add, parts, F.lit(0.0))
     n = reduce(add, [c.cast("int") for c in counts], F.lit(0))
+    if parts:
+        return _parts(entered, out, counts, tiers)
     left = summed([F.when(c, 0.0).otherwise(share) for c, (_, share) in zip(counts, tiers, strict=True)])
     closed = summed([F.when(c, share * F.col(f"_t{k}.fill")).otherwise(0.0) for k, (c, (_, share)) in enumerate(zip(counts, tiers, strict=True))])
     rest, all_closed = F.coalesce("_stop", "_last"), n == len(tiers)
@@ -101,6 +105,14 @@ def stop_or_tiers(
     return entered.join(done, ["ticker", "entry_date", "side"])
 
 
+def _parts(entered: DataFrame, out: DataFrame, reached: list[Column], tiers: tuple[tuple[float, float], ...]) -> DataFrame:
+    rest, part = F.coalesce("_stop", "_last"), lambda x, share: F.struct(x["trade_date"].alias("close_date"), share.alias("fraction"), x["fill"].alias("price"))
+    left = reduce(add, [F.when(c, 0.0).otherwise(share) for c, (_, share) in zip(reached, tiers, strict=True)], F.lit(0.0))
+    each = [F.when(c, part(F.col(f"_t{k}"), F.lit(share))) for k, (c, (_, share)) in enumerate(zip(reached, tiers, strict=True))]
+    rows = out.select("ticker", "entry_date", "side", F.explode(F.array_compact(F.array(*each, F.when(left > 1e-9, part(rest, left))))).alias("_p"))
+    return entered.join(rows.select("ticker", "entry_date", "side", "_p.*"), ["ticker", "entry_date", "side"])
+
+
 def with_result(trades: DataFrame, cost_pct: float) -> DataFrame:
     return trades.withColumn("pnl_pct", F.col("side") * (F.col("exit") / F.col("entry") - 1) * 100 - cost_pct)
 
@@ -250,13 +262,13 @@ def calibration(trades: DataFrame, edges: tuple[int, ...] = (50, 60, 70, 80, 90,
     )
 
 
-def impact_estimates(car: DataFrame, window_days: int = 20, shrink: float = 15.0) -> DataFrame:
+def impact_estimates(car: DataFrame, window_days: int = 20, shrink: float = 15.0, priors: DataFrame | None = None) -> DataFrame:
     """Per event with a window of ``window_days``, what earlier events of its class moved whose outcome was already known.
 
     A cohort is all events of the class with d0 + window before the event's d0. Its
     sums come from one window over days per class, so no pair of events is made. Events of
-    one ticker and day are one analogue. The mean of the analogues is shrunk towards the class prior, which
-    is the mean of the class's analogues known by then - their own mean where there are any, 0 where
+    one ticker and day are one analogue. The mean of the analogues is shrunk towards the class prior: that of
+    ``priors(event_class, prior)`` where it has one, else the mean of the class's analogues known by then, or 0 where
     there are none. ``volatility`` is how far their mean ratio of spreads is over 1, from 0 to 100.
     ``car(event_id, event_class, ticker, d0, window_days, car_pct, vol_ratio)``.
     """
@@ -273,7 +285,10 @@ def impact_estimates(car: DataFrame, window_days: int = 20, shrink: float = 15.0
     n = F.col("n")
     mean = F.try_divide(F.col("sx"), n)
     spread = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("sxx") - n * mean * mean, F.nullif(n - 1, F.lit(0)))))
-    prior, weight = F.coalesce(mean, F.lit(0.0)), n / (n + shrink)
+    given = F.lit(None).cast("double")
+    if priors is not None:
+        cohort, given = cohort.join(priors.select("event_class", "prior"), "event_class", "left"), F.col("prior")
+    prior, weight = F.coalesce(given, mean, F.lit(0.0)), n / (n + shrink)
     magnitude = weight * F.coalesce(mean, F.lit(0.0)) + (1 - weight) * prior
     wild = F.coalesce(F.try_divide(F.col("sv"), F.nullif(F.col("kv"), F.lit(0))), F.lit(1.0))
     steady = F.least(n / 50.0, F.lit(1.0)) * 70 + 30 - F.least(F.coalesce(spread, F.lit(0.0)) / 10, F.lit(1.0)) * 30
@@ -314,3 +329,108 @@ def look_ahead_messages(records: DataFrame) -> DataFrame:
     entered = F.when(F.col("entry_date") <= F.col("d0"), F.format_string("event %s: entry %s is not after %s", "event_id", F.col("entry_date").cast("string"), F.col("d0").cast("string")))
     left = F.when(F.col("exit_date") < F.col("entry_date"), F.format_string("event %s: exit %s is before entry %s", "event_id", F.col("exit_date").cast("string"), F.col("entry_date").cast("string")))
     return records.select("event_id", F.explode(F.array_compact(F.array(entered, left))).alias("message"))
+
+
+#: An alert on losses in a row from so many on, and on a prediction of so many percent that was right within so many.
+LOSSES_IN_A_ROW, LARGE_PREDICTION, CLOSE_CALL = 2, 1.0, 0.3
+
+
+def alerts(trades: DataFrame, predictions: DataFrame, by: str) -> DataFrame:
+    """``by``, ``kind``, ``event_id`` and ``value`` of what is worth a look.
+
+    ``losses``: a group whose longest run of losses in ``trades`` is LOSSES_IN_A_ROW or more (its length). ``hit``: a large prediction in
+    ``predictions(event_id, predicted, actual)`` that came close (its error); unknown moves give none.
+    """
+    runs = longest_streaks(trades, [by]).where(F.col("longest_losses") >= LOSSES_IN_A_ROW)
+    losses = runs.select(by, F.lit("losses").alias("kind"), F.lit(None).cast("bigint").alias("event_id"), F.col("longest_losses").cast("double").alias("value"))
+    error = F.abs(F.col("predicted") - F.col("actual"))
+    hits = predictions.where((F.abs("predicted") >= LARGE_PREDICTION) & (error <= CLOSE_CALL))
+    return losses.union(hits.select(by, F.lit("hit").alias("kind"), F.col("event_id").cast("bigint"), error.alias("value")))
+
+
+def error_ranking(predictions: DataFrame, by: str, most: int) -> DataFrame:
+    """The ``most`` best and worst predictions of each group by error: ``by, end, place, event_id, error``. Ties stand by id; unknown moves do not count.
+
+    A group's first and last ``most`` are kept by row numbers, which Spark cuts off in each task before the shuffle.
+    """
+    known = predictions.select(by, "event_id", F.abs(F.col("predicted") - F.col("actual")).alias("error")).where("error is not null")
+    ends = {"best": F.col("error").asc(), "worst": F.col("error").desc()}
+    ranked = [
+        known.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(order, "event_id"))).where(F.col("place") <= most).select(by, F.lit(end).alias("end"), "place", "event_id", "error")
+        for end, order in ends.items()
+    ]
+    return ranked[0].union(ranked[1])
+
+
+def against_history(now: DataFrame, before: DataFrame, by: str, most_pp: float = 30.0, least: int = 1) -> DataFrame:
+    """Win rates of ``now`` beside those of ``before``, their difference in points, and whether it is ``most_pp`` or less; null under ``least`` trades on a side."""
+    rate = lambda df, name: df.groupBy(by).agg(F.count("*").alias(f"n_{name}"), F.avg((F.col("pnl_pct") > 0).cast("double")).alias(f"rate_{name}"))
+    both = rate(now, "now").join(rate(before, "before"), by, "full")
+    diff = F.abs(F.col("rate_now") - F.col("rate_before")) * 100
+    enough = F.least(F.coalesce("n_now", F.lit(0)), F.coalesce("n_before", F.lit(0))) >= least
+    return both.withColumns({"diff_pp": diff, "matches": F.when(enough, diff <= most_pp)})
+
+
+#: What a group of trades has to reach before money is put on it.
+SHARPE_TARGET, DRAWDOWN_CEILING, CALIBRATION_TARGET, LEAST_TRADES = 1.0, 0.25, 0.6, 20
+
+
+def recommendation(reports: DataFrame, by: str) -> DataFrame:
+    """``by``, ``finding`` and ``passes`` for each row of ``reports(n, sharpe, drawdown, calibration, peeked)``, and ``any_passes`` over all.
+
+    A look-ahead or too few trades say so and nothing else; unknown figures do not pass.
+    """
+    marks = {"sharpe": F.col("sharpe") > SHARPE_TARGET, "drawdown": F.col("drawdown") < DRAWDOWN_CEILING, "calibration": F.col("calibration") > CALIBRATION_TARGET}
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.concat(F.lit(f"{n} "), F.coalesce(F.format_string("%.2f", n), F.lit("unknown")))) for n, ok in marks.items()]))
+    finding = (
+        F.when(F.col("peeked") > 0, F.format_string("%d trades look ahead", "peeked"))
+        .when(F.col("n") < LEAST_TRADES, F.format_string("only %d trades", "n"))
+        .when(F.size(failed) == 0, "passes")
+        .otherwise(F.concat(F.lit("fails: "), F.array_join(failed, ", ")))
+    )
+    rows = reports.select(by, finding.alias("finding")).withColumn("passes", F.col("finding") == "passes")
+    return rows.crossJoin(F.broadcast(rows.agg(F.coalesce(F.bool_or("passes"), F.lit(False)).alias("any_passes"))))  # one row
+
+
+def consolidated(closes: DataFrame, hedge: DataFrame, cost_pct: float) -> DataFrame:
+    """One record of each trade that was closed in parts, with both legs: ``event_id, exit_date, exit, hedge_exit, parts, pnl_pct``.
+
+    ``closes(event_id, side, entry, entry_date, close_date, fraction, price)`` has a row per part. Exits are means of the parts' prices
+    weighted by their fractions; the hedge's price of a part is its last close up to that day. A hedged trade (one with
+    a hedge open on its entry day) pays ``cost_pct`` twice; parts before the hedge's first bar leave it unhedged.
+    """
+    opened = hedge.select(F.col("trade_date").alias("entry_date"), F.col("open").alias("hedge_entry"))
+    series = hedge.select(F.lit(1).alias("_one"), F.col("trade_date").alias("_day"), "close")
+    rows = as_of(closes.withColumn("_one", F.lit(1)).join(opened, "entry_date", "left"), series, ["_one"], "close_date", "_day", ["close"])
+    part = F.when((F.col("match._day") >= F.col("entry_date")) & F.col("hedge_entry").isNotNull(), F.col("match.close"))
+    weight = F.sum("fraction")
+    sums = rows.withColumn("_hedge", part).groupBy("event_id").agg(
+        F.max("close_date").alias("exit_date"), (F.sum(F.col("fraction") * F.col("price")) / weight).alias("exit"),
+        F.when(F.count("_hedge") == F.count("*"), F.sum(F.col("fraction") * F.col("_hedge")) / weight).alias("hedge_exit"),
+        F.count("*").alias("parts"), F.max("side").alias("_side"), F.max("entry").alias("_entry"), F.max("hedge_entry").alias("_hedge_entry"),
+    )
+    move = lambda a, b: F.col("_side") * (F.col(b) / F.col(a) - 1) * 100
+    hedged = F.col("hedge_exit").isNotNull()
+    pnl = move("_entry", "exit") - F.when(hedged, move("_hedge_entry", "hedge_exit") + cost_pct).otherwise(0.0) - cost_pct
+    return sums.select("event_id", "exit_date", "exit", "hedge_exit", "parts", pnl.alias("pnl_pct"))
+
+
+def marked_to_market(closes: DataFrame, bars: DataFrame, hedge: DataFrame, day: Column, size: float) -> DataFrame:
+    """Value on ``day`` of ``size`` put into each trade entered by then: ``event_id``, ``open_share`` and ``value``, both legs.
+
+    Parts closed by then are worth what they were closed at; the rest is worth the last closes up to the day. Without a hedge price after the entry the
+    hedge is worth its entry. A trade without a bar is worth its entry.
+    """
+    by_day = closes.where(F.col("entry_date") <= day).withColumn("_day", day)
+    at = F.least("close_date", "_day")
+    opened = hedge.select(F.col("trade_date").alias("entry_date"), F.col("open").alias("hedge_entry"))
+    series = hedge.select(F.lit(1).alias("_one"), F.col("trade_date").alias("_h"), F.col("close").alias("_hc"))
+    rows = as_of(by_day.withColumns({"_one": F.lit(1), "_at": at}).join(opened, "entry_date", "left"), series, ["_one"], "_at", "_h", ["_hc"]).withColumnRenamed("match", "_hedge")
+    rows = as_of(rows, bars.select("ticker", F.col("trade_date").alias("_b"), F.col("close").alias("_bc")), ["ticker"], "_at", "_b", ["_bc"])
+    closed = F.col("close_date") <= F.col("_day")
+    price = F.when(closed, F.col("price")).otherwise(F.when(F.col("match._b") >= F.col("entry_date"), F.col("match._bc")).otherwise(F.col("entry")))
+    other = F.when(F.col("_hedge._h") >= F.col("entry_date"), F.col("_hedge._hc")).otherwise(F.col("hedge_entry"))
+    gain = F.col("side") * (price / F.col("entry") - 1) - F.coalesce(F.col("side") * (other / F.col("hedge_entry") - 1), F.lit(0.0))
+    return rows.groupBy("event_id").agg(
+        F.sum(F.when(closed, 0.0).otherwise(F.col("fraction"))).alias("open_share"), F.sum(F.lit(size) * F.col("fraction") * (1 + gain)).alias("value")
+    )

@@ -71,9 +71,18 @@ _BASE = "prices factors events"
 _ALL = f"WITH {_RETURNS},\n    {_MODEL},\n    {_CAR}"
 
 
-@query("WIN-04", market.oracle("prices", "SELECT ticker, trade_date, round(ret, 6) AS ret FROM (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY trade_date) - 1 AS ret FROM prices) WHERE ret IS NOT NULL"))
+_FACTOR = "CASE WHEN trade_date < DATE '1998-01-01' AND length(ticker) % 2 = 0 THEN 0.5::DOUBLE WHEN day(trade_date) % 10 > 0 THEN 1.01::DOUBLE END"
+
+
+@query("WIN-04", market.oracle("prices", f"""
+    WITH a AS (SELECT ticker, trade_date, CASE WHEN volume % 50 > 0 THEN close END * coalesce({_FACTOR}, 1) AS c FROM prices)
+    SELECT ticker, trade_date, round(ret, 6) AS ret FROM (SELECT ticker, trade_date, c / lag(c) OVER (PARTITION BY ticker ORDER BY trade_date) - 1 AS ret FROM a) WHERE ret IS NOT NULL"""))
 def win_04(spark, sf_dir):
-    return es.simple_returns(market.prices(spark, sf_dir)).withColumn("ret", F.round("ret", 6))
+    """Returns on closes adjusted by a factor that can be unknown, over bars without a close."""
+    day = F.col("trade_date")
+    factor = F.when((day < "1998-01-01") & (F.length("ticker") % 2 == 0), 0.5).when(F.dayofmonth(day) % 10 > 0, 1.01)
+    bars = market.prices(spark, sf_dir).withColumns({"adj_factor": factor, "close": F.when(F.col("volume") % 50 > 0, F.col("close"))})
+    return es.simple_returns(bars, "adj_factor").withColumn("ret", F.round("ret", 6))
 
 
 @query("JON-09", market.oracle("prices factors", f"WITH {_RETURNS} SELECT ticker, trade_date, round(y, 6) AS excess, x0 AS mkt_rf FROM j"))
@@ -183,3 +192,14 @@ def sta_10(spark, sf_dir):
     c = one.groupBy("event_class").agg(F.count("*").alias("n"), F.count_if(F.col("car") > 0).alias("k"))
     low, high = wilson(F.col("k"), F.col("n"))
     return c.select("event_class", "n", "k", F.round(low, 8).alias("low"), F.round(high, 8).alias("high"))
+
+
+@query("STA-04b")
+def sta_04b(spark, sf_dir):
+    """Each class's statistics with the clustered test and what follows from it; Student's t has no SQL, tests hold the words against cases."""
+    cars = first_cars(spark, sf_dir)
+    tested = es.clustered_t(es.winsorised(cars, "car_pct", ["event_class"]).withColumn("month", F.trunc("d0", "month")), "car_pct", ["event_class"], "month")
+    tested = tested.select("event_class", "n_clusters", t_p_value("t_cluster", F.col("df").cast("double")).alias("p_value"))
+    rows = es.class_statistics(cars).join(tested, "event_class", "left")
+    said = es.conclusion(F.col("n"), F.col("std"), F.col("n_clusters"), F.col("p_value"), F.col("mde"))
+    return rows.select("event_class", "n", "n_clusters", F.round("mean", 5).alias("mean"), F.round("mde", 5).alias("mde"), F.round("p_value", 6).alias("p_value"), said.alias("conclusion"))

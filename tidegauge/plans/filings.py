@@ -115,15 +115,15 @@ def src_07(spark, sf_dir):
     return best.select("doc_id", "b.includes_exhibit", F.sha2("b.text", 256).alias("digest"), F.length("b.text").cast("bigint").alias("length_chars"))
 
 
-@query("SRC-08", market.oracle("prices factors", "SELECT trade_date, round(round(mkt_rf * 100, 4) / 100, 6) AS mkt_rf, round(round(smb * 100, 4) / 100, 6) AS smb, round(round(hml * 100, 4) / 100, 6) AS hml, round(round(rf * 100, 4) / 100, 6) AS rf FROM factors"))
+@query("SRC-08", market.oracle("prices factors", "SELECT trade_date, round(round(mkt_rf * 100, 4) / 100, 6) AS mkt_rf, round(round(smb * 100, 4) / 100, 6) AS smb, round(round(hml * 100, 4) / 100, 6) AS hml, round(round(rf * 100, 4) / 100, 6) AS rf FROM factors WHERE trade_date >= DATE '1995-07-01'"))
 def src_08(spark, sf_dir):
-    """Factors written as text with a preamble and a footer that looks like more rows, and read again."""
+    """Factors written as text with a preamble and a footer that looks like more rows, and read again from a day on."""
     f = market.factors(spark, sf_dir)
     percent = [F.format_string("%.4f", F.round(F.col(c) * 100, 4)) for c in ("mkt_rf", "smb", "hml", "rf")]
     rows = f.select(F.unix_date("trade_date").alias("line_no"), F.concat_ws(",", F.date_format("trade_date", "yyyyMMdd"), *percent).alias("value"))
     frame = [(-3, "Daily factors, in percent"), (-2, ""), (-1, ",Mkt-RF,SMB,HML,RF"), (10**6, "Copyright"), (10**6 + 1, "20300101,1,1,1,1")]
     lines = rows.unionByName(spark.createDataFrame(frame, "line_no int, value string"))
-    found = filings.factor_table(lines)
+    found = filings.factor_table(lines, min_date="1995-07-01")
     return found.select("trade_date", *[F.round(c, 6).alias(c) for c in ("mkt_rf", "smb", "hml", "rf")])
 
 

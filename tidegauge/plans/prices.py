@@ -182,15 +182,20 @@ def tsq_01(spark, sf_dir):
 _FLAG = f"""
     SELECT ticker, trade_date, CASE
         WHEN close <= 0 THEN 'close<=0' WHEN open <= 0 THEN 'open<=0' WHEN high < low THEN 'high<low'
-        WHEN close > high * 1.001 OR close < low * 0.999 THEN 'close outside' WHEN open > high * 1.001 OR open < low * 0.999 THEN 'open outside'
+        WHEN close > high * 1.001 THEN 'close above high' WHEN close < low * 0.999 THEN 'close below low' WHEN open > high * 1.001 THEN 'open above high' WHEN open < low * 0.999 THEN 'open below low'
         WHEN volume < 0 THEN 'volume<0'
-        WHEN abs(close / nullif(pc, 0) - 1) >= 0.5 AND abs(nc / nullif(pc, 0) - 1) <= 0.2 THEN 'spike' END AS reason
+        WHEN ticker <> 'ECONOMY' AND pc > 0 AND abs(close / pc - 1) > 0.5 AND abs(nc / pc - 1) < 0.2 THEN 'spike' END AS reason
     FROM (SELECT *, lag(close) {_W} AS pc, lead(close) {_W} AS nc FROM prices)"""
 
 
+def _judged(spark, sf_dir):
+    """Bars with what is wrong with them; one ticker stands for an index, whose spikes are real."""
+    return quality.bad_bars(_bars(spark, sf_dir), is_index=F.col("ticker") == "ECONOMY")
+
+
 @query("TSQ-02", market.oracle("prices", f"SELECT * FROM ({_FLAG}) WHERE reason IS NOT NULL"))
 def tsq_02(spark, sf_dir):
-    return quality.bad_bars(_bars(spark, sf_dir)).where("reason is not null").select("ticker", "trade_date", "reason")
+    return _judged(spark, sf_dir).where("reason is not null").select("ticker", "trade_date", "reason")
 
 
 @query("TSQ-03", market.oracle("prices events", f"""
@@ -199,7 +204,7 @@ def tsq_02(spark, sf_dir):
     GROUP BY event_id"""))
 def tsq_03(spark, sf_dir):
     """The first flagged bar in the range is the first one at or after its start: an as-of join, no pairs."""
-    bad = quality.bad_bars(_bars(spark, sf_dir)).where("reason is not null").select("ticker", "trade_date", "reason")
+    bad = _judged(spark, sf_dir).where("reason is not null").select("ticker", "trade_date", "reason")
     events = _events(spark, sf_dir).select("event_id", "ticker", "d0", F.date_sub("d0", 250).alias("start"))
     found = joins.as_of(events, bad, ["ticker"], "start", "trade_date", ["reason"], forward=True)
     return found.where(F.col("match.trade_date") <= F.date_add("d0", 20)).select("event_id", "match.reason")
@@ -211,3 +216,53 @@ def tsq_03(spark, sf_dir):
     FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY trade_date DESC) AS k FROM prices) GROUP BY ticker"""))
 def agg_07(spark, sf_dir):
     return quality.liquidity(_bars(spark, sf_dir)).select("ticker", "last_close", "last_date", F.round("adv_60", 2).alias("adv_60"), "investable")
+
+
+_AS_OF = "2001-11-05"
+_UNIVERSE = f"""u AS (SELECT c_custkey AS cik, (['ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD', 'NONE'])[c_custkey % 7 + 1] AS ticker FROM customer),
+    lp AS (SELECT ticker, arg_max(close, trade_date) AS close, max(trade_date) AS day FROM prices WHERE volume % 9 > 0 AND NOT (ticker = 'SMALL' AND trade_date > DATE '2001-10-20') GROUP BY 1),
+    av AS (SELECT ticker, avg(close * volume) AS adv FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY trade_date DESC) AS k FROM prices WHERE volume % 9 > 0 AND NOT (ticker = 'SMALL' AND trade_date > DATE '2001-10-20')) WHERE k <= 60 GROUP BY 1),
+    sh AS (SELECT cik, arg_max(shares, filed_at) AS shares FROM fundamentals WHERE shares > 1 GROUP BY 1),
+    um AS (SELECT u.cik, u.ticker, CASE WHEN lp.day >= DATE '{_AS_OF}' - 10 THEN lp.close END AS price, adv, shares FROM u LEFT JOIN lp USING (ticker) LEFT JOIN av USING (ticker) LEFT JOIN sh USING (cik)),
+    uc AS (SELECT *, price * shares AS cap, coalesce(price >= 5 AND price * shares >= 10000 AND adv >= 100000, FALSE) AS investable FROM um)"""
+
+
+def _universe(spark, sf_dir):
+    names = F.array(*map(F.lit, ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD", "NONE")))
+    universe = market.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cik"), F.get(names, (F.col("c_custkey") % 7).cast("int")).alias("ticker"))
+    bars = _bars(spark, sf_dir).where(~((F.col("ticker") == "SMALL") & (F.col("trade_date") > "2001-10-20"))).withColumn("close", F.when(F.col("volume") % 9 > 0, F.col("close")))
+    accounts = market.fundamentals(spark, sf_dir).withColumn("shares", F.when(F.col("shares") > 1, F.col("shares")))
+    return quality.universe_metrics(universe, bars, accounts, F.lit(_AS_OF).cast("date"), least_cap=10_000.0)
+
+
+@query("AGG-07b", market.oracle("prices fundamentals", f"WITH {_UNIVERSE} SELECT cik, ticker, price, round(adv, 2) AS adv, shares, round(cap, 2) AS cap, investable FROM uc"))
+def agg_07b(spark, sf_dir):
+    """Price, traded value, shares and capitalisation of each company; one series has gone stale, and one ticker has no bars."""
+    return _universe(spark, sf_dir).select("cik", "ticker", "price", F.round("adv", 2).alias("adv"), "shares", F.round("cap", 2).alias("cap"), "investable")
+
+
+@query("AGG-07c", market.oracle("prices fundamentals", f"WITH {_UNIVERSE} SELECT count(*) AS total, count(*) FILTER (investable) AS investable, count(*) FILTER (cap IS NULL) AS without_cap, count(*) FILTER (cap >= 20000) AS large, count(*) FILTER (cap >= 40000) AS mega FROM uc"))
+def agg_07c(spark, sf_dir):
+    return quality.universe_summary(_universe(spark, sf_dir), 20_000.0, 40_000.0)
+
+
+@query("TSQ-09b", market.oracle("prices events fundamentals", f"""
+    WITH {_UNIVERSE}, b AS (SELECT lp.*, p.trade_date FROM (SELECT DISTINCT ticker FROM prices) lp JOIN prices p USING (ticker))
+    SELECT ticker, count(*) AS bars, min(trade_date) AS first FROM b
+    WHERE trade_date >= DATE '2000-06-01' OR ticker = 'ECONOMY' OR ticker IN (SELECT ticker FROM uc WHERE investable) OR ticker IN (SELECT ticker FROM ev WHERE event_id % 499 = 0) GROUP BY 1"""))
+def tsq_09b(spark, sf_dir):
+    """Bars that retention leaves: old ones go unless the ticker is a benchmark, can be invested in, or has an event that others refer to."""
+    used = [
+        spark.createDataFrame([("ECONOMY",)], "ticker string"),
+        _universe(spark, sf_dir).where("investable").select("ticker"),
+        _events(spark, sf_dir).where(F.col("event_id") % 499 == 0).select("ticker"),
+    ]
+    left = quality.retained_bars(_bars(spark, sf_dir), F.lit("2000-06-01").cast("date"), used[0].union(used[1]).union(used[2]))
+    return left.groupBy("ticker").agg(F.count("*").alias("bars"), F.min("trade_date").alias("first"))
+
+
+@query("TSQ-09c", "SELECT o_orderkey AS event_id, CASE WHEN o_orderdate::DATE >= DATE '2001-08-01' - 400 THEN o_orderpriority || ' ' || o_orderkey END AS filing_text FROM orders")
+def tsq_09c(spark, sf_dir):
+    """Events after the texts of old ones were cleared."""
+    kept = F.when(F.col("o_orderdate").cast("date") >= F.date_sub(F.lit("2001-08-01").cast("date"), 400), F.concat_ws(" ", "o_orderpriority", "o_orderkey"))
+    return market.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), kept.alias("filing_text"))

@@ -127,6 +127,36 @@ def sta_21(spark, sf_dir):
     return moved.select("event_id", F.round("actual", 5).alias("actual"), F.round(F.abs(F.col("confidence") / 10 - F.col("actual")), 5).alias("error"), (F.col("actual") > 0).alias("correct"))
 
 
+_PREDICTED = f"""pr AS (
+        SELECT t.event_id, t.side, t.pnl_pct, t.exit_date, (t.confidence / 10)::DOUBLE AS predicted, t.side * (b.c5 / t.entry - 1) * 100 - t.side * (h2.close / h1.open - 1) * 100 AS actual FROM trades t
+        LEFT JOIN (SELECT ticker, trade_date, lead(trade_date, 5) OVER w AS d5, lead(close, 5) OVER w AS c5 FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY trade_date)) b ON b.ticker = t.ticker AND b.trade_date = t.entry_date
+        LEFT JOIN prices h1 ON h1.ticker = '{HEDGE}' AND h1.trade_date = t.entry_date LEFT JOIN prices h2 ON h2.ticker = '{HEDGE}' AND h2.trade_date = b.d5)"""
+
+
+def _predictions(spark, sf_dir) -> DataFrame:
+    bars = market.prices(spark, sf_dir)
+    moved = decisions.later_moves(trade_table(spark, sf_dir), bars, _hedge(bars))
+    return written(moved.select("event_id", "side", "exit_date", "pnl_pct", (F.col("confidence") / 10).alias("predicted"), "actual"), "predictions")
+
+
+@query("STA-21b", _sql(f"""SELECT side, kind, event_id, value FROM (WITH {_PREDICTED},
+    st AS (SELECT side, won, count(*) AS k FROM (SELECT side, pnl_pct > 0 AS won, row_number() OVER (PARTITION BY side ORDER BY exit_date, event_id) - row_number() OVER (PARTITION BY side, pnl_pct > 0 ORDER BY exit_date, event_id) AS island FROM trades) GROUP BY side, won, island)
+    SELECT side, 'losses' AS kind, NULL::BIGINT AS event_id, max(k)::DOUBLE AS value FROM st WHERE NOT won GROUP BY 1 HAVING max(k) >= 2
+    UNION ALL SELECT side, 'hit', event_id, round(abs(predicted - actual), 6) FROM pr WHERE abs(predicted) >= 1 AND abs(predicted - actual) <= 0.3)"""))
+def sta_21b(spark, sf_dir):
+    """Alerts: runs of losses, and large predictions that came close."""
+    predictions = _predictions(spark, sf_dir)
+    return ops.alerts(predictions, predictions, "side").withColumn("value", F.round("value", 6))
+
+
+@query("STA-21d", _sql(f"""SELECT side, "end", place, event_id, error FROM (WITH {_PREDICTED}, e AS (SELECT side, event_id, abs(predicted - actual) AS error FROM pr WHERE actual IS NOT NULL)
+    SELECT side, 'best' AS "end", row_number() OVER (PARTITION BY side ORDER BY error, event_id)::INT AS place, event_id, round(error, 6) AS error FROM e QUALIFY place <= 20
+    UNION ALL SELECT side, 'worst', row_number() OVER (PARTITION BY side ORDER BY error DESC, event_id)::INT AS place, event_id, round(error, 6) FROM e QUALIFY place <= 20)"""))
+def sta_21d(spark, sf_dir):
+    """The best and the worst twenty predictions of each side."""
+    return ops.error_ranking(_predictions(spark, sf_dir), "side", 20).withColumn("error", F.round("error", 6))
+
+
 # ---- decisions
 
 _INPUT = """i AS (SELECT o_orderkey AS k, (o_orderkey % 21 - 10) / 10 AS conviction, (o_orderkey % 101)::DOUBLE AS confidence, (o_orderkey % 100)::DOUBLE AS novelty,
@@ -224,7 +254,7 @@ def dec_08(spark, sf_dir):
         F.col("side"), F.col("move"), (k % 300).cast("double"), F.col("saturation"), (k % 40) / 10, (F.col("event_class") == "2-HIGH") & (F.col("side") == 1),
         F.col("exit"), F.col("entry") * 0.6, F.lit(None).cast("double"), (k % 21 - 10) / 10, F.col("confidence").cast("double"),
     )
-    return moved.join(F.broadcast(levels), "event_class").select("event_id", action.alias("action"))
+    return moved.join(levels, "event_class").select("event_id", action.alias("action"))
 
 
 # ---- portfolios
@@ -264,7 +294,7 @@ def sim_04(spark, sf_dir):
     week_end = F.date_add("entry_date", (F.lit(10) - F.weekday("entry_date")) % 7 + 1)
     done = ops.stop_or_take(entered, bars, STOP, TAKE, 8, until=week_end).withColumn("week_end", week_end)
     last = bars.groupBy("ticker").agg(F.max("trade_date").alias("last_bar"))
-    rows = done.join(F.broadcast(last), "ticker")
+    rows = done.join(last, "ticker")
     over = (F.col("reason") != "TIME") | (F.col("last_bar") >= F.col("week_end"))
     status = F.when(F.col("reason") != "TIME", F.col("reason")).when(over, "TIMEOUT").otherwise("OPEN")
     return rows.select("event_id", status.alias("status"), F.when(over, F.col("exit_date")).alias("exit_date"), F.round(F.when(over, F.col("exit")) + 2e-8, 6).alias("exit"))

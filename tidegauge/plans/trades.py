@@ -271,7 +271,7 @@ def sta_20(spark, sf_dir):
     daily AS (SELECT event_class, d0, count(*) AS k, sum(v) AS sv, count(v) AS kv, sum(x) AS sx, sum(x * x) AS sxx, count(*) FILTER (abs(x) >= 5) AS o5, count(*) FILTER (abs(x) >= 10) AS o10, count(*) FILTER (abs(x) >= 20) AS o20 FROM one GROUP BY ALL),
     s AS (SELECT a.event_class, a.d0, coalesce(sum(b.k), 0) AS n, sum(b.sv) / nullif(sum(b.kv), 0) AS vr, sum(b.sx) AS sx, sum(b.sxx) AS sxx, sum(b.o5) AS o5, sum(b.o10) AS o10, sum(b.o20) AS o20
           FROM (SELECT DISTINCT event_class, d0 FROM c) a LEFT JOIN daily b ON a.event_class = b.event_class AND b.d0 < a.d0 - 20 GROUP BY ALL),
-    m AS (SELECT *, sx / n AS mean, sqrt(greatest(0, (sxx - sx * sx / n) / nullif(n - 1, 0))) AS sd, coalesce(n / (n + 15) * (sx / n) + (1 - n / (n + 15)) * (sx / n), 0) AS mag FROM s)
+    m AS (SELECT *, sx / n AS mean, sqrt(greatest(0, (sxx - sx * sx / n) / nullif(n - 1, 0))) AS sd, n / (n + 15) * coalesce(sx / n, 0) + (1 - n / (n + 15)) * coalesce(CASE event_class WHEN '1-URGENT' THEN 2.0::DOUBLE WHEN '5-LOW' THEN -1.0::DOUBLE END, sx / n, 0) AS mag FROM s)
     SELECT event_id, n::BIGINT AS n_analogues, round(mag, 4) AS magnitude, CASE WHEN abs(mag) < 0.1 THEN 0.0 ELSE sign(mag) END::DOUBLE AS direction,
            round(coalesce(o5 * 100 / n, 0), 4) AS p_5, round(coalesce(o10 * 100 / n, 0), 4) AS p_10, round(coalesce(o20 * 100 / n, 0), 4) AS p_20,
            round(greatest(0, least(100, (coalesce(vr, 1) - 1) * 50)), 3)::DOUBLE AS volatility,
@@ -279,7 +279,8 @@ def sta_20(spark, sf_dir):
     FROM c JOIN m USING (event_class, d0)"""))
 def agg_09(spark, sf_dir):
     car = car_table(spark, sf_dir, windows=(20,)).withColumn("car_pct", F.col("car") * 100)
-    found = ops.impact_estimates(written(car.select("event_id", "event_class", "ticker", "d0", "window_days", "car_pct", "vol_ratio"), "car"))
+    priors = spark.createDataFrame([("1-URGENT", 2.0), ("5-LOW", -1.0)], "event_class string, prior double")
+    found = ops.impact_estimates(written(car.select("event_id", "event_class", "ticker", "d0", "window_days", "car_pct", "vol_ratio"), "car"), priors=priors)
     return found.select("event_id", "n_analogues", F.round("magnitude", 4).alias("magnitude"), "direction", *[F.round(f"p_{k}", 4).alias(f"p_{k}") for k in (5, 10, 20)], F.round("volatility", 3).alias("volatility"), F.round("confidence", 3).alias("confidence"))
 
 
@@ -381,3 +382,79 @@ def sta_13(spark, sf_dir):
     sums = cells.groupBy("event_class").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("sq"))
     effective = F.col("n") * F.col("n") / F.col("sq")
     return sums.select("event_class", F.round(effective, 6).alias("effective_quarters"), F.when(effective >= 8, "quarter").otherwise("month").alias("unit"))
+
+
+# ---- reports on trades
+
+_SPLIT = "1999-06-01"
+
+
+@query("AGG-20b", _sql("""SELECT event_class, finding, finding = 'passes' AS passes, bool_or(finding = 'passes') OVER () AS any_passes FROM (
+    SELECT event_class, CASE WHEN peeked > 0 THEN peeked || ' trades look ahead' WHEN n < 20 THEN 'only ' || n || ' trades' WHEN sharpe > 1 AND drawdown < 0.25 AND calibration > 0.6 THEN 'passes'
+        ELSE 'fails: ' || concat_ws(', ', CASE WHEN sharpe > 1 THEN NULL ELSE 'sharpe ' || coalesce(printf('%.2f', sharpe), 'unknown') END, CASE WHEN drawdown < 0.25 THEN NULL ELSE 'drawdown ' || coalesce(printf('%.2f', drawdown), 'unknown') END,
+             CASE WHEN calibration > 0.6 THEN NULL ELSE 'calibration ' || coalesce(printf('%.2f', calibration), 'unknown') END) END AS finding
+    FROM (SELECT event_class, count(*) AS n, avg(pnl_pct) / stddev_samp(pnl_pct) AS sharpe, count(*) FILTER (event_class = '5-LOW' AND event_id % 997 = 1) AS peeked, 1 - abs(avg(confidence / 10) - avg(pnl_pct)) / abs(avg(confidence / 10)) AS calibration FROM trades GROUP BY 1)
+    JOIN (SELECT event_class, max(1 - bal / greatest(100000, peak)) AS drawdown FROM (SELECT *, max(bal) OVER (PARTITION BY event_class ORDER BY exit_date) AS peak FROM (
+            SELECT event_class, exit_date, 100000 + sum(won) OVER (PARTITION BY event_class ORDER BY exit_date) AS bal FROM (SELECT event_class, exit_date, sum(pnl_pct) * 1000 / 100 AS won FROM trades GROUP BY ALL))) GROUP BY 1) USING (event_class))"""))
+def agg_20b(spark, sf_dir):
+    """What to make of each class: look-ahead, too few trades, or the figures that it misses; and whether any passes."""
+    trades = written(trade_table(spark, sf_dir).select("event_id", "event_class", "exit_date", "pnl_pct", "confidence"), "trades")
+    predicted, actual = F.avg(F.col("confidence") / 10), F.avg("pnl_pct")
+    sums = trades.groupBy("event_class").agg(
+        F.count("*").alias("n"), F.try_divide(actual, F.nullif(F.stddev_samp("pnl_pct"), F.lit(0.0))).alias("sharpe"),
+        F.count_if((F.col("event_class") == "5-LOW") & (F.col("event_id") % 997 == 1)).alias("peeked"), (1 - F.abs(predicted - actual) / F.abs(predicted)).alias("calibration"),
+    )
+    return ops.recommendation(sums.join(ops.rebuilt_drawdown(trades, ["event_class"], 1_000.0, 100_000.0), "event_class"), "event_class")
+
+
+@query("STA-21c", _sql(f"""SELECT side, n_now, n_before, round(rate_now, 6) AS rate_now, round(rate_before, 6) AS rate_before, round(abs(rate_now - rate_before) * 100, 4) AS diff_pp, abs(rate_now - rate_before) * 100 <= 30 AS matches
+    FROM (SELECT side, count(*) AS n_now, avg((pnl_pct > 0)::INT) AS rate_now FROM trades WHERE entry_date >= DATE '{_SPLIT}' GROUP BY 1) FULL JOIN (SELECT side, count(*) AS n_before, avg((pnl_pct > 0)::INT) AS rate_before FROM trades WHERE entry_date < DATE '{_SPLIT}' GROUP BY 1) USING (side)"""))
+def sta_21c(spark, sf_dir):
+    """Whether recent trades win about as often as earlier ones."""
+    trades = trade_table(spark, sf_dir).select("side", "entry_date", "pnl_pct")
+    found = ops.against_history(trades.where(F.col("entry_date") >= _SPLIT), trades.where(F.col("entry_date") < _SPLIT), "side")
+    return _rounded(found).withColumn("diff_pp", F.round("diff_pp", 4))
+
+
+_PARTS = f"""pt AS (
+        SELECT event_id, ticker, side, entry, entry_date, unnest(list_filter([{", ".join(f"CASE WHEN f{k} IS NOT NULL THEN {{'d': d{k}, 'w': {share}::DOUBLE, 'p': f{k}}} END" for k, (_, share) in enumerate(_TIERS))},
+               CASE WHEN left_over > 1e-9 THEN {{'d': coalesce(sd, ld), 'w': left_over, 'p': coalesce(sf, lc)}} END], lambda x: x IS NOT NULL)) AS x
+        FROM (SELECT t.*, e.ticker, e.side, e.entry, e.entry_date, {_TIER_LEFT} AS left_over FROM (
+            SELECT event_id, any_value(sd) AS sd, any_value(sf) AS sf, max(trade_date) AS ld, arg_max(close, trade_date) AS lc, {_TIER_LIST} FROM (
+                SELECT *, min(CASE WHEN stop_fill IS NOT NULL THEN trade_date END) OVER v AS sd, arg_min(stop_fill, trade_date) FILTER (stop_fill IS NOT NULL) OVER v AS sf FROM (
+                    SELECT e.event_id, p.trade_date, p.close, {_tier_columns()},
+                           CASE WHEN side = 1 AND low <= entry * {1 - STOP} THEN least(open, entry * {1 - STOP}) WHEN side = -1 AND high >= entry * {1 + STOP} THEN greatest(open, entry * {1 + STOP}) END AS stop_fill
+                    FROM entered e JOIN prices p ON p.ticker = e.ticker AND p.trade_date BETWEEN entry_date AND entry_date + {DAYS})
+                WINDOW v AS (PARTITION BY event_id)) GROUP BY event_id) t JOIN entered e USING (event_id))),
+    hg AS (SELECT trade_date, open, close FROM prices WHERE ticker = '{_HEDGE}')"""
+
+
+def _closes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    bars = written(market.prices(spark, sf_dir), "bars")
+    side = F.when(F.col("event_class").isin("1-URGENT", "2-HIGH"), 1).otherwise(-1)
+    entered = ops.entries(market.events(spark, sf_dir), bars, side).select("event_id", "ticker", "entry_date", "entry", "side")
+    return ops.stop_or_tiers(entered, bars, STOP, _TIERS, DAYS, parts=True), bars
+
+
+@query("SIM-03b", _sql(f"""SELECT event_id, exit_date, round(exit + 0.00000002::DOUBLE, 5) AS exit, round(hx + 0.0000002::DOUBLE, 5) AS hedge_exit, parts, round(side * (exit / entry - 1) * 100 - CASE WHEN hx IS NULL THEN 0 ELSE side * (hx / h_in - 1) * 100 + {COST}::DOUBLE END - {COST}::DOUBLE, 5) AS pnl_pct FROM (
+    WITH {_PARTS} SELECT event_id, max(x.d) AS exit_date, sum(x.w * x.p) / sum(x.w) AS exit, CASE WHEN count(hc) = count(*) THEN sum(x.w * hc) / sum(x.w) END AS hx, count(*) AS parts, any_value(side) AS side, any_value(entry) AS entry, any_value(h_in) AS h_in
+    FROM (SELECT pt.*, h.open AS h_in, CASE WHEN c.trade_date >= pt.entry_date AND h.open IS NOT NULL THEN c.close END AS hc FROM (SELECT *, x.d AS xd FROM pt) pt LEFT JOIN hg h ON h.trade_date = pt.entry_date ASOF LEFT JOIN hg c ON pt.xd >= c.trade_date) GROUP BY event_id)"""))
+def sim_03b(spark, sf_dir):
+    """Trades closed in parts as one record each, with the hedge's weighted exit and the costs of both legs."""
+    closes, bars = _closes(spark, sf_dir)
+    done = ops.consolidated(closes, bars.where(F.col("ticker") == _HEDGE).select("trade_date", "open", "close"), COST)
+    return done.select("event_id", "exit_date", F.round(F.col("exit") + 2e-8, 5).alias("exit"), F.round(F.col("hedge_exit") + 2e-7, 5).alias("hedge_exit"), "parts", F.round("pnl_pct", 5).alias("pnl_pct"))
+
+
+@query("SIM-03c", _sql(f"""SELECT event_id, round(open_share, 6) AS open_share, round(value, 4) AS value FROM (
+    WITH {_PARTS}, q AS (SELECT pt.*, x.d AS xd, least(x.d, DATE '1999-06-30') AS at FROM pt WHERE entry_date <= DATE '1999-06-30')
+    SELECT event_id, sum(CASE WHEN xd <= DATE '1999-06-30' THEN 0 ELSE w END) AS open_share,
+           sum(1000 * w * (1 + side * (CASE WHEN xd <= DATE '1999-06-30' THEN p WHEN bd >= entry_date THEN bc ELSE entry END / entry - 1) - coalesce(side * (CASE WHEN hd >= entry_date THEN hc ELSE h_in END / h_in - 1), 0))) AS value
+    FROM (SELECT q.event_id, q.entry_date, q.entry, q.side, q.xd, q.x.w AS w, q.x.p AS p, b.trade_date AS bd, b.close AS bc, c.trade_date AS hd, c.close AS hc, h.open AS h_in
+          FROM q LEFT JOIN hg h ON h.trade_date = q.entry_date ASOF LEFT JOIN hg c ON q.at >= c.trade_date ASOF LEFT JOIN prices b ON b.ticker = q.ticker AND q.at >= b.trade_date) GROUP BY event_id)"""))
+def sim_03c(spark, sf_dir):
+    """What the trades of SIM-03b are worth at the end of a half-year: closed parts at their exits, the rest at the last closes of both legs."""
+    closes, bars = _closes(spark, sf_dir)
+    hedge = bars.where(F.col("ticker") == _HEDGE).select("trade_date", "open", "close")
+    found = ops.marked_to_market(closes, bars, hedge, F.lit("1999-06-30").cast("date"), 1_000.0)
+    return found.select("event_id", F.round("open_share", 6).alias("open_share"), F.round("value", 4).alias("value"))
