@@ -189,7 +189,7 @@ def identify(
     """Columns ``keep`` with ``lang_pred`` and ``score`` (the cosine, 0 to 1).
 
     A text that is null or has no letter, or an empty set of profiles, gives
-    ``und`` and 0. Ties go to the name that sorts first. Whole texts are read, in
+    ``und`` and 0. Ties go to the profile that comes first. Whole texts are read, in
     pieces of bounded size; repeated rows give repeated results. An empty table gives an empty result. Columns of other
     names, also ``_text`` and ``score``, are not read.
     """
