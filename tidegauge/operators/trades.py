@@ -381,7 +381,7 @@ def recommendation(reports: DataFrame, by: str) -> DataFrame:
     A look-ahead or too few trades say so and nothing else; unknown figures do not pass.
     """
     marks = {"sharpe": F.col("sharpe") > SHARPE_TARGET, "drawdown": F.col("drawdown") < DRAWDOWN_CEILING, "calibration": F.col("calibration") > CALIBRATION_TARGET}
-    failed = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.concat(F.lit(f"{n} "), F.coalesce(F.format_string("%.2f", n), F.lit("unknown")))) for n, ok in marks.items()]))
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.concat(F.lit(f"{n} "), F.when(F.col(n).isNotNull(), F.format_string("%.2f", n)).otherwise("unknown"))) for n, ok in marks.items()]))
     finding = (
         F.when(F.col("peeked") > 0, F.format_string("%d trades look ahead", "peeked"))
         .when(F.col("n") < LEAST_TRADES, F.format_string("only %d trades", "n"))
