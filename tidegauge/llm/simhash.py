@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, parquet_path, place, without_places, written
 from .components import connected_components
-from .neighbours import neighbour_pairs
+from .neighbours import neighbour_pairs, pairs_apart
 from .passages import _MIX, _mixed, _whole_groups, shingles_of_all
 
 SEGMENTS = 4
@@ -291,17 +291,6 @@ def may_be_alike(rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return close
 
 
-def pairs_apart(root: np.ndarray, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places x < y of all pairs with different roots, about ``step`` of them looked at at a time."""
-    n = len(root)
-    rows = max(step // max(n, 1), 1)
-    for at in range(0, n - 1, rows):
-        x = np.arange(at, min(at + rows, n - 1))
-        one, two = np.nonzero((root[x, None] != root[None, :]) & (x[:, None] < np.arange(n)[None, :]))
-        if len(one):
-            yield x[one], two
-
-
 def shares_band(bands: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Number of the first band that columns x and y share; BANDS if there is none."""
     equal = bands[:, x] == bands[:, y]
