@@ -110,3 +110,14 @@ def test_days_and_texts(spark):
     frame = spark.createDataFrame([(1, 'a "q", b', float("nan"))], "id int, t string, v double")
     assert one(F.lit(1)) == 1 and frame.select(sinks.csv_line("id", "t").alias("x")).first().x == '1,"a ""q"", b"'
     assert sinks.json_safe(frame).first().v is None
+
+
+def test_the_factor_query_reads_every_day(spark):
+    """No day is left out of what is written and read again."""
+    from tidegauge.plans.filings import src_08
+    from tidegauge.sources import market
+
+    data = "/root/testdata/sf0.001"
+    wanted = {r.trade_date for r in market.factors(spark, data).select("trade_date").collect()}
+    got = [r.trade_date for r in src_08(spark, data).select("trade_date").collect()]
+    assert len(got) == len(wanted) and set(got) == wanted and min(wanted) < d("1995-07-01")
