@@ -395,3 +395,12 @@ def test_conclusions_in_words(spark):
         "n=2: too few events", "n=9: all returns are equal, no test", "n=9: one month only, no clustered test", "n=9: no spread between months, no clustered test",
         "significant (p=0.0100)", "not significant (p=0.2000): an effect under 0.93 points would not show",
     ]
+
+
+def test_schedules_are_read_once_a_part(spark):
+    """The texts of a field are not read again for each value that it may admit."""
+    m = cron.masks(F.col("cron"))
+    rows = spark.createDataFrame([("*/7 2-30/9 0/4 13 *",), ("0-59 * 1,40 */5 6-7",)], "cron string").select(*[x.alias(n) for n, x in m.items()])
+    want = [[sum(1 << v for v in range(0, 60, 7)), 1 << 2 | 1 << 11 | 1 << 20, sum(1 << v for v in range(4, 32, 4)), 0, 127], [(1 << 60) - 1, (1 << 24) - 1, 2, 1 << 1 | 1 << 6 | 1 << 11, 64]]
+    assert [list(r) for r in rows.collect()] == want
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 2 * len(m)

@@ -258,6 +258,7 @@ def cal_05b(spark, sf_dir):
     text = reduce(lambda rest, i: F.when(k % 3 == i, form[i]).otherwise(rest), (1, 0), form[2])
     now = F.lit("2001-01-01 00:10:30").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), k * 37 % 2880)
     rows = market.table(spark, sf_dir, "customer").select(k.alias("k"), now.alias("now"), text.alias("cron"))
+    rows = rows.repartition(4 * spark.sparkContext.defaultParallelism)  # a small file is one task, and each row is work
     masked = rows.select("k", "now", *[m.alias(n) for n, m in cron.masks(F.col("cron")).items()])
     masks = {n: F.col(n) for n in cron.FIELDS}
     limit = F.date_trunc("minute", F.col("now") - F.expr("INTERVAL '30' MINUTE")).cast("timestamp_ntz")
