@@ -68,3 +68,27 @@ def test_claims_over_files_of_many_months_in_no_order(spark, tmp_path):
         assert {k: v[:2] for k, v in holders.items()} == wanted  # later files, also of earlier days, do not take a claim away
         for r in rows_:
             assert r.looks_before == 0 if r.claimed_at is not None else r.looks_before > 0
+
+
+def test_claims_read_plain_rows_and_the_state_once():
+    """No table is made for each key, and state is asked for once a key and batch."""
+    from pyspark.sql import Row
+
+    class State:
+        held, asked = None, 0
+
+        def get(self):
+            self.asked += 1
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    one = claims.Claims(["user_id", "event_type"])
+    one.state = State()
+    seen = [Row(user_id=1, event_type="a", at=at, id=i) for at, i in ((9, 1), (4, 7), (4, 3))]
+    run = lambda rows: [r.asDict() for r in one.handleInputRows((1, "a"), iter(rows), None)]
+    key = {"user_id": 1, "event_type": "a"}
+    assert run(seen) == [key | {"claimed_at": 4, "claimed_by": 3, "looks_before": 0, "looks": 3}]
+    assert run([Row(user_id=1, event_type="a", at=1, id=0)]) == [key | {"claimed_at": None, "claimed_by": None, "looks_before": 3, "looks": 1}]
+    assert one.state.asked == 2
