@@ -22,11 +22,14 @@ def normal_cik(value: Column) -> Column:
 
 def cut_at_sentence(text: Column, limit: int) -> Column:
     """The text up to ``limit`` characters, cut after the last ``.``, ``!`` or ``?`` if that keeps half or more."""
-    head = F.left(text, F.lit(limit))
-    back = F.reverse(head)
-    first = [F.when(F.locate(mark, back) > 0, F.locate(mark, back)) for mark in ".!?"]
-    end = F.length(head) - F.least(*first) + 1
-    return F.when(F.length(text) <= limit, text).when(end > limit / 2, F.left(head, end)).otherwise(head)
+    def cut(text: Column) -> Column:
+        head = F.left(text, F.lit(limit))
+        back = F.reverse(head)
+        first = [F.when(F.locate(mark, back) > 0, F.locate(mark, back)) for mark in ".!?"]
+        end = F.length(head) - F.least(*first) + 1
+        return F.when(F.length(text) <= limit, text).when(end > limit / 2, F.left(head, end)).otherwise(head)
+
+    return F.transform(F.array(text), cut)[0]  # the text is worked out once, however often the rule names it
 
 
 def masked_numbers(text: Column) -> Column:
