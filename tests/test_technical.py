@@ -163,3 +163,19 @@ def test_indicators_and_plans_of_a_frame(spark):
     assert full.size_pct.between(0.5, 1.5).all() and full.days.between(3, 20).all()
     assert (~full.passes | ((full.risk_reward >= 2) & (full.n_votes >= 2))).all()
     assert t.indicators(bars.limit(0)).count() == 0
+
+
+def test_plans_are_made_once_a_day_and_kind_for_all_events(spark, monkeypatch):
+    """STA-19: the same rows as from a plan for each event, with a plan for each day, ticker, direction and confirmation."""
+    from tidegauge.plans import technical as plans
+
+    sf_dir = "/root/testdata/sf0.001"
+    rows = plans._at_events(spark, sf_dir).withColumns({
+        "long": F.col("event_class").isin("1-URGENT", "2-HIGH"), "confirmed": F.col("event_class") != "5-LOW", "vix": 20 + F.col("atr_pct") * 10,
+    })
+    each, given = t.trade_plans(rows).withColumn("entry", F.col("close")), []
+    monkeypatch.setattr(plans.technical, "trade_plans", lambda at, f=t.trade_plans: given.append(at) or f(at))
+    got = plans.sta_19(spark, sf_dir)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, each.select(*got.columns).collect()), key=str)
+    kinds = given[0].select("ticker", "trade_date", "long", "confirmed")
+    assert kinds.count() == kinds.distinct().count() < each.count()

@@ -106,8 +106,15 @@ def sta_18(spark, sf_dir):
 
 @query("STA-19")
 def sta_19(spark, sf_dir):
-    rows = _at_events(spark, sf_dir).withColumns({
-        "long": F.col("event_class").isin("1-URGENT", "2-HIGH"), "confirmed": F.col("event_class") != "5-LOW", "vix": 20 + F.col("atr_pct") * 10,
-    })
-    plans = technical.trade_plans(rows)
-    return plans.select("event_id", "ticker", "trade_date", F.col("close").alias("entry"), "stop", "target", "target2", "risk_reward", "n_votes", "confidence", "passes", "size_pct", "days", "reason")
+    """Plans of all events. Those of one day, ticker, direction and confirmation have one plan, which is made once."""
+    events = market.events(spark, sf_dir).select("event_id", "ticker", F.col("d0").alias("trade_date"), "event_class")
+    events = events.select("event_id", "ticker", "trade_date", F.col("event_class").isin("1-URGENT", "2-HIGH").alias("long"), (F.col("event_class") != "5-LOW").alias("confirmed"))
+    kinds = events.select("ticker", "trade_date", "long", "confirmed").distinct()
+    rows = kinds.join(_indicators(spark, sf_dir), ["ticker", "trade_date"]).withColumn("vix", 20 + F.col("atr_pct") * 10)
+    planned = ("stop", "target", "target2", "risk_reward", "n_votes", "confidence", "passes", "size_pct", "days", "reason")
+    plans = technical.trade_plans(rows).select(
+        F.col("ticker").alias("_ticker"), F.col("trade_date").alias("_day"), F.col("long").alias("_long"), F.col("confirmed").alias("_confirmed"), F.col("close").alias("entry"), *planned
+    )
+    same = (F.col("ticker") == F.col("_ticker")) & (F.col("trade_date") == F.col("_day"))
+    same = same & F.col("long").eqNullSafe(F.col("_long")) & F.col("confirmed").eqNullSafe(F.col("_confirmed"))
+    return events.join(plans, same).select("event_id", "ticker", "trade_date", "entry", *planned)
