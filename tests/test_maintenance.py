@@ -404,3 +404,23 @@ def test_schedules_are_read_once_a_part(spark):
     want = [[sum(1 << v for v in range(0, 60, 7)), 1 << 2 | 1 << 11 | 1 << 20, sum(1 << v for v in range(4, 32, 4)), 0, 127], [(1 << 60) - 1, (1 << 24) - 1, 2, 1 << 1 | 1 << 6 | 1 << 11, 64]]
     assert [list(r) for r in rows.collect()] == want
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 2 * len(m)
+
+
+def test_trades_of_a_group_are_not_gathered_for_its_median(spark):
+    """STA-20: trades take their group's median where they are; a shuffle by the group would put each group in one task."""
+    at = lambda k: D(2020, 1, k)
+    bars = spark.createDataFrame([("A", at(k), 10.0 + k, 10.5 + k) for k in (2, 3, 6, 7, 8)], "ticker string, trade_date date, open double, close double")
+    hedge = bars.drop("ticker")
+    trades = spark.createDataFrame(
+        [(k, "A", at(2), 1, at(3), 13.0, at(8), 18.5, 90.0, "x") for k in range(8)],
+        "event_id int, ticker string, d0 date, side int, entry_date date, entry double, exit_date date, exit double, confidence double, kind string",
+    )
+    both = scenarios.two_legged(trades, hedge, F.lit(True), 0.3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = scenarios.in_scenarios(both, bars, hedge, bars.select("ticker", "trade_date"), hedge.select("trade_date", "close"), ["kind"])
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [x for x in plan.splitlines() if "Join [kind" in x and "LeftOuter" in x]
+    assert len(joins) == 1 and "BroadcastHashJoin" in joins[0], joins

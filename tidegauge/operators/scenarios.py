@@ -64,7 +64,7 @@ def in_scenarios(trades: DataFrame, bars: DataFrame, hedge: DataFrame, last_mark
     known = rows.where("_index is not null")
     enough = known.groupBy(*by).agg(F.count("*").alias("_k")).where(F.col("_k") >= LEAST_SPLIT)
     medians = exact_quantiles(known, "_index", by, {"_median": 0.5}).join(enough, by).select(*by, "_median")
-    rows = rows.join(medians, by, "left")
+    rows = rows.join(F.broadcast(medians), by, "left")  # a row per group: a shuffle would bring each group's trades to one task
 
     side, pnl, legs = F.col("side"), F.col("pnl_pct"), F.col("legs")
     hedged, costs = F.col("hedge_entry").isNotNull(), F.col("gross_pct") - F.col("pnl_pct")
