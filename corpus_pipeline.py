@@ -6,12 +6,34 @@ Each stage works on all rows that it gets, by whole texts; columns of any name b
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm import exact_dedup, mixing, packing, quality_rules, simhash
 from tidegauge.llm.common import documents, labels, written
 
 
+#: Rows of whole texts that go to a Python worker at a time. The workers of an executor are used again by all stages and keep the memory that
+#: they once took, so the largest batch of any stage counts in all later ones.
+BATCH = 1_000
+
+
+def in_small_batches(stage: Callable) -> Callable:
+    """``stage`` with Arrow batches of BATCH rows or fewer, also where its result is written after it returned."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(size)) <= BATCH:
+            spark.conf.set(size, str(BATCH))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@in_small_batches
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or the learned decision list go.
 
@@ -28,6 +50,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.without_copies(docs)
 
 
+@in_small_batches
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts with a 5-word Jaccard similarity of 0.8 or more, the row with the smallest doc_id stays.
 
@@ -45,6 +68,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.curriculum(docs)
 
 
+@in_small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row's pieces with their texts, dealt to buckets and batches in the training order that the mix wrote them in.
 

@@ -78,3 +78,22 @@ def test_a_very_long_text_and_null_ids_are_packed_whole(spark):
     long = sorted((r for r in out if r.doc_id == 6), key=lambda r: r.piece)
     assert len(long) == 30 and "".join(r.text for r in long) == rows[0][1]
     assert sorted(r.length for r in out if r.doc_id is None) == [0, 50, 50] and len(out) == 34
+
+
+def test_stages_send_small_batches_of_texts_to_python(spark, monkeypatch):
+    """Workers keep what a batch took, so no stage sends them thousands of texts at a time."""
+    import pyarrow as pa
+
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    counted = lambda docs, *a, **b: docs.select("text").mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [x.num_rows]}) for x in bs), "n long")
+    docs = written(spark.range(4_000).select("id", F.lit("some text").alias("text")).coalesce(1), "many")
+    monkeypatch.setattr(corpus_pipeline.quality_rules, "fit", lambda *a: [])
+    monkeypatch.setattr(corpus_pipeline, "labels", lambda *a: None)
+    for module, name, stage in ((corpus_pipeline.quality_rules, "passing", 0), (corpus_pipeline.simhash, "without_near_copies", 2), (corpus_pipeline.packing, "packed", 4)):
+        monkeypatch.setattr(module, name, counted)
+        spark.conf.unset(size)
+        try:
+            sizes = [r.n for r in corpus_pipeline.STAGES[stage][1](spark, docs, "").collect()]
+        finally:
+            spark.conf.unset(size)
+        assert sum(sizes) == 4_000 and max(sizes) <= 1_000, (name, sizes)
